@@ -1,7 +1,7 @@
 """Nearest grid line per axis, without a nested-loop join.
 
-Grid lines become half-open intervals between midpoints; each interval is listed under the equal
-width buckets it touches, so the nearest line is an equi-join on the bucket plus a range check.
+Gaps between consecutive grid lines are listed under the equal-width buckets they touch, so the gap
+that holds a value is an equi-join on the bucket plus a range check; the closer end is the answer.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ def axis_nearest(targets: DataFrame, grid: DataFrame, target_value: str, grid_va
     """Add `out`, the grid line nearest to `target_value`; rows with a NULL value drop out.
 
     Values off the grid belong to the edge line, a value exactly between two lines to the larger
-    one. The interval table has about one row per grid line, so Spark broadcasts it by its own
+    one. The gap table has about one row per grid line, so Spark broadcasts it by its own
     size rule; on a larger one it shuffles on the bucket.
     """
     lines = grid.select(F.col(grid_value).cast("double").alias("line")).where("line IS NOT NULL").distinct()
@@ -32,34 +32,30 @@ def axis_nearest(targets: DataFrame, grid: DataFrame, target_value: str, grid_va
         raw = F.floor((value - F.lit(low)) / F.lit(width))
         return F.when(raw < 0, F.lit(0)).when(raw > BUCKETS, F.lit(BUCKETS)).otherwise(raw).cast("int")
 
-    # Neighbouring lines: inside a slot from a window per slot, across slots from the slot edges.
+    # Gaps between consecutive lines: inside a slot from a window per slot, across slots from the
+    # slot edges, a table of at most BUCKETS + 1 rows whatever the grid.
     lines = lines.withColumn("slot", bucket(F.col("line")))
-    within = Window.partitionBy("slot").orderBy("line")
-    # The edge table has at most BUCKETS + 1 rows, whatever the grid.
     across = Window.partitionBy(F.lit(0)).orderBy("slot")
     edges = (
-        lines.groupBy("slot").agg(F.min("line").alias("first"), F.max("line").alias("last"))
-        .select("slot", F.lag("last").over(across).alias("before"), F.lead("first").over(across).alias("after"))
+        lines.groupBy("slot").agg(F.min("line").alias("first"))
+        .select("slot", F.lead("first").over(across).alias("after"))
     )
-    below = F.coalesce(F.lag("line").over(within), F.col("before"))
-    above = F.coalesce(F.lead("line").over(within), F.col("after"))
-    intervals = lines.join(edges, "slot").select(
-        F.col("line").alias("_line"),
-        ((F.col("line") + below) / 2).alias("_low"),
-        ((F.col("line") + above) / 2).alias("_high"),
-    )
-    first = F.coalesce(bucket(F.col("_low")), F.lit(0))
-    last = F.coalesce(bucket(F.col("_high")), F.lit(BUCKETS))
-    intervals = intervals.withColumn("_bucket", F.explode(F.sequence(first, last)))
+    following = F.coalesce(F.lead("line").over(Window.partitionBy("slot").orderBy("line")), F.col("after"))
+    gaps = lines.join(edges, "slot").select(F.col("line").alias("_left"), following.alias("_right"))
+    last = F.coalesce(bucket(F.col("_right")), F.lit(BUCKETS))
+    gaps = gaps.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_left")), last)))
 
+    # Values before the first line count as lying on it.
     value = F.col(target_value).cast("double")
-    keyed = targets.withColumns({"_value": value, "_own": bucket(value)})
+    keyed = targets.withColumn("_value", F.when(value < low, F.lit(low)).otherwise(value))
+    keyed = keyed.withColumn("_own", bucket(F.col("_value")))
     hit = (
-        (F.col("_own") == F.col("_bucket"))
-        & (F.col("_low").isNull() | (F.col("_value") >= F.col("_low")))
-        & (F.col("_high").isNull() | (F.col("_value") < F.col("_high")))
+        (F.col("_own") == F.col("_bucket")) & (F.col("_value") >= F.col("_left"))
+        & (F.col("_right").isNull() | (F.col("_value") < F.col("_right")))
     )
-    return keyed.join(intervals, hit).select(*targets.columns, F.col("_line").alias(out))
+    left_closer = F.col("_right").isNull() | (F.col("_value") - F.col("_left") < F.col("_right") - F.col("_value"))
+    chosen = F.when(left_closer, F.col("_left")).otherwise(F.col("_right"))
+    return keyed.join(gaps, hit).select(*targets.columns, chosen.alias(out))
 
 
 def grid_nearest(
