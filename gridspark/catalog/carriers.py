@@ -28,12 +28,11 @@ def _near(key: str, rows_per_key: str) -> str:
 
 
 VIEWS = {
-    # Fine grid of 50 columns; every 23rd cell is outside all regions, every 17th is unpopulated.
+    # Fine grid of 50 columns, regions of eight cells; every 23rd cell is outside all regions, every 17th is unpopulated.
     "cells": """
         select p_partkey as cell_id, cast(floor(p_partkey/5e1) as bigint) as row_id, p_partkey % 50 as col_id,
                30e0 + floor(p_partkey/5e1)*8.3e-3 as lat, -100e0 + (p_partkey % 50)*8.3e-3 as lon,
-               case when p_partkey % 23 = 0 then -1
-                    else cast(floor(p_partkey/2e3) as int)*50 + p_size end as tract_code,
+               case when p_partkey % 23 = 0 then -1 else cast(floor(p_partkey/8e0) as int) end as tract_code,
                case when p_partkey % 17 = 0 then 0e0 else p_retailprice end as pop
         from {part}""",
     "tract_lut": """
@@ -101,9 +100,9 @@ VIEWS = {
     "pred_hour": """
         select cast(floor(user_id/4e0) as bigint) as cell_id, cast(ts as date) as d,
                cast(extract(hour from ts) as int) as hr,
-               avg(value)/1e1 as temp_C_model, avg(value)/2.1e1 + 4e-1 as ea_hPa_model, min(value)/4e0 + 1.1e1 as rh_pct_model,
-               max(value)/1e1 as temp_C_era, max(value)/2e1 as ea_hPa_era,
-               case when count(*) > 3 then null else max(value)/4e0 + 9e0 end as rh_pct_era
+               avg(value)/9.7e0 as temp_C_model, avg(value)/2.1e1 + 4e-1 as ea_hPa_model, min(value)/3.9e0 + 1.1e1 as rh_pct_model,
+               max(value)/9.9e0 as temp_C_era, max(value)/1.9e1 as ea_hPa_era,
+               case when count(*) > 3 then null else max(value)/4.1e0 + 9e0 end as rh_pct_era
         from {events} group by cast(floor(user_id/4e0) as bigint), cast(ts as date), cast(extract(hour from ts) as int)""",
 }
 

@@ -129,7 +129,9 @@ def _neighbours(v: Views) -> DataFrame:
            round(min(dist) over (partition by cell_id), 3) as nearest_m
     from ({sql_knn('cells', 'cell_id', 'src', 'src_id', 4)}) k""")
 def knn4(v: Views) -> DataFrame:
-    rows = weighted(neighbour_rows(_neighbours(v), ["cell_id"], "src_id"))
+    # Small blocks, so that both ways of the search are taken.
+    nn = nearest(with_xy(v.cells), with_xy(v.src), ["cell_id"], "src_id", 4, max_block=24, direct=0)
+    rows = weighted(neighbour_rows(nn, ["cell_id"], "src_id"))
     return rows.select(
         "cell_id", "rank", "src_id", F.round("dist", 3).alias("dist"), F.round(c("w") * 1000, 6).alias("w"),
         F.round("nearest_m", 3).alias("nearest_m"))

@@ -1,7 +1,7 @@
 """Inverse-distance interpolation of hourly source values onto targets.
 
-Values travel packed: one row per source and day with an array of 24 per variable. Joins then
-run on a 24th of the rows, and hours are spread out only after the last join.
+Values travel packed: one row per source and day with an array of 24 structs. Joins then run on a
+24th of the rows, and hours are spread out only after the last join.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.geo import inverse_distance_weight
 from gridspark.operators.neighbours import neighbour_rows
-from gridspark.session import fits_broadcast
+from gridspark.session import fits_broadcast, materialise
 
 HOURS = 24
 # Size up to which packed values are broadcast; their row width is known, so rows bound bytes.
@@ -22,21 +22,27 @@ ROW_OVERHEAD_BYTES = 64
 
 
 def pack_hours(values: DataFrame, keys: Sequence[str], columns: Sequence[str], hour: str = "ph") -> DataFrame:
-    """One row per key with an array of 24 per column; absent hours are NULL entries."""
-    cells = [
-        F.max(F.when(F.col(hour) == h, F.col(v))).alias(f"_{v}_{h}") for v in columns for h in range(HOURS)
-    ]
-    packed = values.groupBy(*keys).agg(*cells)
-    return packed.select(*keys, *[F.array(*[F.col(f"_{v}_{h}") for h in range(HOURS)]).alias(v) for v in columns])
+    """One row per key with `hours`, an array of 24 structs of `columns`; absent hours are NULL.
+
+    An hour that occurs twice for a key is an error, so a group holds at most 24 rows.
+    """
+    pairs = F.collect_list(F.struct(F.col(hour).cast("int"), F.struct(*columns)))
+    packed = values.groupBy(*keys).agg(F.map_from_entries(pairs).alias("_by_hour"))
+    return packed.select(*keys, in_order("_by_hour").alias("hours"))
+
+
+def in_order(by_hour: str) -> Column:
+    """Array of 24 from a map keyed by hour."""
+    return F.transform(F.sequence(F.lit(0), F.lit(HOURS - 1)), lambda h: F.try_element_at(by_hour, h))
 
 
 def attach_sources(
-    rows: DataFrame, packed: DataFrame, source_id: str, columns: Sequence[str], day_keys: Sequence[str] = (),
+    rows: DataFrame, packed: DataFrame, source_id: str, day_keys: Sequence[str] = (),
     nn: str = "nn", k: int = 4, tag: str = "", power: float = 1.0, eps: float = 1e-6,
 ) -> DataFrame:
     """Look the k neighbours' packed values up for every row; broadcasts `packed`.
 
-    Adds `_<tag>w<i>` (weight), `_<tag><v><i>` (array) and `_<tag>near` (nearest distance); the
+    Adds `_<tag>w<i>` (weight), `_<tag>v<i>` (hours) and `_<tag>near` (nearest distance); the
     targets are not shuffled. Callers check the size first, see `may_broadcast`.
     """
     entry = lambda i, field: F.get(nn, F.lit(i))[field]
@@ -47,7 +53,7 @@ def attach_sources(
     })
     for i in range(k):
         side = packed.select(
-            F.col(source_id).alias(f"_{tag}s{i}"), *day_keys, *[F.col(v).alias(f"_{tag}{v}{i}") for v in columns])
+            F.col(source_id).alias(f"_{tag}s{i}"), *day_keys, F.col("hours").alias(f"_{tag}v{i}"))
         rows = rows.join(F.broadcast(side), [f"_{tag}s{i}", *day_keys], "left")
     return rows.drop(*[f"_{tag}s{i}" for i in range(k)])
 
@@ -60,7 +66,7 @@ def interpolated(value: str, hour: str = "ph", k: int = 4, tag: str = "", cutoff
     """
     total, share = F.lit(0.0), F.lit(0.0)
     for i in range(k):
-        v, w = F.get(f"_{tag}{value}{i}", F.col(hour)), F.col(f"_{tag}w{i}")
+        v, w = F.get(f"_{tag}v{i}", F.col(hour))[value], F.col(f"_{tag}w{i}")
         total = total + F.coalesce(w * v, F.lit(0.0))
         share = share + F.when(v.isNotNull(), w).otherwise(F.lit(0.0))
     usable = share > 0
@@ -70,7 +76,7 @@ def interpolated(value: str, hour: str = "ph", k: int = 4, tag: str = "", cutoff
 
 
 def may_broadcast(packed: DataFrame, n_columns: int, budget: int = BROADCAST_BYTES) -> bool:
-    return fits_broadcast(packed, budget // (ROW_OVERHEAD_BYTES + n_columns * HOURS * 8))
+    return fits_broadcast(packed, budget // (ROW_OVERHEAD_BYTES + HOURS * (16 + 8 * n_columns)))
 
 
 def idw(
@@ -81,27 +87,27 @@ def idw(
     """Hourly inverse-distance means: keys, the day if `days` is given, hour and `columns`.
 
     Every target gets all 24 hours of every day in `days` (one column, bounded by the calendar).
-    Packed values within `budget` bytes are broadcast and looked up; larger ones are joined by
-    source and regrouped per target, at most k rows each.
+    The packed values are written once. Within `budget` bytes they are broadcast and looked up;
+    larger ones are joined by source and regrouped per target, at most k rows each.
     """
     day_keys = list(days.columns) if days is not None else []
+    if days is not None:
+        packed = packed.join(days, day_keys, "left_semi")
+    packed = materialise(packed)
+    rows = neighbours
+    if days is not None:
+        listed = days.agg(F.sort_array(F.collect_set(day_keys[0])).alias("d")).scalar()
+        rows = rows.withColumn(day_keys[0], F.explode(listed))
     if may_broadcast(packed, len(columns), budget):
-        rows = neighbours
-        if days is not None:
-            listed = days.agg(F.sort_array(F.collect_set(day_keys[0])).alias("d")).scalar()
-            rows = rows.withColumn(day_keys[0], F.explode(listed))
-        rows = attach_sources(rows, packed, source_id, columns, day_keys, k=k, power=power, eps=eps)
+        rows = attach_sources(rows, packed, source_id, day_keys, k=k, power=power, eps=eps)
     else:
-        pairs = neighbour_rows(neighbours, keys, source_id)
-        if days is not None:
-            packed = packed.join(days, day_keys, "left_semi")
-        joined = pairs.join(packed, source_id).withColumn("w", inverse_distance_weight(F.col("dist"), power, eps))
-        of = lambda i, c: F.max(F.when(F.col("rank") == i + 1, F.col(c)))
+        pairs = neighbour_rows(rows, [*keys, *day_keys], source_id).withColumn(
+            "w", inverse_distance_weight(F.col("dist"), power, eps))
+        joined = pairs.join(packed, [source_id, *day_keys], "left")
+        of = lambda i, c: F.first(F.when(F.col("rank") == i + 1, F.col(c)), ignorenulls=True)
         rows = joined.groupBy(*keys, *day_keys).agg(
             F.min("nearest_m").alias("_near"), *[of(i, "w").alias(f"_w{i}") for i in range(k)],
-            *[of(i, v).alias(f"_{v}{i}") for i in range(k) for v in columns])
-        if days is None:
-            rows = neighbours.select(*keys).join(rows, list(keys), "left")
+            *[of(i, "hours").alias(f"_v{i}") for i in range(k)])
     spread = rows.withColumn(hour, F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))))
     return spread.select(
         *keys, *day_keys, hour, *[interpolated(v, hour, k, cutoff_m=cutoff_m).alias(v) for v in columns])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.operators.percentile import exact_percentiles
+from gridspark.session import materialise
 
 # Display names of the variables.
 VARIABLE_LABELS = {
@@ -88,11 +89,14 @@ def finish(sums: DataFrame, keys: Sequence[str], prefix: str = "") -> DataFrame:
 
 def metrics_suite(
     pairs: DataFrame, variables: Sequence[str], prefix: str, pred_suffix: str | None = None,
-    obs_suffix: str = "_obs", station: str = "station_id", day: str = "prism_day",
+    obs_suffix: str = "_obs", station: str = "station_id", day: str = "prism_day", store: bool = True,
 ) -> dict[str, DataFrame]:
-    """`overall`, `by_station` and `by_day` statistics from one pass over the pairs."""
+    """`overall`, `by_station` and `by_day` statistics from one pass over the pairs.
+
+    With `store` the error sums per station and day are written once and all three read them.
+    """
     sums = error_sums(pairs, [station, day], error_columns(pairs, variables, pred_suffix or f"_{prefix}", obs_suffix))
-    rows = by_variable(sums, [station, day])
+    rows = by_variable(materialise(sums) if store else sums, [station, day])
     totals = [F.sum(s).alias(s) for s in _SUMS]
     return {
         "overall": finish(rows.groupBy("var").agg(*totals), ["var"], prefix),
@@ -149,7 +153,8 @@ def summary_rows(
     left out. `stations` has one row per station.
     """
     windows = list(windows)
-    sums = error_sums(pairs, [*windows, station], error_columns(pairs, variables, pred_suffix))
+    # Written once: the counts and the percentiles read it several times.
+    sums = materialise(error_sums(pairs, [*windows, station], error_columns(pairs, variables, pred_suffix)))
     rows = by_variable(sums, [*windows, station]).where("n > 0").join(
         stations.select(station, F.col(distance).alias("_dist"), F.lit(1).alias("_known")), station, "left")
     keys = [*windows, "var"]

@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gridspark.functions.geo import albers_xy, distance, inverse_distance_weight
-from gridspark.session import reliable_checkpoint
+from gridspark.session import materialise
 
 MAX_BLOCK = 256
+# Up to this many sources every target simply looks at all of them.
+DIRECT = 64
 MAX_LEVEL = 26
-LEVELS_PER_CHECKPOINT = 6
+LEVELS_PER_TABLE = 6
 
 
 def with_xy(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -35,7 +37,7 @@ def with_xy(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
 
 def nearest(
     targets: DataFrame, sources: DataFrame, keys: Sequence[str], source_id: str, k: int = 4,
-    max_block: int = MAX_BLOCK,
+    max_block: int = MAX_BLOCK, direct: int = DIRECT,
 ) -> DataFrame:
     """`keys` plus `nn`, the k nearest sources as array<struct<dist, id>> by (dist, id).
 
@@ -43,28 +45,30 @@ def nearest(
     holds all there are. The table does not depend on the day: build it once and keep it.
     """
     points = sources.where("x IS NOT NULL AND y IS NOT NULL").select(F.col(source_id).alias("id"), "x", "y")
-    # Of sources at one place only the k first by id can be among the nearest.
-    place = Window.partitionBy("x", "y").orderBy("id")
-    points = points.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n")
+    targets = targets.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y")
+    # One row of statistics.
     extent = points.agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
         F.min("y").alias("y0"), F.max("y").alias("y1"),
     ).first()
-    if extent.n == 0:
-        return targets.where("x IS NOT NULL AND y IS NOT NULL").select(
-            *keys, F.array().cast(f"array<struct<dist:double,id:{dict(sources.dtypes)[source_id]}>>").alias("nn")
-        )
+    if extent.n <= direct:
+        everything = points.agg(F.collect_list(F.struct("id", "x", "y")).alias("near")).scalar()
+        return targets.withColumn("near", everything).select(*keys, _ranked("near", k).alias("nn"))
+    # Of sources at one place only the k first by id can be among the nearest.
+    place = Window.partitionBy("x", "y").orderBy("id")
+    points = points.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n")
     side = max(extent.x1 - extent.x0, extent.y1 - extent.y0, 1.0)
     area = max(extent.x1 - extent.x0, side / extent.n) * max(extent.y1 - extent.y0, side / extent.n)
     size = math.sqrt(2 * k * area / (math.pi * extent.n))
 
-    targets = targets.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y")
-    first = reliable_checkpoint(_by_block(targets, points, k, size, max_block))
+    first = materialise(_by_block(targets, points, k, size, max_block))
     settled = first.where("settled").select(*keys, "nn")
     open_targets = first.where("NOT settled").select(*keys, "x", "y")
     if open_targets.isEmpty():
         return settled
-    return settled.unionByName(_by_pyramid(open_targets, points, keys, k, extent, side, max_block))
+    rest = _by_pyramid(open_targets, points, keys, k, extent, side, max_block)
+    # A static table: users join it many times, so its plan ends here.
+    return settled.unionByName(materialise(rest))
 
 
 def _by_block(targets: DataFrame, points: DataFrame, k: int, size: float, max_block: int) -> DataFrame:
@@ -83,9 +87,7 @@ def _by_block(targets: DataFrame, points: DataFrame, k: int, size: float, max_bl
     )
     placed = targets.withColumn("bx", bucket("x")).withColumn("by", bucket("y"))
     joined = placed.join(blocks, ["bx", "by"], "left")
-    ranked = F.sort_array(F.transform("near", lambda s: F.struct(
-        distance(F.col("x"), F.col("y"), s["x"], s["y"]).alias("dist"), s["id"].alias("id"))))
-    joined = joined.withColumn("nn", F.slice(ranked, 1, k))
+    joined = joined.withColumn("nn", _ranked("near", k))
     border = F.least(
         F.col("x") - (F.col("bx") - 1) * size, (F.col("bx") + 2) * size - F.col("x"),
         F.col("y") - (F.col("by") - 1) * size, (F.col("by") + 2) * size - F.col("y"),
@@ -94,6 +96,13 @@ def _by_block(targets: DataFrame, points: DataFrame, k: int, size: float, max_bl
     return joined.withColumn("settled", settled).drop("bx", "by", "near")
 
 
+def _ranked(near: str, k: int) -> Column:
+    """The first k of an array of sources by (distance, id)."""
+    found = F.transform(near, lambda s: F.struct(
+        distance(F.col("x"), F.col("y"), s["x"], s["y"]).alias("dist"), s["id"].alias("id")))
+    return F.slice(F.sort_array(found), 1, k)
+
+
 def _by_pyramid(
     targets: DataFrame, points: DataFrame, keys: Sequence[str], k: int, extent, side: float, max_block: int
 ) -> DataFrame:
@@ -106,7 +115,7 @@ def _by_pyramid(
 
     # The depth at which every leaf is small, found from one-row maxima.
     depth = max(1, math.ceil(math.log(max(extent.n / max_block, 1), 4)))
-    while depth < MAX_LEVEL:
+    while extent.n > max_block and depth < MAX_LEVEL:
         fullest = at_level(depth).groupBy("ix", "iy").count().agg(F.max("count")).first()[0]
         if fullest <= max_block:
             break
@@ -140,8 +149,8 @@ def _by_pyramid(
         frontier = opened.where("radius IS NULL OR close <= radius").select(
             *keys, "x", "y", F.col("ix").alias("px"), F.col("iy").alias("py")
         )
-        if step % LEVELS_PER_CHECKPOINT == 0:
-            frontier = reliable_checkpoint(frontier)
+        if step % LEVELS_PER_TABLE == 0:
+            frontier = materialise(frontier)
 
     inside = leaves.select(F.col("ix").alias("px"), F.col("iy").alias("py"), "id",
                            F.col("x").alias("sx"), F.col("y").alias("sy"))

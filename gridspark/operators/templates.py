@@ -10,8 +10,7 @@ from pyspark.sql import Window
 
 from gridspark.functions.humidity import shifted_vapor_pressure
 from gridspark.functions.missing import clip
-
-HOURS = range(24)
+from gridspark.operators.interpolate import in_order
 
 
 def day_anomalies(df: DataFrame, keys: Sequence[str], value: str, day: str = "prism_day") -> DataFrame:
@@ -37,29 +36,28 @@ def full_day_mean(df: DataFrame, keys: Sequence[str], value: str, day: str = "pr
 def hourly_template(
     df: DataFrame, keys: Sequence[str], temperature: str, dewpoint: str, day: str = "prism_day", hour: str = "ph"
 ) -> DataFrame:
-    """One row per coarse cell and day: `frac` and `td` arrays of 24, and `td_mean`.
+    """One row per coarse cell and day: `hours` (24 structs of t, td), `t_low`, `t_high`, `td_mean`.
 
-    Needs the cell in both UTC days and a temperature range above zero; the dewpoint curve needs
-    all 24 hours, else `td` and `td_mean` are NULL. One aggregation that combines before its
-    shuffle; arrays keep the later join at one row per cell and day.
+    Needs the cell in both UTC days and a temperature range above zero; `td_mean` is NULL unless
+    all 24 dewpoints are present. One shuffle; packing keeps the later join at one row per cell
+    and day.
     """
-    def by_hour(column: str, name: str) -> list[Column]:
-        return [F.max(F.when(F.col(hour) == h, F.col(column))).alias(f"{name}{h}") for h in HOURS]
-
+    entry = F.struct(F.col(temperature).alias("t"), F.col(dewpoint).alias("td"))
     packed = df.groupBy(*keys, day).agg(
-        *by_hour(temperature, "_t"), *by_hour(dewpoint, "_d"),
-        F.min(temperature).alias("_lo"), F.max(temperature).alias("_hi"),
+        F.map_from_entries(F.collect_list(F.struct(F.col(hour), entry))).alias("_by_hour"),
+        F.min(temperature).alias("t_low"), F.max(temperature).alias("t_high"),
         F.avg(dewpoint).alias("_mean"), F.count(dewpoint).alias("_n"),
         F.max(F.col(hour) < 12).alias("_early"), F.max(F.col(hour) >= 12).alias("_late"),
-    ).where("_early AND _late AND _hi > _lo")
-    span = F.col("_hi") - F.col("_lo")
-    full = F.col("_n") == 24
+    ).where("_early AND _late AND t_high > t_low")
     return packed.select(
-        *keys, day,
-        F.array(*[(F.col(f"_t{h}") - F.col("_lo")) / span for h in HOURS]).alias("frac"),
-        F.when(full, F.array(*[F.col(f"_d{h}") for h in HOURS])).alias("td"),
-        F.when(full, F.col("_mean")).alias("td_mean"),
-    )
+        *keys, day, in_order("_by_hour").alias("hours"), "t_low", "t_high",
+        F.when(F.col("_n") == 24, F.col("_mean")).alias("td_mean"))
+
+
+def template_hour(hour: str = "ph") -> tuple[Column, Column]:
+    """(fraction of the temperature range, dewpoint) of one hour of a joined template."""
+    entry = F.get("hours", F.col(hour))
+    return (entry["t"] - F.col("t_low")) / (F.col("t_high") - F.col("t_low")), entry["td"]
 
 
 def scaled_temperature(tmin: Column, tmax: Column, frac: Column) -> Column:
@@ -78,10 +76,9 @@ def downscale(
     """
     daily = cells.where("tmin IS NOT NULL AND tmax > tmin")
     joined = daily.join(template, [*template_keys, day]).withColumn("ph", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    frac, td = template_hour()
     hourly = joined.select(
-        *cell_keys, day, "ph", "tdmean", "td_mean",
-        scaled_temperature(F.col("tmin"), F.col("tmax"), F.get("frac", F.col("ph"))).alias("t2m"),
-        F.get("td", F.col("ph")).alias("_td"),
-    )
+        *cell_keys, day, "ph", "tdmean", "td_mean", td.alias("_td"),
+        scaled_temperature(F.col("tmin"), F.col("tmax"), frac).alias("t2m"))
     ea = shifted_vapor_pressure(F.col("_td"), F.col("td_mean"), F.col("tdmean"), F.col("t2m"), floor_hpa)
     return hourly.select(*cell_keys, day, "ph", "t2m", ea.alias("ea"))

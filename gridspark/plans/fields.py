@@ -45,14 +45,8 @@ def weather_values(coarse: DataFrame, source_id: str = "src_id") -> DataFrame:
 
     `coarse`: source id, d, hr, sp, u10, v10, str, strd (the last two accumulated over the day).
     """
-    flux = longwave(coarse, [source_id])
-    instant = coarse.select(source_id, "d", "hr", "sp", "u10", "v10")
-    keys = [source_id, "d", "hr"]
-    # Both sides are keyed alike, so stacking needs only the packing shuffle.
-    empty = lambda names: [F.lit(None).cast("double").alias(n) for n in names]
-    stacked = instant.select(*keys, "sp", "u10", "v10", *empty(["lwdown", "lwnet"])).unionByName(
-        flux.select(*keys, *empty(["sp", "u10", "v10"]), "lwdown", "lwnet"))
-    return pack_hours(realign(stacked), [source_id, "prism_day"], WEATHER)
+    rows = longwave(coarse, [source_id], carry=["sp", "u10", "v10"])
+    return pack_hours(realign(rows), [source_id, "prism_day"], WEATHER)
 
 
 def radiation_values(half_hours: DataFrame, point: str = "point") -> DataFrame:

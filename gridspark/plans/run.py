@@ -11,12 +11,13 @@ from gridspark.functions.humidity import shifted_vapor_pressure
 from gridspark.operators.interpolate import attach_sources, interpolated, may_broadcast
 from gridspark.operators.quality import days_to_run, missing_inputs, require_none
 from gridspark.operators.regions import attach_population, tract_table
-from gridspark.operators.templates import scaled_temperature
+from gridspark.operators.templates import scaled_temperature, template_hour
 from gridspark.plans.fields import (
     RADIATION, RADIATION_CUTOFF_M, WEATHER, WEATHER_CUTOFF_M, coarse_weather, radiation, radiation_values,
     temperature_and_humidity, templates_on_cells, weather_values,
 )
 from gridspark.plans.heatstress import METRICS, heat_stress
+from gridspark.session import materialise
 from gridspark.sources.regions import population_of_years, resolve_population_years
 from gridspark.sources.sinks import finished_days, write_regions
 
@@ -58,8 +59,8 @@ def hourly_inputs(inputs: Inputs, days: DataFrame) -> DataFrame:
     each field is built on its own and the three are joined.
     """
     daily = inputs.daily.join(days, "prism_day", "left_semi")
-    weather = weather_values(inputs.coarse).join(days, "prism_day", "left_semi")
-    sun = radiation_values(inputs.half_hours).join(days, "prism_day", "left_semi")
+    weather = materialise(weather_values(inputs.coarse).join(days, "prism_day", "left_semi"))
+    sun = materialise(radiation_values(inputs.half_hours).join(days, "prism_day", "left_semi"))
     if not (may_broadcast(weather, len(WEATHER)) and may_broadcast(sun, len(RADIATION))):
         keys = [*CELL, "prism_day", "ph"]
         warm = temperature_and_humidity(daily, inputs.coarse).where("ea IS NOT NULL")
@@ -73,11 +74,12 @@ def hourly_inputs(inputs: Inputs, days: DataFrame) -> DataFrame:
         .join(inputs.weather_nn.withColumnRenamed("nn", "nn_w"), CELL)
         .join(inputs.radiation_nn.withColumnRenamed("nn", "nn_r"), CELL)
     )
-    rows = attach_sources(rows, weather, "src_id", WEATHER, ["prism_day"], nn="nn_w", tag="w_")
-    rows = attach_sources(rows, sun, "point", RADIATION, ["prism_day"], nn="nn_r", tag="r_")
+    rows = attach_sources(rows, weather, "src_id", ["prism_day"], nn="nn_w", tag="w_")
+    rows = attach_sources(rows, sun, "point", ["prism_day"], nn="nn_r", tag="r_")
     rows = rows.withColumn("ph", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    rows = rows.withColumn("t2m", scaled_temperature(F.col("tmin"), F.col("tmax"), F.get("frac", F.col("ph"))))
-    ea = shifted_vapor_pressure(F.get("td", F.col("ph")), F.col("td_mean"), F.col("tdmean"), F.col("t2m"))
+    frac, td = template_hour()
+    rows = rows.withColumn("t2m", scaled_temperature(F.col("tmin"), F.col("tmax"), frac))
+    ea = shifted_vapor_pressure(td, F.col("td_mean"), F.col("tdmean"), F.col("t2m"))
     return rows.select(
         *CELL, "prism_day", "ph", "t2m", ea.alias("ea"),
         *[interpolated(v, tag="w_", cutoff_m=WEATHER_CUTOFF_M).alias(v) for v in WEATHER],

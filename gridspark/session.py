@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,10 +35,12 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder the session names in spark.checkpoint.dir.
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage: write `df` once to the shared checkpoint folder and read it back.
 
-    Only a local session without that setting gets a folder of its own.
+    Unlike an RDD checkpoint this computes the rows only once and keeps the table's size known to
+    the optimizer. The folder is the one the session names in spark.checkpoint.dir; only a local
+    session without that setting gets a folder of its own.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -48,4 +51,6 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
