@@ -86,9 +86,11 @@ def _plain(df: DataFrame) -> DataFrame:
 
 @query(_by_variable(f"""
     select case grouping(station_id, prism_day) when 3 then 'overall' when 1 then 'station' else 'day' end as level, '{{v}}' as var,
-           station_id, prism_day, {{stats}} from ({_PAIRS}) p group by grouping sets ((), (station_id), (prism_day))"""))
+           coalesce(station_id, -1) as station_id, coalesce(strftime(prism_day, '%Y-%m-%d'), '') as prism_day, {{stats}} from ({_PAIRS}) p group by grouping sets ((), (station_id), (prism_day))"""))
 def pred_obs_metrics_all_levels(v: Views) -> DataFrame:
-    return rounded(all_metrics(_pairs(v), MET, "_model"), 7)
+    out = all_metrics(_pairs(v), MET, "_model").withColumns({
+        "station_id": F.coalesce("station_id", F.lit(-1)), "prism_day": F.coalesce(c("prism_day").cast("string"), F.lit(""))})
+    return rounded(out, 7)
 
 
 _NINE = " and ".join(f"{v}_{s} is not null" for v in MET for s in ("obs", "model", "era"))

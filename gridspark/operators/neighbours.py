@@ -24,7 +24,7 @@ from gridspark.session import materialise
 
 MAX_BLOCK = 256
 # Up to this many sources every target simply looks at all of them.
-DIRECT = 64
+DIRECT = 256
 MAX_LEVEL = 26
 LEVELS_PER_TABLE = 6
 
