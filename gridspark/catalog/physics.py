@@ -80,7 +80,7 @@ def utci_index(v: Views) -> DataFrame:
     g = v.grid_hour.withColumns({
         "w": F.lit(0.5) + wind_speed(c("u10"), c("v10")) / 2, "tr": c("temp_c") + (c("ghi") - 500) / 20})
     return rounded(g.select(
-        "l_orderkey", "l_linenumber", "cell_id", utci_c(c("temp_c"), c("w"), c("tr"), c("ea")).alias("utci_c")), 3)
+        "l_orderkey", "l_linenumber", "cell_id", utci_c("temp_c", "w", "tr", "ea").alias("utci_c")), 3)
 
 
 @query(f"""

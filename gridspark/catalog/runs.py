@@ -35,7 +35,7 @@ def inputs_of(v: Views) -> Inputs:
         v.acc_hour.drop("t2m", "d2m").join(v.coarse_cells, "src_id"), ["lat", "lon", "d", "hr"])
     nn = neighbour_table(v.cells, v.src, CELL, "src_id")
     return Inputs(
-        daily=daily_on_grid(v).drop("cell_id"), coarse=weather, half_hours=v.half_hour, weather_nn=nn, radiation_nn=nn,
+        daily=daily_on_grid(v).drop("cell_id"), coarse=weather, coarse_grid=v.coarse_cells.select("lat", "lon"), half_hours=v.half_hour, weather_nn=nn, radiation_nn=nn,
         cell_regions=v.cells.select("lat", "lon", "tract_code"), codes=v.tract_lut,
         population=v.pop_year.join(v.cells.select("cell_id", "lat", "lon"), "cell_id").drop("cell_id"),
         representative=v.tract_points)

@@ -239,7 +239,8 @@ def coarse_celsius(v: Views) -> DataFrame:
 
 @query(f"select cell_id, prism_day, ph, round(t2m, 6) as t2m, round(ea, 6) as ea from ({SQL_FINE}) f")
 def temperature_and_humidity_on_grid(v: Views) -> DataFrame:
-    return rounded(temperature_and_humidity(daily_on_grid(v), coarse_celsius(v), ["cell_id"]))
+    return rounded(temperature_and_humidity(
+        daily_on_grid(v), coarse_celsius(v), ["cell_id"], v.coarse_cells))
 
 
 @query(f"""

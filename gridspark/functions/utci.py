@@ -132,30 +132,25 @@ def exponents(degree: int = DEGREE) -> Iterator[tuple[int, int, int, int]]:
 
 
 def utci_c(
-    t_c: Column,
-    wind: Column,
-    radiant_c: Column,
-    ea_hpa: Column,
-    coefficients: Sequence[float] = COEFFICIENTS,
+    t_c: str, wind: str, radiant_c: str, ea_hpa: str, coefficients: Sequence[float] = COEFFICIENTS
 ) -> Column:
-    """Index in degrees C; NULL when an input is NULL.
+    """Index in degrees C from four column names; NULL when one of them is NULL.
 
     Nested (Horner) form: one multiplication and one addition per coefficient, no powers. The
-    inputs inside are made non-null so that the generated code carries no null checks.
+    polynomial is passed as one SQL text, since hundreds of Column operations are slow to build;
+    inside it the inputs are made non-null, so the generated code carries no null checks.
     """
     table = dict(zip(exponents(), coefficients, strict=True))
-    solid = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    ta, va, excess, vapor = solid(t_c), solid(wind), solid(radiant_c - t_c), solid(ea_hpa / 10)
-    axes = (vapor, excess, va, ta)
+    axes = tuple(f"coalesce(cast({e} AS DOUBLE), 0D)" for e in (f"{ea_hpa} / 10", f"{radiant_c} - {t_c}", wind, t_c))
 
-    def nested(prefix: tuple[int, ...]) -> Column:
+    def nested(prefix: tuple[int, ...]) -> str:
         if len(prefix) == len(axes):
-            return F.lit(table[prefix])
+            return f"{table[prefix]!r}D"
         top = DEGREE - sum(prefix)
-        value = nested((*prefix, top))
+        text = nested((*prefix, top))
         for power in range(top - 1, -1, -1):
-            value = value * axes[len(prefix)] + nested((*prefix, power))
-        return value
+            text = f"({text} * {axes[len(prefix)]} + {nested((*prefix, power))})"
+        return text
 
-    present = t_c.isNotNull() & wind.isNotNull() & radiant_c.isNotNull() & ea_hpa.isNotNull()
-    return F.when(present, ta + nested(()))
+    missing = " OR ".join(f"{name} IS NULL" for name in (t_c, wind, radiant_c, ea_hpa))
+    return F.expr(f"if({missing}, NULL, {t_c} + {nested(())})")

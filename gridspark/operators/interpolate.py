@@ -64,15 +64,12 @@ def interpolated(value: str, hour: str = "ph", k: int = 4, tag: str = "", cutoff
     A missing neighbour value leaves both sums; NULL without any value, and where the nearest
     source is farther than `cutoff_m` (the cutoff does not apply to the others).
     """
-    total, share = F.lit(0.0), F.lit(0.0)
-    for i in range(k):
-        v, w = F.get(f"_{tag}v{i}", F.col(hour))[value], F.col(f"_{tag}w{i}")
-        total = total + F.coalesce(w * v, F.lit(0.0))
-        share = share + F.when(v.isNotNull(), w).otherwise(F.lit(0.0))
-    usable = share > 0
-    if cutoff_m is not None:
-        usable = usable & (F.col(f"_{tag}near") <= cutoff_m)
-    return F.when(usable, total / share)
+    # One SQL text per value: built from Columns it would cost hundreds of calls to the driver.
+    readings = [(f"get(_{tag}v{i}, {hour}).{value}", f"_{tag}w{i}") for i in range(k)]
+    total = " + ".join(f"coalesce({w} * {v}, 0D)" for v, w in readings)
+    share = " + ".join(f"if({v} IS NULL, 0D, {w})" for v, w in readings)
+    near = "true" if cutoff_m is None else f"_{tag}near <= {float(cutoff_m)!r}D"
+    return F.expr(f"if({near}, try_divide({total}, nullif({share}, 0D)), NULL)")
 
 
 def may_broadcast(packed: DataFrame, n_columns: int, budget: int = BROADCAST_BYTES) -> bool:

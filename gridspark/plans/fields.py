@@ -23,21 +23,26 @@ WEATHER_CUTOFF_M = 8000.0
 RADIATION_CUTOFF_M = 4000.0
 
 
-def templates_on_cells(daily: DataFrame, coarse: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Daily fine cells with near_lat, near_lon, and the templates keyed by these and the day.
+def cell_templates(coarse: DataFrame) -> DataFrame:
+    """Template per coarse cell and day, keyed near_lat, near_lon, prism_day.
 
-    `daily`: lat, lon, prism_day, tmin, tmax, tdmean. `coarse`: lat, lon, d, hr and t2m, d2m in C.
-    Only the nearest coarse cell is tried; a cell whose template is invalid drops out.
+    `coarse`: lat, lon, d, hr and t2m, d2m in C.
     """
     template = hourly_template(realign(coarse), ["lat", "lon"], "t2m", "d2m")
-    template = template.withColumnsRenamed({"lat": "near_lat", "lon": "near_lon"})
-    return grid_nearest(daily, coarse), template
+    return template.withColumnsRenamed({"lat": "near_lat", "lon": "near_lon"})
 
 
-def temperature_and_humidity(daily: DataFrame, coarse: DataFrame, cell_keys: Sequence[str] = ("lat", "lon")) -> DataFrame:
-    """cell_keys, prism_day, ph, t2m (C), ea (hPa)."""
-    placed, template = templates_on_cells(daily, coarse)
-    return downscale(placed, template, cell_keys, ["near_lat", "near_lon"])
+def temperature_and_humidity(
+    daily: DataFrame, coarse: DataFrame, cell_keys: Sequence[str] = ("lat", "lon"), coarse_grid: DataFrame | None = None
+) -> DataFrame:
+    """cell_keys, prism_day, ph, t2m (C), ea (hPa).
+
+    `daily`: lat, lon, prism_day, tmin, tmax, tdmean. Only the nearest coarse cell is tried; a cell
+    whose template is invalid drops out. `coarse_grid` is the static list of coarse cells; without
+    it the list is taken from the hourly rows.
+    """
+    placed = grid_nearest(daily, coarse if coarse_grid is None else coarse_grid)
+    return downscale(placed, cell_templates(coarse), cell_keys, ["near_lat", "near_lon"])
 
 
 def weather_values(coarse: DataFrame, source_id: str = "src_id") -> DataFrame:

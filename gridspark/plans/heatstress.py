@@ -41,7 +41,7 @@ def heat_stress(df: DataFrame, radiant: bool = False, wbgt: bool = True) -> Data
             terms["ssrd"], terms["ssr"], terms["dsrp"], c("lwdown"), terms["fdir"], c("lwnet"), terms["cossza"])),
         "_ok": all_present(*[c(n) for n in ("t2m", "_wind", "rh_pct_used", "ea", "ghi", "dni", "sza", "alb", "lwdown", "lwnet")]),
     })
-    index = utci_in_range(c("_t"), c("_w"), c("rh_pct_used"), c("_e"), c("_r"), utci_c(c("_t"), c("_w"), c("_r"), c("_e")))
+    index = utci_in_range(c("_t"), c("_w"), c("rh_pct_used"), c("_e"), c("_r"), utci_c("_t", "_w", "_r", "_e"))
     df = df.withColumn("UTCI_C", F.when(c("_ok"), index))
     if wbgt:
         k = wbgt_k(

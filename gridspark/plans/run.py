@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.humidity import shifted_vapor_pressure
+from gridspark.operators.axis import grid_nearest
 from gridspark.operators.interpolate import attach_sources, interpolated, may_broadcast
 from gridspark.operators.quality import days_to_run, missing_inputs, require_none
 from gridspark.operators.regions import attach_population, tract_table
 from gridspark.operators.templates import scaled_temperature, template_hour
 from gridspark.plans.fields import (
     RADIATION, RADIATION_CUTOFF_M, WEATHER, WEATHER_CUTOFF_M, coarse_weather, radiation, radiation_values,
-    temperature_and_humidity, templates_on_cells, weather_values,
+    cell_templates, temperature_and_humidity, weather_values,
 )
 from gridspark.plans.heatstress import METRICS, heat_stress
 from gridspark.session import materialise
@@ -32,6 +33,7 @@ class Inputs:
 
     daily: lat, lon, prism_day, tmin, tmax, tdmean
     coarse: lat, lon, src_id, d, hr, t2m, d2m (C), sp, u10, v10, str, strd
+    coarse_grid: lat, lon of the coarse cells (static)
     half_hours: point, d, slot, ghi, dhi, dni, sza, alb
     weather_nn, radiation_nn: lat, lon, nn (static neighbour tables)
     cell_regions: lat, lon, tract_code
@@ -42,6 +44,7 @@ class Inputs:
 
     daily: DataFrame
     coarse: DataFrame
+    coarse_grid: DataFrame
     half_hours: DataFrame
     weather_nn: DataFrame
     radiation_nn: DataFrame
@@ -63,16 +66,17 @@ def hourly_inputs(inputs: Inputs, days: DataFrame) -> DataFrame:
     sun = materialise(radiation_values(inputs.half_hours).join(days, "prism_day", "left_semi"))
     if not (may_broadcast(weather, len(WEATHER)) and may_broadcast(sun, len(RADIATION))):
         keys = [*CELL, "prism_day", "ph"]
-        warm = temperature_and_humidity(daily, inputs.coarse).where("ea IS NOT NULL")
+        warm = temperature_and_humidity(daily, inputs.coarse, CELL, inputs.coarse_grid).where("ea IS NOT NULL")
         return warm.join(coarse_weather(inputs.weather_nn, inputs.coarse, days, CELL), keys).join(
             radiation(inputs.radiation_nn, inputs.half_hours, days, CELL), keys)
 
-    placed, template = templates_on_cells(daily, inputs.coarse)
+    # Everything static about a cell in one table: neighbours and nearest coarse cell.
+    cells = inputs.weather_nn.withColumnRenamed("nn", "nn_w").join(
+        inputs.radiation_nn.withColumnRenamed("nn", "nn_r"), CELL)
+    cells = grid_nearest(cells, inputs.coarse_grid)
     rows = (
-        placed.where("tmin IS NOT NULL AND tmax > tmin AND tdmean IS NOT NULL")
-        .join(template.where("td_mean IS NOT NULL"), ["near_lat", "near_lon", "prism_day"])
-        .join(inputs.weather_nn.withColumnRenamed("nn", "nn_w"), CELL)
-        .join(inputs.radiation_nn.withColumnRenamed("nn", "nn_r"), CELL)
+        daily.where("tmin IS NOT NULL AND tmax > tmin AND tdmean IS NOT NULL").join(cells, CELL)
+        .join(cell_templates(inputs.coarse).where("td_mean IS NOT NULL"), ["near_lat", "near_lon", "prism_day"])
     )
     rows = attach_sources(rows, weather, "src_id", ["prism_day"], nn="nn_w", tag="w_")
     rows = attach_sources(rows, sun, "point", ["prism_day"], nn="nn_r", tag="r_")
