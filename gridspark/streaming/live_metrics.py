@@ -16,7 +16,9 @@ def live_metrics(
     table on the same keys. Rows later than `lateness` behind the newest are dropped by the
     watermark. State is one row per open window.
     """
-    stamped = observations.withColumn("time_utc", F.col("time_utc").cast("timestamp"))
+    # Wall-clock UTC to an instant and back, whatever the session's zone.
+    zone = F.current_timezone()
+    stamped = observations.withColumn("time_utc", F.from_utc_timestamp(F.col("time_utc").cast("timestamp"), zone))
     if stamped.isStreaming:
         stamped = stamped.withWatermark("time_utc", lateness)
     error = F.col(pred) - F.col(obs)
@@ -26,4 +28,4 @@ def live_metrics(
         .agg(F.count(error).alias("n"), F.avg(error).alias("bias"), F.avg(F.abs(error)).alias("mae"),
              F.sqrt(F.avg(error * error)).alias("rmse"))
     )
-    return windows.select(F.to_date("window.end").alias("prism_day"), "n", "bias", "mae", "rmse")
+    return windows.select(F.to_date(F.to_utc_timestamp("window.end", zone)).alias("prism_day"), "n", "bias", "mae", "rmse")
