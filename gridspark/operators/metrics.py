@@ -143,24 +143,36 @@ def paired_metrics(
         difference.alias(f"rmse_{second}_minus_{first}"))
 
 
-def summary_rows(
+def station_sums(
     pairs: DataFrame, stations: DataFrame, distance: str, variables: Sequence[str], pred_suffix: str,
     windows: Sequence[str] = (), station: str = "station_id",
 ) -> DataFrame:
-    """Per window and variable: stations, matched hours, distance median and p90, bias, RMSE.
+    """Error sums per window, variable and station with matches, plus the station's distance."""
+    keys = [*windows, station]
+    sums = error_sums(pairs, keys, error_columns(pairs, variables, pred_suffix))
+    return by_variable(sums, keys).where("n > 0").join(
+        stations.select(station, F.col(distance).alias("dist"), F.lit(1).alias("known")), station, "left")
+
+
+def summarise(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: stations, matched hours, distance median and p90, bias, RMSE, from stored station sums.
 
-    Distances count each station with a matched row once. Variables without a matched row are
-    left out. `stations` has one row per station.
+    Distances count each station with a matched row once; keys without a matched row are left out.
     """
-    windows = list(windows)
-    # Written once: the counts and the percentiles read it several times.
-    sums = materialise(error_sums(pairs, [*windows, station], error_columns(pairs, variables, pred_suffix)))
-    rows = by_variable(sums, [*windows, station]).where("n > 0").join(
-        stations.select(station, F.col(distance).alias("_dist"), F.lit(1).alias("_known")), station, "left")
-    keys = [*windows, "var"]
-    totals = rows.groupBy(*keys).agg(
-        F.count("_known").alias("n_stations"), *[F.sum(s).alias(s) for s in _SUMS])
-    spread = exact_percentiles(rows, keys, "_dist", {"dist_median_m": 0.5, "dist_p90_m": 0.9})
-    return totals.join(spread, keys, "left").select(
+    totals = rows.groupBy(*keys).agg(F.count("known").alias("n_stations"), *[F.sum(s).alias(s) for s in _SUMS])
+    spread = exact_percentiles(rows, keys, "dist", {"dist_median_m": 0.5, "dist_p90_m": 0.9})
+    return totals.join(spread, list(keys), "left").select(
         *keys, "n_stations", F.col("n").alias("n_hours"), "dist_median_m", "dist_p90_m",
         (F.col("e") / F.col("n")).alias("bias"), F.sqrt(F.col("q") / F.col("n")).alias("rmse"))
+
+
+def summary_rows(
+    pairs: DataFrame, stations: DataFrame, distance: str, variables: Sequence[str], pred_suffix: str,
+    windows: Sequence[str] = (), station: str = "station_id",
+) -> DataFrame:
+    """Summary of one comparison per window and variable. `stations` has one row per station.
+
+    The station sums are written once: counts and percentiles read them several times.
+    """
+    rows = station_sums(pairs, stations, distance, variables, pred_suffix, windows, station)
+    return summarise(materialise(rows), [*windows, "var"])

@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.time import shifted_day, window_label, window_tag
-from gridspark.operators.metrics import match_paired, match_pairs, paired_metrics, summary_rows, variable_label
+from gridspark.operators.metrics import (
+    match_paired, match_pairs, paired_metrics, station_sums, summarise, variable_label,
+)
 from gridspark.operators.neighbours import nearest_one, with_xy
 from gridspark.operators.stations import first_coordinates, with_observations
+from gridspark.session import materialise
 
 MET = ("temp_C", "ea_hPa", "rh_pct")
 INDICES = ("temp_C", "rh_pct", "HI_C", "WBGT_C")
@@ -52,10 +55,13 @@ class Comparison:
 
 
 def map_stations(stations: DataFrame, grid: DataFrame, suffix: str) -> DataFrame:
-    """Add key_<suffix> and dist_m_<suffix>, the nearest cell of a grid table and its distance."""
+    """Add key_<suffix> and dist_m_<suffix>, the nearest cell of a grid table and its distance.
+
+    The result is static and joined many times, so it is written once.
+    """
     placed = with_xy(stations, "LAT", "LON")
     found = nearest_one(placed, grid, ["station_id"], "key", f"dist_m_{suffix}")
-    return found.drop("x", "y").withColumnRenamed("key", f"key_{suffix}")
+    return materialise(found.drop("x", "y").withColumnRenamed("key", f"key_{suffix}"))
 
 
 def windows_of(spark, spans: Sequence[tuple[str, str]]) -> DataFrame:
@@ -92,7 +98,7 @@ def isd_comparisons(
 
     `stations` carries key_model, key_era and the flags of `keep_flags`; `observations` window_id.
     """
-    used = with_observations(stations, observations)
+    used = materialise(with_observations(stations, observations))
     specs = [
         (MODEL_MET, NEAR_MODEL, "model", "keep_model", model), (COARSE_MET, NEAR_COARSE, "era", "keep_era", coarse)]
     return [
@@ -136,23 +142,25 @@ def surfrad_comparison(observations: DataFrame, grid: DataFrame, predictions: Da
     return network_comparison(observations, grid, predictions, MODEL_UTCI, SURFRAD, have)
 
 
-def comparison_rows(c: Comparison, windows: DataFrame) -> DataFrame:
-    """Summary rows of one comparison, a row per window and variable with matches."""
-    rows = summary_rows(c.pairs, c.stations, c.distance, c.variables, c.pred_suffix, ["window_id"])
+def summary_table(comparisons: Sequence[Comparison], windows: DataFrame) -> DataFrame:
+    """All comparisons as one table in reading order, a row per window and variable with matches.
+
+    Every comparison is reduced to station sums; these are stacked, written once and summarised
+    together.
+    """
+    stacked = None
+    for c in comparisons:
+        rows = station_sums(c.pairs, c.stations, c.distance, c.variables, c.pred_suffix, ["window_id"])
+        rows = rows.withColumns({
+            "product": F.lit(c.product), "reference": F.lit(c.reference), "distance_filter": F.lit(c.distance_filter)})
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    keys = ["window_id", "product", "reference", "distance_filter", "var"]
     start, end = F.col("start_day"), F.col("end_day")
-    return rows.join(windows, "window_id").select(
+    return summarise(materialise(stacked), keys).join(windows, "window_id").select(
         window_label(start, end).alias("window_label"), F.date_format(start, "yyyy-MM-dd").alias("window_start"),
-        F.date_format(end, "yyyy-MM-dd").alias("window_end"), F.lit(c.product).alias("product"),
-        F.lit(c.reference).alias("reference"), variable_label(F.col("var")).alias("variable"), "n_stations",
-        "n_hours", F.lit(c.distance_filter).alias("distance_filter"), "dist_median_m", "dist_p90_m", "bias", "rmse")
-
-
-def summary_table(comparisons: Sequence[Comparison], windows: DataFrame) -> DataFrame:
-    """All comparisons as one table in reading order."""
-    table = comparison_rows(comparisons[0], windows)
-    for c in comparisons[1:]:
-        table = table.unionByName(comparison_rows(c, windows))
-    return table.orderBy(*TABLE_ORDER)
+        F.date_format(end, "yyyy-MM-dd").alias("window_end"), "product", "reference",
+        variable_label(F.col("var")).alias("variable"), "n_stations", "n_hours", "distance_filter",
+        "dist_median_m", "dist_p90_m", "bias", "rmse").orderBy(*TABLE_ORDER)
 
 
 def window_extract(table: DataFrame, start: str, end: str) -> DataFrame:
