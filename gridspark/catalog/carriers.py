@@ -41,9 +41,10 @@ VIEWS = {
     "tract_points": """
         select GEOID, 30e0 + tract_code*1e-2 as lat, -100e0 + tract_code*1e-2 as lon
         from {tract_lut} where tract_code % 10 <> 0""",
-    "pop_year": """
-        select p_partkey as cell_id, y.yr as yr, p_retailprice*(y.yr - 1999) as pop
-        from {part} cross join (select 2000 as yr union all select 2001 as yr union all select 2010 as yr) y""",
+    "pop_year": " union all ".join(
+        f"select p_partkey as cell_id, {year} as yr, p_retailprice*({year} - 1999) as pop from {{part}}"
+        for year in (2000, 2001, 2010)
+    ),
     # Hourly values on the fine grid.
     "grid_hour": f"""
         select l_partkey as cell_id, {_DAY} as prism_day, {_HOUR} as ph,

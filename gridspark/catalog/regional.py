@@ -42,13 +42,13 @@ _ROUNDED = ", ".join(f"round({m}, 6) as {m}" for m in _COLUMNS)
 
 
 def cell_hours(v: Views) -> DataFrame:
-    """Hourly cell metrics with latitude."""
-    g = v.grid_hour.select("cell_id", "prism_day", "ph", "temp_c", "rh", heat_index_c(c("temp_c"), c("rh")).alias("hi"))
-    return g.join(v.cells.select("cell_id", "lat"), "cell_id")
+    """Hourly cell metrics."""
+    return v.grid_hour.select("cell_id", "prism_day", "ph", "temp_c", "rh", heat_index_c(c("temp_c"), c("rh")).alias("hi"))
 
 
 def cell_map(v: Views) -> DataFrame:
-    return v.cells.select("cell_id", "tract_code", "pop")
+    """Everything about a cell in one table, so that hourly rows meet it in one join."""
+    return v.cells.select("cell_id", "lat", "tract_code", "pop")
 
 
 def _means(v: Views) -> DataFrame:
@@ -102,7 +102,7 @@ _STRESS_COLUMNS = ("temp_C_used", "rh_pct_used", "HI_C", "UTCI_C")
     join tract_lut l on l.tract_code = k.tract_code""")
 def tract_heat_stress(v: Views) -> DataFrame:
     layers = v.grid_hour.withColumnRenamed("temp_c", "t2m").select("cell_id", "prism_day", "ph", *LAYERS)
-    cells = heat_stress(layers, wbgt=False).drop("WBGT_C").join(v.cells.select("cell_id", "lat"), "cell_id")
+    cells = heat_stress(layers, wbgt=False).drop("WBGT_C")
     return rounded(tract_table(cells, cell_map(v), v.tract_lut, ["cell_id"]).drop("lat", "lon"), 3)
 
 

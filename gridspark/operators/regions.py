@@ -46,13 +46,16 @@ def region_means(
     positive weights count. Without population the `_pop` columns are NULL. Sums combine before
     the shuffle, so a region holding most cells costs each task one partial row per hour.
     """
-    w_area = F.when(area > 0, area)
-    w_pop = None if pop is None else F.when(pop > 0, pop.cast("double"))
+    weights = {"_w_area": F.when(area > 0, area)}
+    if pop is not None:
+        weights["_w_pop"] = F.when(pop > 0, pop.cast("double"))
+    df = df.withColumns(weights)
     sums, means, covered = [], [], []
     for v in values:
         value = F.col(v).cast("double")
-        for name, weight in (("area", w_area), ("pop", w_pop)):
-            if weight is None:
+        for name in ("area", "pop"):
+            weight = F.col(f"_w_{name}")
+            if f"_w_{name}" not in weights:
                 means.append(F.lit(None).cast("double").alias(f"{v}_pop"))
                 continue
             total, share = f"_{v}_{name}_s", f"_{v}_{name}_w"
@@ -100,8 +103,8 @@ def tract_table(
 ) -> DataFrame:
     """The full regional table of hourly cell rows keyed by cell, `prism_day` and `ph`.
 
-    `cells` carries lat. `cell_regions` holds cell keys and tract_code, and with `population`
-    also `pop` (see `attach_population`), joined on any of its day-independent keys.
+    `cell_regions` holds cell keys and tract_code, and with `population` also `pop` (see
+    `attach_population`); one of the two tables carries lat. They join on the columns they share.
     """
     values = list(values or value_columns(cells, exclude=cell_keys))
     mapped = attach_regions(cells, cell_regions, [c for c in cell_regions.columns if c in cells.columns])

@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.functions.geo import area_weight
 from gridspark.functions.humidity import shifted_vapor_pressure
 from gridspark.operators.axis import grid_nearest
 from gridspark.operators.interpolate import attach_sources, interpolated, may_broadcast
 from gridspark.operators.quality import days_to_run, missing_inputs, require_none
-from gridspark.operators.regions import attach_population, tract_table
+from gridspark.operators.regions import (
+    attach_population, attach_regions, dense_hours, name_regions, region_means,
+)
 from gridspark.operators.templates import scaled_temperature, template_hour
 from gridspark.plans.fields import (
     RADIATION, RADIATION_CUTOFF_M, WEATHER, WEATHER_CUTOFF_M, coarse_weather, radiation, radiation_values,
@@ -54,19 +57,19 @@ class Inputs:
     representative: DataFrame | None = None
 
 
-def hourly_inputs(inputs: Inputs, days: DataFrame) -> DataFrame:
-    """lat, lon, prism_day, ph and the twelve layers.
+def hourly_inputs(inputs: Inputs, daily: DataFrame, days: DataFrame) -> DataFrame:
+    """lat, lon, prism_day, ph, the twelve layers, and whatever else `daily` carries.
 
     When the packed source values are proven small everything joins at one row per cell and day
     and hours are spread last, so no hourly row is shuffled before the regional sums. Otherwise
     each field is built on its own and the three are joined.
     """
-    daily = inputs.daily.join(days, "prism_day", "left_semi")
+    carried = [c for c in daily.columns if c not in ("prism_day", "tmin", "tmax", "tdmean")]
     weather = materialise(weather_values(inputs.coarse).join(days, "prism_day", "left_semi"))
     sun = materialise(radiation_values(inputs.half_hours).join(days, "prism_day", "left_semi"))
     if not (may_broadcast(weather, len(WEATHER)) and may_broadcast(sun, len(RADIATION))):
         keys = [*CELL, "prism_day", "ph"]
-        warm = temperature_and_humidity(daily, inputs.coarse, CELL, inputs.coarse_grid).where("ea IS NOT NULL")
+        warm = temperature_and_humidity(daily, inputs.coarse, carried, inputs.coarse_grid).where("ea IS NOT NULL")
         return warm.join(coarse_weather(inputs.weather_nn, inputs.coarse, days, CELL), keys).join(
             radiation(inputs.radiation_nn, inputs.half_hours, days, CELL), keys)
 
@@ -85,29 +88,48 @@ def hourly_inputs(inputs: Inputs, days: DataFrame) -> DataFrame:
     rows = rows.withColumn("t2m", scaled_temperature(F.col("tmin"), F.col("tmax"), frac))
     ea = shifted_vapor_pressure(td, F.col("td_mean"), F.col("tdmean"), F.col("t2m"))
     return rows.select(
-        *CELL, "prism_day", "ph", "t2m", ea.alias("ea"),
+        *carried, "prism_day", "ph", "t2m", ea.alias("ea"),
         *[interpolated(v, tag="w_", cutoff_m=WEATHER_CUTOFF_M).alias(v) for v in WEATHER],
         *[interpolated(v, tag="r_", cutoff_m=RADIATION_CUTOFF_M).alias(v) for v in RADIATION],
     )
 
 
-def regional_table(inputs: Inputs, days: DataFrame) -> DataFrame:
-    """The regional table of the given days, with `pop_year`.
+def weighted_cells(inputs: Inputs, days: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Region and population per cell and year of the requested days, and the years' table.
 
     The population year follows the label of the day, not the hour's own year.
     """
-    cells = heat_stress(hourly_inputs(inputs, days))
     if inputs.population is None:
-        table = tract_table(cells, inputs.cell_regions, inputs.codes, CELL, population=False,
-                            representative=inputs.representative)
-        return table.withColumn("pop_year", F.lit(None).cast("int"))
+        return inputs.cell_regions, None
     resolved = resolve_population_years(days.select(F.year("prism_day").alias("yr")), inputs.population)
     people = population_of_years(inputs.population, resolved)
     years = resolved.agg(F.collect_set("yr").alias("y")).scalar()
-    keys = [*CELL, "yr"]
-    mapped = attach_population(inputs.cell_regions.withColumn("yr", F.explode(years)), people, keys)
-    table = tract_table(cells.withColumn("yr", F.year("prism_day")), mapped, inputs.codes, keys,
-                        representative=inputs.representative, values=METRICS)
+    return attach_population(
+        inputs.cell_regions.withColumn("yr", F.explode(years)), people, [*CELL, "yr"]), resolved
+
+
+def heat_stress_cells(inputs: Inputs, days: DataFrame) -> DataFrame:
+    """The long metric table of all cells: lat, lon, prism_day, ph and the five metrics."""
+    daily = inputs.daily.join(days, "prism_day", "left_semi")
+    return heat_stress(hourly_inputs(inputs, daily, days))
+
+
+def regional_table(inputs: Inputs, days: DataFrame) -> DataFrame:
+    """The regional table of the given days, with `pop_year`.
+
+    Region and weights join the daily rows, so cells outside all regions drop out before any hour
+    is made, and the regional sums are the only step that shuffles by hour.
+    """
+    mapped, resolved = weighted_cells(inputs, days)
+    daily = inputs.daily.join(days, "prism_day", "left_semi").withColumn("yr", F.year("prism_day"))
+    daily = attach_regions(daily, mapped, [c for c in (*CELL, "yr") if c in mapped.columns]).drop("yr")
+    cells = heat_stress(hourly_inputs(inputs, daily, days))
+    means = region_means(
+        cells, METRICS, ["tract_code", "prism_day", "ph"], area_weight(F.col("lat")),
+        None if resolved is None else F.col("pop"))
+    table = name_regions(dense_hours(means, ["tract_code", "prism_day"]), inputs.codes, inputs.representative)
+    if resolved is None:
+        return table.withColumn("pop_year", F.lit(None).cast("int"))
     return table.withColumn("yr", F.year("prism_day")).join(resolved, "yr").drop("yr")
 
 

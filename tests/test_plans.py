@@ -49,10 +49,10 @@ def days_of(spark, days=DAYS):
 
 def test_hourly_inputs_by_both_plans(spark, inputs, monkeypatch):
     keys = ["lat", "lon", "prism_day", "ph"]
-    joined = run.hourly_inputs(inputs, days_of(spark))
+    joined = run.hourly_inputs(inputs, inputs.daily, days_of(spark))
     assert joined.count() == 8 * 2 * 24  # one cell has no mean dewpoint
     monkeypatch.setattr(run, "may_broadcast", lambda *a, **k: False)
-    separate = run.hourly_inputs(inputs, days_of(spark))
+    separate = run.hourly_inputs(inputs, inputs.daily, days_of(spark))
     both = joined.join(separate.withColumnsRenamed({v: f"{v}_2" for v in LAYERS}), keys)
     assert both.count() == 384
     for v in LAYERS:
