@@ -23,6 +23,8 @@ def build_session(app: str = "gridspark", master: str | None = None, **conf: obj
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Methods above this size are never compiled by the JIT; Spark then generates smaller ones.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     for key, value in settings.items():

@@ -36,12 +36,12 @@ def narrow(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def write_days(df: DataFrame, path: str, partitions: Sequence[str] = ("prism_day",), sort: Sequence[str] = ()) -> None:
     """zstd Parquet partitioned by day; only the days in `df` are replaced.
 
-    Rows are range-partitioned by day and sort key, so a day spreads over as many files as its
-    size needs and file statistics help later cell lookups.
+    The rebalance hint gathers a day in few files and splits a day too large for one, without the
+    sampling pass of a range partitioning; sorting makes file statistics help later cell lookups.
     """
     order = [*partitions, *sort]
     (
-        df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
+        df.hint("rebalance", *[F.col(p) for p in partitions]).sortWithinPartitions(*order).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
         .partitionBy(*partitions).parquet(path)
     )
