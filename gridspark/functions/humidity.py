@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridspark.functions.missing import at_least, at_most, clip
+from gridspark.functions.missing import at_most, clip
 
 KELVIN = 273.15
 
@@ -31,7 +31,8 @@ def saturation_hpa(t_c: Column) -> Column:
 
 def relative_humidity(ea_hpa: Column, t_c: Column) -> Column:
     """Relative humidity in percent, limited to 0..100."""
-    return clip(F.lit(100.0) * ea_hpa / at_least(saturation_hpa(t_c), 1e-6), 0.0, 100.0)
+    share = F.lit(100.0) * ea_hpa / F.greatest(saturation_hpa(t_c), F.lit(1e-6))
+    return F.when(t_c.isNotNull(), clip(share, 0.0, 100.0))
 
 
 def vapor_pressure(rh_pct: Column, t_c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Missing-value rules.
 
 Sources turn NaN, infinities and sentinels into NULL once; everything after relies on
-SQL NULL semantics. `least`/`greatest` are avoided on nullable input because they skip NULL.
+SQL NULL semantics. `least`/`greatest` skip NULL, so they are used on guarded input only.
 """
 
 from __future__ import annotations
@@ -22,14 +22,12 @@ def sentinel_to_null(value: Column, sentinel: float | None) -> Column:
 
 
 def clip(value: Column, low: Column | float, high: Column | float) -> Column:
-    """Limit to [low, high]; NULL stays NULL."""
-    low, high = _column(low), _column(high)
-    return F.when(value < low, low).when(value > high, high).otherwise(value)
+    """Limit to [low, high]; NULL stays NULL. Bounds are non-null.
 
-
-def at_least(value: Column, low: Column | float) -> Column:
-    low = _column(low)
-    return F.when(value < low, low).otherwise(value)
+    The guard keeps `greatest` and `least` from skipping a NULL value; unlike a chain of
+    comparisons it writes `value` out only twice.
+    """
+    return F.when(value.isNotNull(), F.least(F.greatest(value, _column(low)), _column(high)))
 
 
 def at_most(value: Column, high: Column | float) -> Column:

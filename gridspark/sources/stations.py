@@ -63,8 +63,8 @@ def parse_isd_lite(lines: DataFrame, station: str = "station_id", text: str = "v
     Twelve columns, tenths of a degree, -9999 missing. Rows without a valid time or temperature
     drop out; a missing dewpoint leaves the humidity columns NULL.
     """
-    parts = F.split(F.trim(text), r"\s+")
-    field = lambda i: F.get(parts, F.lit(i))
+    lines = lines.select(station, F.split(F.trim(text), r"\s+").alias("_parts"))
+    field = lambda i: F.get("_parts", F.lit(i))
     whole = lambda i: field(i).try_cast("int")
     tenths = lambda i: F.nullif(field(i), F.lit(MISSING)).try_cast("double") / 10.0
     typed = lines.select(
