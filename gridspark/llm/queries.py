@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bpe, licenses, packing, pii
+from gridspark.llm import bpe, html, langid, licenses, packing, pii, quality, simhash, topk, vectors
 from gridspark.llm.common import load
 from gridspark.llm.tokens import tokenizer_path
 
@@ -29,11 +29,41 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(load(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json")).drop("ids")
 
 
+@query
+def op3_vector_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(load(spark, folder, "embeddings"))
+
+
 @query
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_pii(load(spark, folder, "documents")).drop("found")
 
 
+@query
+def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, folder, "documents"))
+
+
+@query
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_texts(load(spark, folder, "pages"))
+
+
+@query
+def op7_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(load(spark, folder, "embeddings"))
+
+
+@query
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(load(spark, folder, "documents"))
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(load(spark, folder, "documents"))
+
+
 @query
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(load(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
