@@ -33,7 +33,9 @@ KEEP_FROM = 0.5
 # Expectation-maximisation starts from, and is held towards, heuristics that are mostly right: the weight
 # is a share of all documents, so the result is alike at every size.
 PRIOR_SHARE = 0.1
-PRIOR_VOTES = {BAD: (0.6, 0.3, 0.1), GOOD: (0.05, 0.25, 0.7)}
+DETECTORS, HEURISTICS = 6, 8
+PRIOR_DETECTOR = {BAD: (0.25, 0.7, 0.05), GOOD: (0.02, 0.93, 0.05)}
+PRIOR_PROSE = {BAD: (0.05, 0.65, 0.3), GOOD: (0.05, 0.15, 0.8)}
 PRIOR_GOOD = 0.8
 ROUNDS = 50
 
@@ -73,25 +75,24 @@ def statistics(data: bytes) -> tuple[np.ndarray, int]:
     ]), len(words)
 
 
-def vote(bad: bool, good: bool) -> int:
-    return BAD if bad else GOOD if good else NONE
-
-
 def votes(data: bytes) -> tuple[int, ...]:
-    """One vote of each heuristic; a text without words gets none."""
+    """One vote of each heuristic: detectors of one kind of rubbish each, which vote bad or not at all, then two
+    that look for prose, which vote good or not at all. A text without words gets no votes."""
     s, n = statistics(data)
     if not n:
-        return (NONE,) * 7
+        return (NONE,) * HEURISTICS
     symbols, capitals, shouts, bars, repeats, different, stops = s
-    return (
-        vote(symbols > 0.08, symbols < 0.02),
-        vote(capitals > 0.4, capitals < 0.15),
-        vote(shouts > 0.2, shouts < 0.02),
-        vote(bars > 0.15, bars == 0 and n > 10),
-        vote(repeats > 0.15, repeats < 0.05),
-        vote(n >= 40 and different < 0.12, different > 0.3),
-        vote(n >= 40 and (stops > 0.6 or stops < 0.005), 0.02 < stops < 0.4),
-    )
+    return tuple(BAD if bad else NONE for bad in (
+        symbols - bars * n / max(1, len(data)) > 0.08,
+        n >= 5 and capitals > 0.4,
+        shouts > 0.2,
+        n >= 10 and bars > 0.1,
+        n >= 10 and repeats > 0.15,
+        n >= 100 and different < 0.1,
+    )) + tuple(GOOD if good else NONE for good in (
+        symbols < 0.03 and (n < 10 or capitals < 0.15),
+        repeats < 0.05 and bars < 0.02 and (n < 10 or 0.01 < stops < 0.5),
+    ))
 
 
 def posteriors(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -100,15 +101,16 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
     hot = np.stack([patterns == v for v in (BAD, NONE, GOOD)], axis=2).astype(float)  # (n, k, 3)
     total = counts.sum()
     weight = PRIOR_SHARE * total
-    prior = np.array([PRIOR_VOTES[BAD], PRIOR_VOTES[GOOD]])  # (2, 3)
-    chance = np.repeat(prior[:, None], k, axis=1)
+    kinds = [PRIOR_DETECTOR if i < DETECTORS else PRIOR_PROSE for i in range(k)]
+    prior = np.array([[kind[side] for kind in kinds] for side in (BAD, GOOD)])  # (2, k, 3)
+    chance = prior
     share = PRIOR_GOOD
     good = np.full(n, PRIOR_GOOD)
     for _ in range(ROUNDS):
         logs = np.einsum("nkv,ckv->cn", hot, np.log(chance)) + np.log([[1 - share], [share]])
         good = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
         mass = np.stack([(1 - good) * counts, good * counts])  # (2, n)
-        seen = np.einsum("cn,nkv->ckv", mass, hot) + weight * prior[:, None]
+        seen = np.einsum("cn,nkv->ckv", mass, hot) + weight * prior
         chance = seen / seen.sum(axis=2, keepdims=True)
         share = (mass[1].sum() + weight * PRIOR_GOOD) / (total + weight)
     return good
