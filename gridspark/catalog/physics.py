@@ -15,7 +15,7 @@ from gridspark.functions.heat import (
 )
 from gridspark.functions.humidity import kelvin_to_celsius, relative_humidity, saturation_hpa, vapor_pressure
 from gridspark.functions.utci import utci_c
-from gridspark.functions.wbgt import NEWTON_STEPS, wbgt_k
+from gridspark.functions.wbgt import wbgt_k
 from gridspark.plans.heatstress import LAYERS, heat_stress
 
 c = F.col
@@ -100,8 +100,15 @@ def utci_validity_mask(v: Views) -> DataFrame:
         wbgt_in_range(c("temp_c") * 4 - 70).alias("wbgt_masked")))
 
 
-def _sql_balance() -> str:
-    """The two energy balances as chained selects, one per Newton step."""
+# Steps of the oracle's iteration; more than the engine takes, so that it needs no other way of settling.
+SQL_STEPS = 30
+
+
+def _sql_balance(source: str, keys: str) -> str:
+    """The two energy balances of a source with our layer names as chained selects, one per Newton step.
+
+    A step is held to 40 K, which changes no root.
+    """
     import math
 
     r_air = 8314.34 / 28.97
@@ -120,13 +127,12 @@ def _sql_balance() -> str:
         f" when ghi >= 675 then {day(a, b, b, cc, dd)} when ghi >= 175 then {day(b, cc, cc, dd, dd)} else 0.15e0 end")
     esat = lambda t: f"(1.004e0*6.1121e0*exp(17.502e0*({t} - 273.15e0)/({t} - 32.18e0)))"
     visc = lambda t: f"(2.6693e-6*sqrt(28.97e0*{t})/(3.617e0*3.617e0*(({t}/97e0 - 2.9e0)/0.4e0*(-0.034e0) + 1.048e0)))"
-    carry = "l_orderkey, l_linenumber, cell_id, t, p, u, ea, lw, swg, sww"
+    carry = f"{keys}, t, p, u, ea, lw, swg, sww"
     text = f"""
-        select l_orderkey, l_linenumber, cell_id, temp_c + 273.15e0 as t, rh, sp/1e2 as p, ghi, {_WIND} as s10,
+        select {keys}, temp_c + 273.15e0 as t, rh, sp/1e2 as p, ghi, {_WIND} as s10,
                case when {_COS} <= 0 then -0.5e0 else {_COS} end as czd,
                case when ghi > 1 then {sql_clip('(1e0 - dhi/ghi)', '0e0', '1e0')} else 0e0 end as f0
-        from (select * exclude (sza, rh), sza + l_orderkey % 10 as sza,
-                     (case when rh > 100 then 100e0 else rh end) as rh from grid_hour) g"""
+        from ({source}) g"""
     text = f"""
         select *, case when s10*pow(0.2e0, {profile}) < 0.13e0 then 0.13e0 else s10*pow(0.2e0, {profile}) end as u,
                rh/1e2*{esat('t')} as ea, case when czd > 0 then f0 else 0e0 end as f, case when czd > 0 then czd else 1e0 end as cz
@@ -138,7 +144,7 @@ def _sql_balance() -> str:
                ghi*0.6e0*((1e0 - f)*(1e0 + {edge}) + f*(sqrt(1e0 - cz*cz)/cz/{x(math.pi)} + {edge}) + 0.45e0) as sww,
                t as tg, t as tw, t as mg, t as mw
         from ({text}) g1"""
-    for _ in range(NEWTON_STEPS):
+    for _ in range(SQL_STEPS):
         text = f"select *, 0.5e0*(tg + t) as fg, 0.5e0*(tw + t) as fw from ({text}) a"
         text = f"select *, {visc('fg')} as vg, {visc('fw')} as vw, {esat('tw')} as ew from ({text}) b"
         text = f"""
@@ -153,14 +159,24 @@ def _sql_balance() -> str:
                    /(1e0 + lat*(ew*17.502e0*(273.15e0 - 32.18e0)/((tw - 32.18e0)*(tw - 32.18e0)))*(p - ea)/((p - ew)*(p - ew))
                      + 4e0*5.6696e-8*0.95e0*tw*tw*tw/hw) as mw
             from ({text}) d"""
-        text = f"select {carry}, tg + mg as tg, tw + mw as tw, mg, mw from ({text}) e"
+        held = "greatest(-4e1, least(4e1, {}))"
+        text = f"select {carry}, tg + {held.format('mg')} as tg, tw + {held.format('mw')} as tw, mg, mw from ({text}) e"
     return text
 
 
-@query(f"""
-    select {_ROW}, round(case when wbgt between -60 and 80 then wbgt end, 4) as wbgt_c
-    from (select {_ROW}, case when abs(mg) <= 1e-3 and abs(mw) <= 1e-3 then 0.1e0*t + 0.2e0*tg + 0.7e0*tw - 273.15e0 end as wbgt
-          from ({_sql_balance()}) z) y""")
+def sql_wbgt(source: str, keys: str) -> str:
+    """keys and wbgt_c of a source with temp_c, rh, sp, u10, v10, ghi, dhi, sza."""
+    wbgt = "0.1e0*t + 0.2e0*tg + 0.7e0*tw - 273.15e0"
+    return f"""
+        select {keys}, case when abs(mg) <= 1e-3 and abs(mw) <= 1e-3 and {wbgt} between -60 and 80 then {wbgt} end as wbgt_c
+        from ({_sql_balance(source, keys)}) z"""
+
+
+_TILTED = """
+    select * exclude (sza, rh), sza + l_orderkey % 10 as sza, (case when rh > 100 then 100e0 else rh end) as rh from grid_hour"""
+
+
+@query(f"select {_ROW}, round(wbgt_c, 4) as wbgt_c from ({sql_wbgt(_TILTED, _ROW)}) y")
 def wbgt_index(v: Views) -> DataFrame:
     g = v.grid_hour.withColumns({"sza": c("sza") + c("l_orderkey") % 10, "rh": F.when(c("rh") > 100, 100.0).otherwise(c("rh"))})
     k = wbgt_k(
@@ -171,11 +187,14 @@ def wbgt_index(v: Views) -> DataFrame:
 
 
 def sql_heat_stress(source: str, keys: str) -> str:
-    """The metric table (without the wet-bulb globe temperature) from layer columns named as ours."""
-    short = _SHORT.replace("grid_hour", f"({source}) src")
+    """The metric table from layer columns named as ours."""
     rh = sql_rh("ea", "t2m")
+    # The row travels through the balances as one value, so no layer's name meets theirs.
+    globe = f"select src as layers, t2m as temp_c, {rh} as rh, sp, u10, v10, ghi, dhi, sza from ({source}) src"
+    solved = f"select unnest(layers), wbgt_c from ({sql_wbgt(globe, 'layers')}) solved"
+    short = _SHORT.replace("grid_hour", f"({solved}) src")
     return f"""
-        select {keys}, t2m as temp_C_used, rh as rh_pct_used, {sql_heat_index('t2m', 'rh')} as HI_C,
+        select {keys}, t2m as temp_C_used, rh as rh_pct_used, {sql_heat_index('t2m', 'rh')} as HI_C, wbgt_c as WBGT_C,
                case when t2m is not null and u10 is not null and v10 is not null and ea is not null and ghi is not null
                      and dni is not null and sza is not null and alb is not null and lwdown is not null and lwnet is not null
                      and t2m between -50 and 50 and tr - t2m between -30 and 70 and wind between 0.5 and 17
@@ -189,8 +208,8 @@ _LAYERS = (
 
 @query(f"""
     select l_orderkey, l_linenumber, cell_id, round(temp_C_used, 6) as temp_C_used, round(rh_pct_used, 6) as rh_pct_used,
-           round(HI_C, 6) as HI_C, round(UTCI_C, 3) as UTCI_C
+           round(HI_C, 6) as HI_C, round(WBGT_C, 4) as WBGT_C, round(UTCI_C, 3) as UTCI_C
     from ({sql_heat_stress(_LAYERS, 'l_orderkey, l_linenumber, cell_id')}) h""")
 def heat_stress_table(v: Views) -> DataFrame:
     layers = v.grid_hour.withColumnRenamed("temp_c", "t2m").select("l_orderkey", "l_linenumber", "cell_id", *LAYERS)
-    return rounded(heat_stress(layers, wbgt=False).drop("WBGT_C"), UTCI_C=3)
+    return rounded(heat_stress(layers), UTCI_C=3, WBGT_C=4)

@@ -88,7 +88,7 @@ def tract_area_only(v: Views) -> DataFrame:
 _STRESS = sql_heat_stress(
     "select l_orderkey, cell_id, prism_day, ph, temp_c as t2m, ea, sp, u10, v10, lwdown, lwnet, ghi, dhi, dni, sza, alb from grid_hour",
     "cell_id, prism_day, ph")
-_STRESS_COLUMNS = ("temp_C_used", "rh_pct_used", "HI_C", "UTCI_C")
+_STRESS_COLUMNS = ("temp_C_used", "rh_pct_used", "HI_C", "WBGT_C", "UTCI_C")
 
 
 @query(f"""
@@ -102,7 +102,7 @@ _STRESS_COLUMNS = ("temp_C_used", "rh_pct_used", "HI_C", "UTCI_C")
     join tract_lut l on l.tract_code = k.tract_code""")
 def tract_heat_stress(v: Views) -> DataFrame:
     layers = v.grid_hour.withColumnRenamed("temp_c", "t2m").select("cell_id", "prism_day", "ph", *LAYERS)
-    cells = heat_stress(layers, wbgt=False).drop("WBGT_C")
+    cells = heat_stress(layers)
     return rounded(tract_table(cells, cell_map(v), v.tract_lut, ["cell_id"]).drop("lat", "lon"), 3)
 
 

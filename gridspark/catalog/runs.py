@@ -12,9 +12,9 @@ from gridspark.catalog.regional import _weighted
 from gridspark.plans.fields import neighbour_table
 from gridspark.plans.run import CELL, Inputs, regional_table
 
-METRICS = ("temp_C_used", "rh_pct_used", "HI_C", "UTCI_C")
-# The polynomial of the last one loses digits to cancellation.
-DIGITS = {"temp_C_used": 7, "rh_pct_used": 7, "HI_C": 7, "UTCI_C": 3}
+METRICS = ("temp_C_used", "rh_pct_used", "HI_C", "WBGT_C", "UTCI_C")
+# The polynomial of the last one loses digits to cancellation; the one before it is iterated.
+DIGITS = {"temp_C_used": 7, "rh_pct_used": 7, "HI_C": 7, "WBGT_C": 3, "UTCI_C": 3}
 
 _ALL = f"""
     select f.cell_id, f.prism_day, f.ph, f.t2m, f.ea, sp, u10, v10, lwdown, lwnet, ghi, dhi, dni, sza, alb
@@ -41,14 +41,27 @@ def inputs_of(v: Views) -> Inputs:
         representative=v.tract_points)
 
 
-@query(f"""
+SQL_RUN = f"""
     select GEOID, k.prism_day, h.ph, round(pt.lat, 6) as lat, round(pt.lon, 6) as lon, 2010 as pop_year,
            {', '.join(f'round({m}_{w}, {DIGITS[m]}) as {m}_{w}' for m in METRICS for w in ('area', 'pop'))}
     from (select distinct tract_code, prism_day from ({_MEANS}) q where {' or '.join(f'{m}_area is not null' for m in METRICS)}) k
     cross join (select cast(unnest(range(24)) as int) as ph) h
     left join ({_MEANS}) m on m.tract_code = k.tract_code and m.prism_day = k.prism_day and m.ph = h.ph
-    join tract_lut l on l.tract_code = k.tract_code left join tract_points pt using (GEOID)""")
+    join tract_lut l on l.tract_code = k.tract_code left join tract_points pt using (GEOID)"""
+
+
+@query(SQL_RUN)
 def regional_run(v: Views) -> DataFrame:
     days = v.cell_day.select("prism_day").distinct()
-    out = regional_table(inputs_of(v), days)
-    return rounded(out.drop("WBGT_C_area", "WBGT_C_pop"), 7, lat=6, lon=6, UTCI_C_area=3, UTCI_C_pop=3)
+    return _as_compared(regional_table(inputs_of(v), days))
+
+
+def _as_compared(table: DataFrame) -> DataFrame:
+    return rounded(table, 7, lat=6, lon=6, **{f"{m}_{w}": 3 for m in ("WBGT_C", "UTCI_C") for w in ("area", "pop")})
+
+
+@query(SQL_RUN)
+def regional_run_by_shuffle(v: Views) -> DataFrame:
+    """The same run when the packed sources are too large to broadcast."""
+    days = v.cell_day.select("prism_day").distinct()
+    return _as_compared(regional_table(inputs_of(v), days, broadcast_bytes=0))

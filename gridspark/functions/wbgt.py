@@ -2,8 +2,8 @@
 
 Wind reduction and the choice of stability class are Column expressions. The two energy
 balances (black globe, wet wick) have no closed form; they are solved by a fixed number of
-Newton steps over whole Arrow batches, so every batch finishes. Rows whose last step still
-moved more than the tolerance come out NULL.
+Newton steps over whole Arrow batches. Rows whose last step still moved more than the tolerance
+are settled by bisection, whose bracket and number of halvings are fixed too, so every batch finishes.
 """
 
 from __future__ import annotations
@@ -44,6 +44,9 @@ DIFFUSIVITY_TIMES_P = (
 
 NEWTON_STEPS = 9
 TOLERANCE_K = 1e-3
+# Bisection: reach below and above the air temperature, and halvings, which leave under a millionth of a kelvin.
+BRACKET_K = (120.0, 400.0)
+HALVINGS = 50
 
 
 def wind_at_2m(speed_10m: Column, ghi: Column, cos_zenith: Column) -> Column:
@@ -80,7 +83,7 @@ def wbgt_k(
     t_k: Column, rh_pct: Column, pressure_pa: Column, wind_10m: Column,
     ghi: Column, direct_share: Column, cos_zenith: Column,
 ) -> Column:
-    """Wet-bulb globe temperature in K; NULL when an input is NULL or the solver does not settle."""
+    """Wet-bulb globe temperature in K; NULL when an input is NULL or the balances have no root near the air's."""
     return _solve(
         t_k.cast("double"),
         rh_pct.cast("double"),
@@ -116,24 +119,24 @@ def energy_balance(t, rh, p, u, s, f, cz):
 
 def _globe(t, p, u, s, f, cz, longwave):
     shortwave = s / (2 * SIGMA * EMIS_GLOBE) * (1 - ALB_GLOBE) * (f * (0.5 / cz - 1) + 1 + ALB_SURFACE)
-    x, step = t.copy(), t
-    for _ in range(NEWTON_STEPS):
+
+    def balance(x, t, p, u, gain):
         film = 0.5 * (x + t)
         mu = _viscosity(film)
         reynolds = u * p * (100 / R_AIR * D_GLOBE) / (film * mu)
         h = (2 + 0.6 * PRANDTL**0.3333 * np.sqrt(reynolds)) * mu * ((CP + 1.25 * R_AIR) / D_GLOBE)
         h /= SIGMA * EMIS_GLOBE
-        step = (longwave + shortwave - x**4 - h * (x - t)) / (4 * x**3 + h)
-        x = x + step
-    return np.where(np.abs(step) <= TOLERANCE_K, x, np.nan)
+        return gain - x**4 - h * (x - t), 4 * x**3 + h
+
+    return _settle(balance, t, p, u, longwave + shortwave)
 
 
 def _wick(t, p, u, s, f, cz, longwave, ea):
     edge = 0.25 * D_WICK / L_WICK
     beam = np.sqrt(1 - cz * cz) / cz / math.pi + edge
     shortwave = s * (1 - ALB_WICK) * ((1 - f) * (1 + edge) + f * beam + ALB_SURFACE)
-    x, step = t.copy(), t
-    for _ in range(NEWTON_STEPS):
+
+    def balance(x, t, p, u, longwave, shortwave, ea):
         film = 0.5 * (x + t)
         mu = _viscosity(film)
         reynolds = u * p * (100 / R_AIR * D_WICK) / (film * mu)
@@ -143,12 +146,38 @@ def _wick(t, p, u, s, f, cz, longwave, ea):
         latent = evaporation / PSYCHROMETRIC * (PRANDTL / schmidt) ** 0.56
         ew = _saturation(x)
         radiant = SIGMA * EMIS_WICK * (longwave - x**4) + shortwave
-        balance = t - x - latent * (ew - ea) / (p - ew) + radiant / h
         curve = ew * 17.502 * (273.15 - 32.18) / (x - 32.18) ** 2
         slope = 1 + latent * curve * (p - ea) / (p - ew) ** 2 + 4 * SIGMA * EMIS_WICK * x**3 / h
-        step = balance / slope
+        # From the boiling point on nothing can be warmer: the balance is as negative as can be.
+        value = t - x - latent * (ew - ea) / (p - ew) + radiant / h
+        return np.where(ew < p, value, -np.inf), slope
+
+    return _settle(balance, t, p, u, longwave, shortwave, ea)
+
+
+def _settle(balance, t, *args):
+    """Root of a balance (value, slope of its fall) near the air temperature t; NaN if it has none."""
+    x, step = t.copy(), t
+    for _ in range(NEWTON_STEPS):
+        value, slope = balance(x, t, *args)
+        step = value / slope
         x = x + step
-    return np.where(np.abs(step) <= TOLERANCE_K, x, np.nan)
+    settled = np.abs(step) <= TOLERANCE_K
+    x = np.where(settled, x, np.nan)
+    left = np.flatnonzero(~settled & np.isfinite(t) & np.all([np.isfinite(a) for a in args], axis=0))
+    if len(left):
+        x[left] = _bisect(balance, t[left], *[a[left] for a in args])
+    return x
+
+
+def _bisect(balance, t, *args):
+    low, high = np.maximum(t - BRACKET_K[0], 100.0), t + BRACKET_K[1]
+    framed = (balance(low, t, *args)[0] > 0) & (balance(high, t, *args)[0] < 0)
+    for _ in range(HALVINGS):
+        middle = 0.5 * (low + high)
+        above = balance(middle, t, *args)[0] > 0
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    return np.where(framed, 0.5 * (low + high), np.nan)
 
 
 def _saturation(t):

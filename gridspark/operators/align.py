@@ -23,12 +23,13 @@ def common_keys(layers: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return common.distinct()
 
 
-def align_layers(layers: Mapping[str, DataFrame], keys: Sequence[str], everywhere: bool = True) -> DataFrame:
+def align_layers(layers: Mapping[str, DataFrame], keys: Sequence[str], everywhere: bool = True, unique: bool = False) -> DataFrame:
     """Alignment of single-value layers: keys plus one column per layer.
 
     The layers are stacked and aggregated, so any number of them costs one shuffle that combines
     first; a chain of joins would need one per layer. With `everywhere` keys missing from
-    a layer drop out, else they stay with NULL. A key repeated within a layer is the layer's own fault and is caught by the uniqueness check.
+    a layer drop out, else they stay with NULL. With `unique` a key repeated within a layer is an error, else
+    its largest value counts.
     """
     names = list(layers)
     stacked = None
@@ -39,7 +40,10 @@ def align_layers(layers: Mapping[str, DataFrame], keys: Sequence[str], everywher
         rows = layers[name].select(*keys, F.lit(1 << position).cast("bigint").alias("_seen"), *values)
         stacked = rows if stacked is None else stacked.unionByName(rows)
     aligned = stacked.groupBy(*keys).agg(
-        F.bit_or("_seen").alias("_seen"), *[F.max(n).alias(n) for n in names])
+        F.bit_or("_seen").alias("_seen"), F.count(F.lit(1)).alias("_rows"), *[F.max(n).alias(n) for n in names])
+    if unique:
+        repeated = F.raise_error(F.concat(F.lit(f"duplicate {', '.join(keys)} in one of: {', '.join(names)}")))
+        aligned = aligned.where(F.when(F.col("_rows") == F.bit_count("_seen"), F.lit(True)).otherwise(repeated.cast("boolean")))
     if everywhere:
         aligned = aligned.where(F.col("_seen") == (1 << len(names)) - 1)
-    return aligned.drop("_seen")
+    return aligned.drop("_seen", "_rows")

@@ -58,6 +58,25 @@ def attach_sources(
     return rows.drop(*[f"_{tag}s{i}" for i in range(k)])
 
 
+def gather_sources(
+    rows: DataFrame, keys: Sequence[str], packed: DataFrame, source_id: str, day_keys: Sequence[str] = (),
+    nn: str = "nn", k: int = 4, tag: str = "", power: float = 1.0, eps: float = 1e-6,
+) -> DataFrame:
+    """What `attach_sources` adds, for packed values of any size: pairs of target and source are joined by
+    source and day and regrouped by target and day, at most k rows each. Hours stay packed throughout."""
+    entry = lambda i, field: F.get(nn, F.lit(i))[field]
+    pairs = rows.select(*keys, *day_keys, F.posexplode(nn).alias("_rank", "_e")).where(F.col("_rank") < k).select(
+        *keys, *day_keys, "_rank", F.col("_e.id").alias(source_id))
+    found = pairs.join(packed.select(source_id, *day_keys, "hours"), [source_id, *day_keys])
+    grouped = found.groupBy(*keys, *day_keys).agg(*[
+        F.first(F.when(F.col("_rank") == i, F.col("hours")), ignorenulls=True).alias(f"_{tag}v{i}") for i in range(k)])
+    weighted = rows.withColumns({
+        f"_{tag}near": entry(0, "dist"),
+        **{f"_{tag}w{i}": inverse_distance_weight(entry(i, "dist"), power, eps) for i in range(k)},
+    })
+    return weighted.join(grouped, [*keys, *day_keys], "left")
+
+
 def interpolated(value: str, hour: str = "ph", k: int = 4, tag: str = "", cutoff_m: float | None = None) -> Column:
     """Inverse-distance mean of one hour from attached sources.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +70,15 @@ def missing_inputs(
     return expected.join(available.select("layer", "d"), ["layer", "d"], "left_anti")
 
 
-def days_to_run(days: DataFrame, finished: DataFrame, overwrite: bool = False, day: str = "prism_day") -> DataFrame:
-    """Requested days without a finished result; all of them with `overwrite`."""
-    return days if overwrite else days.join(finished.select(day), day, "left_anti")
+def days_to_run(
+    days: DataFrame, finished: DataFrame, overwrite: bool = False, keys: Sequence[str] = ("prism_day",)
+) -> DataFrame:
+    """Requested days without a finished result; all of them with `overwrite`.
+
+    `keys` name what makes a result; a NULL among them equals a NULL.
+    """
+    if overwrite:
+        return days
+    done = finished.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return days.join(done, same, "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,20 +11,21 @@ from pyspark.sql import functions as F
 from gridspark.functions.geo import area_weight
 from gridspark.functions.humidity import shifted_vapor_pressure
 from gridspark.operators.axis import grid_nearest
-from gridspark.operators.interpolate import attach_sources, interpolated, may_broadcast
+from gridspark.operators.interpolate import (
+    BROADCAST_BYTES, attach_sources, gather_sources, interpolated, may_broadcast,
+)
 from gridspark.operators.quality import days_to_run, missing_inputs, require_none
 from gridspark.operators.regions import (
     attach_population, attach_regions, dense_hours, name_regions, region_means,
 )
 from gridspark.operators.templates import scaled_temperature, template_hour
 from gridspark.plans.fields import (
-    RADIATION, RADIATION_CUTOFF_M, WEATHER, WEATHER_CUTOFF_M, coarse_weather, radiation, radiation_values,
-    cell_templates, temperature_and_humidity, weather_values,
+    RADIATION, RADIATION_CUTOFF_M, WEATHER, WEATHER_CUTOFF_M, cell_templates, radiation_values, weather_values,
 )
 from gridspark.plans.heatstress import METRICS, heat_stress
 from gridspark.session import materialise
 from gridspark.sources.regions import population_of_years, resolve_population_years
-from gridspark.sources.sinks import finished_days, write_regions
+from gridspark.sources.sinks import RESULT_KEYS, finished_results, write_regions
 
 CELL = ["lat", "lon"]
 SAME_DAY = ("tmin", "tmax", "tdmean")
@@ -57,21 +59,32 @@ class Inputs:
     representative: DataFrame | None = None
 
 
-def hourly_inputs(inputs: Inputs, daily: DataFrame, days: DataFrame) -> DataFrame:
+def utc_days(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of the UTC days that the labelled days touch: each day and the one before.
+
+    The days are a calendar's, so their list is small, and as literals on `d` they prune partitions and row
+    groups before anything is read.
+    """
+    labels = [r[0] for r in days.select("prism_day").distinct().collect()]
+    needed = sorted({d - timedelta(n) for d in labels for n in (0, 1)})
+    return rows.where(F.col("d").isin(needed))
+
+
+def hourly_inputs(
+    inputs: Inputs, daily: DataFrame, days: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """lat, lon, prism_day, ph, the twelve layers, and whatever else `daily` carries.
 
-    When the packed source values are proven small everything joins at one row per cell and day
-    and hours are spread last, so no hourly row is shuffled before the regional sums. Otherwise
-    each field is built on its own and the three are joined.
+    Everything joins at one row per cell and day and hours are spread last, so no hourly row is
+    shuffled before the regional sums. Packed source values that are proven small are broadcast;
+    larger ones, by `broadcast_bytes`, are joined by source and regrouped per cell and day. Both ways keep the same rows:
+    cells with a valid temperature range and a mean dewpoint whose template is complete. Hours
+    that a source lacks stay, with that value missing.
     """
     carried = [c for c in daily.columns if c not in ("prism_day", "tmin", "tmax", "tdmean")]
-    weather = materialise(weather_values(inputs.coarse).join(days, "prism_day", "left_semi"))
-    sun = materialise(radiation_values(inputs.half_hours).join(days, "prism_day", "left_semi"))
-    if not (may_broadcast(weather, len(WEATHER)) and may_broadcast(sun, len(RADIATION))):
-        keys = [*CELL, "prism_day", "ph"]
-        warm = temperature_and_humidity(daily, inputs.coarse, carried, inputs.coarse_grid).where("ea IS NOT NULL")
-        return warm.join(coarse_weather(inputs.weather_nn, inputs.coarse, days, CELL), keys).join(
-            radiation(inputs.radiation_nn, inputs.half_hours, days, CELL), keys)
+    coarse = utc_days(inputs.coarse, days)
+    weather = materialise(weather_values(coarse).join(days, "prism_day", "left_semi"))
+    sun = materialise(radiation_values(utc_days(inputs.half_hours, days)).join(days, "prism_day", "left_semi"))
 
     # Everything static about a cell in one table: neighbours and nearest coarse cell.
     cells = inputs.weather_nn.withColumnRenamed("nn", "nn_w").join(
@@ -79,10 +92,15 @@ def hourly_inputs(inputs: Inputs, daily: DataFrame, days: DataFrame) -> DataFram
     cells = grid_nearest(cells, inputs.coarse_grid)
     rows = (
         daily.where("tmin IS NOT NULL AND tmax > tmin AND tdmean IS NOT NULL").join(cells, CELL)
-        .join(cell_templates(inputs.coarse).where("td_mean IS NOT NULL"), ["near_lat", "near_lon", "prism_day"])
+        .join(cell_templates(coarse).where("td_mean IS NOT NULL"), ["near_lat", "near_lon", "prism_day"])
     )
-    rows = attach_sources(rows, weather, "src_id", ["prism_day"], nn="nn_w", tag="w_")
-    rows = attach_sources(rows, sun, "point", ["prism_day"], nn="nn_r", tag="r_")
+    # The two broadcasts live side by side and share one budget.
+    if all(may_broadcast(p, len(n), broadcast_bytes // 2) for p, n in ((weather, WEATHER), (sun, RADIATION))):
+        rows = attach_sources(rows, weather, "src_id", ["prism_day"], nn="nn_w", tag="w_")
+        rows = attach_sources(rows, sun, "point", ["prism_day"], nn="nn_r", tag="r_")
+    else:
+        rows = gather_sources(rows, CELL, weather, "src_id", ["prism_day"], nn="nn_w", tag="w_")
+        rows = gather_sources(rows, CELL, sun, "point", ["prism_day"], nn="nn_r", tag="r_")
     rows = rows.withColumn("ph", F.explode(F.sequence(F.lit(0), F.lit(23))))
     frac, td = template_hour()
     rows = rows.withColumn("t2m", scaled_temperature(F.col("tmin"), F.col("tmax"), frac))
@@ -114,7 +132,7 @@ def heat_stress_cells(inputs: Inputs, days: DataFrame) -> DataFrame:
     return heat_stress(hourly_inputs(inputs, daily, days))
 
 
-def regional_table(inputs: Inputs, days: DataFrame) -> DataFrame:
+def regional_table(inputs: Inputs, days: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The regional table of the given days, with `pop_year`.
 
     Region and weights join the daily rows, so cells outside all regions drop out before any hour
@@ -123,7 +141,7 @@ def regional_table(inputs: Inputs, days: DataFrame) -> DataFrame:
     mapped, resolved = weighted_cells(inputs, days)
     daily = inputs.daily.join(days, "prism_day", "left_semi").withColumn("yr", F.year("prism_day"))
     daily = attach_regions(daily, mapped, [c for c in (*CELL, "yr") if c in mapped.columns]).drop("yr")
-    cells = heat_stress(hourly_inputs(inputs, daily, days))
+    cells = heat_stress(hourly_inputs(inputs, daily, days, broadcast_bytes))
     means = region_means(
         cells, METRICS, ["tract_code", "prism_day", "ph"], area_weight(F.col("lat")),
         None if resolved is None else F.col("pop"))
@@ -133,15 +151,27 @@ def regional_table(inputs: Inputs, days: DataFrame) -> DataFrame:
     return table.withColumn("yr", F.year("prism_day")).join(resolved, "yr").drop("yr")
 
 
+def labelled(inputs: Inputs, days: DataFrame, vintage: int) -> DataFrame:
+    """The days with the population year and vintage that a run stores them under."""
+    year = F.year("prism_day")
+    if inputs.population is None:
+        return days.select("prism_day", F.lit(None).cast("int").alias("pop_year"), F.lit(vintage).alias("vintage"))
+    resolved = resolve_population_years(days.select(year.alias("yr")), inputs.population)
+    return days.select("prism_day", year.alias("yr")).join(resolved, "yr").select(
+        "prism_day", F.col("pop_year").cast("int").alias("pop_year"), F.lit(vintage).alias("vintage"))
+
+
 def run_days(
     spark: SparkSession, inputs: Inputs, days: DataFrame, path: str, vintage: int,
     available: DataFrame | None = None, overwrite: bool = False, time_mode: str = "utc",
 ) -> int:
     """Compute and store the requested days that have no result yet; returns how many.
 
-    With `available` (layer, d) a missing input stops the run before any work.
+    A result is a day under its population year and vintage: another vintage, or weights where there were none, is a
+    result of its own. With `available` (layer, d) a missing input stops the run before any work.
     """
-    todo = days_to_run(days, finished_days(spark, path), overwrite)
+    wanted = labelled(inputs, days, vintage)
+    todo = days_to_run(wanted, finished_results(spark, path), overwrite, RESULT_KEYS).select("prism_day")
     if available is not None:
         require_none(missing_inputs(todo, available, SAME_DAY, TWO_DAYS), "missing inputs")
     n = todo.count()

@@ -84,11 +84,24 @@ def in_windows(observations: DataFrame, windows: DataFrame) -> DataFrame:
     return observations.withColumn("prism_day", shifted_day(F.col("time_utc"))).join(by_day, "prism_day")
 
 
+def wanted_only(predictions: DataFrame, placed: DataFrame) -> DataFrame:
+    """Predictions on the cells and days of `placed` observations (key, prism_day); a row without a day stays.
+
+    The days, a calendar's, become literals on the partition column, so other days are never read; cells that no
+    station uses drop out before the join on time.
+    """
+    cells = predictions.join(placed.select("key").distinct(), "key", "left_semi")
+    if "prism_day" not in predictions.columns or "prism_day" not in placed.columns:
+        return cells
+    days = [r[0] for r in placed.select("prism_day").distinct().collect()]
+    return cells.where(F.col("prism_day").isNull() | F.col("prism_day").isin(days))
+
+
 def pairs_for(observations: DataFrame, stations: DataFrame, keep: Column, key: str, predictions: DataFrame) -> DataFrame:
     """Matched rows of the kept stations; stations sharing a cell each get its values."""
     kept = stations.where(keep).select("station_id", F.col(key).alias("key"))
     placed = observations.join(kept, "station_id")
-    return match_pairs(placed, predictions.drop("prism_day"), ["key", "time_utc"])
+    return match_pairs(placed, wanted_only(predictions, placed).drop("prism_day"), ["key", "time_utc"])
 
 
 def isd_comparisons(
@@ -111,8 +124,12 @@ def isd_comparisons(
 def isd_paired(stations: DataFrame, observations: DataFrame, model: DataFrame, coarse: DataFrame) -> DataFrame:
     """Both products on the stations near both grids, rows with all nine values, by variable."""
     both = stations.where("keep_both")
-    on = lambda p, key: p.join(
-        both.select("station_id", F.col(key).alias("key")), "key").drop("key")
+
+    def on(product: DataFrame, key: str) -> DataFrame:
+        cells = both.select("station_id", F.col(key).alias("key"))
+        seen = observations.join(cells, "station_id")
+        return wanted_only(product, seen).join(cells, "key").drop("key")
+
     required = [f"{v}_{s}" for v in MET for s in ("obs", "model", "era")]
     merged = match_paired(on(model, "key_model"), on(coarse, "key_era"), observations.drop("prism_day"), required)
     return paired_metrics(merged, MET, "model", "era")

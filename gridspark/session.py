@@ -49,7 +49,8 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            # Executors of a local-cluster are processes of their own, like those of any cluster.
+            if not (context.master == "local" or context.master.startswith("local[")):
                 raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,17 +114,27 @@ def daily_cells(
 def read_point_layers(spark: SparkSession, base: str, start: str, end: str, variables: Sequence[str] = tuple(POINT_FILES)) -> DataFrame:
     """Long half-hourly rows (point, d, slot, one column per variable) of the UTC days start..end.
 
-    Layout: `<base>/<year>/<YYYY-MM-DD>/<file>`.
+    Layout: `<base>/<year>/<YYYY-MM-DD>/<file>`, each a file or a folder that Spark wrote. A point absent from one
+    variable's layer is missing in that variable only. A variable without a layer on a wanted day is an error, and
+    so is a point listed twice in a layer.
     """
     from gridspark.operators.align import align_layers
 
-    layers = {}
+    layers, found = {}, None
     for var in variables:
         wide = spark.read.parquet(f"{base}/*/*/{POINT_FILES[var]}")
-        folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4}-\d{2}-\d{2})/[^/]+$", 1)
-        dated = wide.withColumn("d", folder.cast("date")).where(F.col("d").between(start, end))
+        folder = F.regexp_extract(
+            F.col("_metadata.file_path"), rf"/(\d{{4}}-\d{{2}}-\d{{2}})/{re.escape(POINT_FILES[var])}(?:/[^/]+)?$", 1)
+        day = F.nullif(folder, F.lit("")).cast("date")
+        dated = wide.withColumn("d", day).where(F.col("d").between(start, end))
+        days = dated.select(F.lit(var).alias("layer"), "d").distinct()
+        found = days if found is None else found.union(days)
         layers[var] = wide_to_long(dated, ["point", "d"], SLOT_COLUMNS, var, hour="slot")
-    return align_layers(layers, ["point", "d", "slot"])
+    wanted = spark.range(1).select(F.explode(F.sequence(
+        F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("INTERVAL 1 DAY"))).alias("d"))
+    expected = wanted.select(F.explode(F.array(*[F.lit(v) for v in variables])).alias("layer"), "d")
+    require_none(expected.join(found, ["layer", "d"], "left_anti"), "no half-hourly layer for")
+    return align_layers(layers, ["point", "d", "slot"], everywhere=False, unique=True)
 
 
 def point_metadata(df: DataFrame) -> DataFrame:

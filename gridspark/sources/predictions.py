@@ -81,7 +81,7 @@ def read_wide_predictions(
         if not paths:
             raise FileNotFoundError(f"no complete prediction day in {start}..{end} under {base}")
         layers[var] = wide_layer_rows(spark.read.parquet(*paths), var, [prefix], wanted, decimals)
-    return model_predictions(align_layers(layers, ROW, everywhere=False))
+    return model_predictions(align_layers(layers, ROW, everywhere=False, unique=True))
 
 
 def model_predictions(layers: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def read_coarse_predictions(
             dated = wanted_cells(keyed, wanted, KEY).drop("key")
         rows = day_layer_rows(dated, var, decimals)
         layers[var] = rows.select(packed_key(F.col("lat"), F.col("lon"), decimals).alias("key"), "d", "hr", var)
-    hourly = align_layers(layers, ["key", "d", "hr"], everywhere=False)
+    hourly = align_layers(layers, ["key", "d", "hr"], everywhere=False, unique=True)
     return coarse_predictions(hourly).join(days, "prism_day", "left_semi")
 
 

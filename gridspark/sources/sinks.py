@@ -15,6 +15,8 @@ from gridspark.operators.reshape import long_to_wide
 LONG_COLUMNS = (
     "lat", "lon", "day", "month", "year", "time", "temp_C_used", "rh_pct_used", "HI_C", "WBGT_C", "UTCI_C",
 )
+# What makes a regional result, and its partitions.
+RESULT_KEYS = ("prism_day", "pop_year", "vintage")
 _NARROW = {"day": "tinyint", "month": "tinyint", "year": "smallint", "time": "tinyint"}
 
 
@@ -67,19 +69,30 @@ def write_regions(
     if pop_year is None or pop_year not in df.columns:
         stamped = stamped.withColumn("pop_year", F.lit(None).cast("int"))
     head = ["GEOID", "lat", "lon", "day", "month", "year", "time"]
-    parts = ["prism_day", "pop_year", "vintage"]
+    parts = list(RESULT_KEYS)
     values = [c for c in stamped.columns if c not in (*head, *parts, "ph")]
     write_days(narrow(stamped.select(*head, *values, *parts), keep=parts), path, parts, sort=["GEOID"])
 
 
-def finished_days(spark: SparkSession, path: str) -> DataFrame:
-    """Days already present in a written table; empty when there is no table yet."""
+def finished_results(spark: SparkSession, path: str) -> DataFrame:
+    """(prism_day, pop_year, vintage) already present in a regional table; empty when there is none yet.
+
+    All three are partition columns, so no file contents are read.
+    """
     try:
-        return spark.read.parquet(path).select("prism_day").distinct()
+        table = spark.read.parquet(path)
     except Exception as error:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return spark.createDataFrame([], "prism_day date")
+            return spark.createDataFrame([], "prism_day date, pop_year int, vintage int")
         raise
+    return table.select(
+        "prism_day", *[(F.col(c) if c in table.columns else F.lit(None)).cast("int").alias(c) for c in RESULT_KEYS[1:]]
+    ).distinct()
+
+
+def finished_days(spark: SparkSession, path: str) -> DataFrame:
+    """Days already present in a written table; empty when there is no table yet."""
+    return finished_results(spark, path).select("prism_day").distinct()
 
 
 def write_report(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:

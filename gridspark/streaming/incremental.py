@@ -8,22 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from gridspark.operators.quality import days_to_run
-from gridspark.sources.sinks import finished_days
+from gridspark.sources.sinks import RESULT_KEYS, finished_results
 
 
 def stream_days(
     spark: SparkSession, arrivals: str, output: str, checkpoint: str,
     process: Callable[[DataFrame], None], overwrite: bool = False,
+    label: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Run `process` on the new days listed by Parquet files (prism_day) landing in `arrivals`.
 
     The query's checkpoint remembers the files it has read, and days already in `output` are left
-    out, so a day runs once. A batch repeated after a failure finds its finished days or replaces
+    out, so a day runs once. `label` adds the population year and vintage a run would store, and only
+    a result with the same ones counts as finished (see `plans.run.labelled`). A batch repeated after a failure finds its finished days or replaces
     their partitions, so it does no harm.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        todo = days_to_run(df.select("prism_day").distinct(), finished_days(df.sparkSession, output), overwrite)
+        days = df.select("prism_day").distinct()
+        done = finished_results(df.sparkSession, output)
+        if label is None:
+            todo = days_to_run(days, done, overwrite)
+        else:
+            todo = days_to_run(label(days), done, overwrite, RESULT_KEYS).select("prism_day")
         if not todo.isEmpty():
             process(todo)
 

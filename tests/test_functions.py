@@ -158,6 +158,20 @@ def test_wbgt_balances_agree_with_bisection(t, rh, p, u, s, f, cz):
     assert wick == pytest.approx(bisect(wick_balance, 200, 370), abs=1e-5)
 
 
+def test_wbgt_settles_every_row(monkeypatch):
+    """Rows that the steps leave open are settled by halving, to the same roots."""
+    rng = np.random.default_rng(5)
+    n = 20_000
+    args = (rng.uniform(230, 330, n), rng.uniform(0, 100, n), rng.uniform(6e4, 1.05e5, n), rng.uniform(0.13, 30, n),
+            rng.uniform(0, 1200, n), rng.uniform(0, 1, n), rng.uniform(0.01, 1, n))
+    globe, wick, _ = wbgt.energy_balance(*args)
+    assert np.isfinite(globe).all() and np.isfinite(wick).all()
+    monkeypatch.setattr(wbgt, "NEWTON_STEPS", 1)
+    globe_2, wick_2, _ = wbgt.energy_balance(*args)
+    settled = np.abs(globe - globe_2) < 2e-3
+    assert settled.mean() > 0.999 and (np.abs(wick - wick_2) < 2e-3).mean() > 0.999
+
+
 def test_wbgt_column(spark):
     k = wbgt.wbgt_k(*[c(n) for n in ("t", "r", "p", "w", "g", "f", "z")])
     day = dict(t=300.0, r=50.0, p=101325.0, w=2.0, g=800.0, f=0.7, z=0.8)

@@ -321,7 +321,7 @@ def test_percentiles(spark, values):
     # Repeats make one value hot.
     values = values + [values[0]] * (len(values) // 2)
     df = spark.createDataFrame([(1, v) for v in values], "g int, v double")
-    r = exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p90": 0.9}, slots=7).first()
+    r = exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p90": 0.9}).first()
     assert (r.p50, r.p90) == (pytest.approx(linear_percentile(values, 0.5)), pytest.approx(linear_percentile(values, 0.9)))
 
 
@@ -343,3 +343,20 @@ def test_spread_subset_covers_all_squares_first(spark):
     assert len(picked) == 8 and {f"y{i}" for i in range(1, 5)} <= set(picked)
     assert picked == [r.station_id for r in spread_subset(df.repartition(5), 8).collect()]
     assert spread_subset(df, 1000).count() == 204
+
+
+def test_percentiles_with_an_outlier(spark):
+    """One huge value must not gather a group's other values in one range."""
+    from gridspark.operators import percentile
+
+    seen = []
+    original = percentile.materialise
+    try:
+        percentile.materialise = lambda df: seen.append(original(df)) or seen[-1]
+        df = spark.range(20_000).select(F.lit(1).alias("g"), F.when(F.col("id") == 7, 1e12).otherwise(F.col("id") * 1.5).alias("v"))
+        r = exact_percentiles(df, ["g"], "v", {"p50": 0.5, "max": 1.0}).first()
+    finally:
+        percentile.materialise = original
+    ordered = sorted(1e12 if i == 7 else i * 1.5 for i in range(20_000))
+    assert r["max"] == 1e12 and r.p50 == (ordered[9_999] + ordered[10_000]) / 2
+    assert seen[0].groupBy("part").count().agg({"count": "max"}).first()[0] <= 20_000

@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -50,18 +51,37 @@ def days_of(spark, days=DAYS):
 
 def test_hourly_inputs_by_both_plans(spark, inputs, monkeypatch):
     keys = ["lat", "lon", "prism_day", "ph"]
-    joined = materialise(run.hourly_inputs(inputs, inputs.daily, days_of(spark)))
-    assert joined.count() == 8 * 2 * 24  # one cell has no mean dewpoint
-    monkeypatch.setattr(run, "may_broadcast", lambda *a, **k: False)
-    separate = materialise(run.hourly_inputs(inputs, inputs.daily, days_of(spark)))
-    both = joined.join(separate.withColumnsRenamed({v: f"{v}_2" for v in LAYERS}), keys)
-    assert both.count() == 384
-    for v in LAYERS:
-        assert both.where(~(F.abs(c(v) - c(f"{v}_2")) <= 1e-9) | c(v).isNull()).count() == 0, v
-    r = joined.agg(F.min("t2m").alias("a"), F.max("t2m").alias("b"), F.min("lwdown").alias("d"), F.max("lwnet").alias("n"), F.max("sza").alias("z")).first()
+    # One source lacks an hour's temperature, another a wind reading, a point a half-hour.
+    gaps = replace(
+        inputs,
+        coarse=inputs.coarse.withColumns({
+            "t2m": F.when(~((c("src_id") == 3) & (c("hr") == 5)), c("t2m")),
+            "u10": F.when(~((c("src_id") == 4) & (c("hr") == 7)), c("u10"))}),
+        half_hours=inputs.half_hours.where("NOT (point = 1 AND slot = 20)"))
+    for given in (inputs, gaps):
+        joined = materialise(run.hourly_inputs(given, given.daily, days_of(spark)))
+        assert joined.count() == 8 * 2 * 24  # one cell has no mean dewpoint
+        separate = materialise(run.hourly_inputs(given, given.daily, days_of(spark), broadcast_bytes=0))
+        assert separate.count() == joined.count()
+        both = joined.join(separate.withColumnsRenamed({v: f"{v}_2" for v in LAYERS}), keys, "full")
+        assert both.count() == 384
+        for v in LAYERS:
+            same = c(v).eqNullSafe(c(f"{v}_2")) | (F.abs(c(v) - c(f"{v}_2")) <= 1e-9)
+            assert both.where(~F.coalesce(same, F.lit(False))).count() == 0, v
+    assert joined.where("t2m is null").count() > 0
+    r = materialise(run.hourly_inputs(inputs, inputs.daily, days_of(spark))).agg(F.min("t2m").alias("a"), F.max("t2m").alias("b"), F.min("lwdown").alias("d"), F.max("lwnet").alias("n"), F.max("sza").alias("z")).first()
     assert (r.a, r.b) == (15, 30) and r.d == pytest.approx(1.2e6 / 3600) and r.n == pytest.approx(-2e5 / 3600) and r.z == pytest.approx(40)
 
 
+def test_one_day_reads_two_partitions(spark, inputs, tmp_path):
+    path = str(tmp_path / "coarse")
+    inputs.coarse.write.partitionBy("d").parquet(path)
+    stored = run.utc_days(spark.read.parquet(path), days_of(spark, DAYS[:1]))
+    assert {r.d for r in stored.select("d").distinct().collect()} == {DAYS[0], DAYS[0] - timedelta(1)}
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
 def test_heat_stress_missing_inputs(spark):
     good = dict(t2m=30.0, ea=20.0, sp=1e5, u10=2.0, v10=1.0, lwdown=400.0, lwnet=-60.0, ghi=600.0, dhi=100.0, dni=700.0, sza=30.0, alb=0.2)
     cases = {"all": good, "no albedo": {**good, "alb": None}, "no diffuse": {**good, "dhi": None}, "no ghi": {**good, "ghi": None},
@@ -84,14 +104,18 @@ def test_run_writes_skips_and_checks(spark, inputs, tmp_path):
     assert out.count() == 2 * 2 * 24 and {r.pop_year for r in out.select("pop_year").distinct().collect()} == {2010}
     assert out.where("WBGT_C_area is null or UTCI_C_pop is null or temp_C_used_area is null").count() == 0
     assert out.where("temp_C_used_area < 15 or temp_C_used_area > 30").count() == 0
+    # Another vintage, and no weights, are results of their own.
+    assert run.run_days(spark, inputs, days_of(spark, DAYS[:1]), path, 2020) == 1
+    assert run.run_days(spark, replace(inputs, population=None), days_of(spark, DAYS[:1]), path, 2020) == 1
+    assert run.run_days(spark, replace(inputs, population=None), days_of(spark, DAYS[:1]), path, 2020) == 0
+    kept = spark.read.parquet(path).where(c("prism_day") == DAYS[0]).groupBy("pop_year", "vintage").count().collect()
+    assert {(r.pop_year, r.vintage) for r in kept} == {(2010, 2010), (2010, 2020), (None, 2020)}
     have = spark.createDataFrame([("tmin", DAYS[0])], "layer string, d date")
     with pytest.raises(ValueError, match="missing inputs"):
         run.run_days(spark, inputs, days_of(spark), str(tmp_path / "other"), 2010, available=have)
 
 
 def test_run_without_population(spark, inputs):
-    from dataclasses import replace
-
     out = materialise(run.regional_table(replace(inputs, population=None), days_of(spark, DAYS[:1])))
     assert out.where("HI_C_pop is not null").count() == 0 and out.where("HI_C_area is not null").count() == 48
     gaps = inputs.population.where("lat > 40.001")
@@ -113,6 +137,10 @@ def test_days_stream_runs_each_day_once(spark, inputs, tmp_path):
         stream_days(spark, arrivals, out, ckpt, process).awaitTermination()
     assert seen == DAYS
     assert sinks.finished_days(spark, out).count() == 2
+    # Under another vintage the days are not finished.
+    label = lambda days: run.labelled(inputs, days, 2020)
+    stream_days(spark, arrivals, out, str(tmp_path / "ckpt2"), process, label=label).awaitTermination()
+    assert sorted(seen) == sorted(DAYS * 2)
 
 
 def test_live_metrics_stream_equals_batch(spark, tmp_path):

@@ -63,11 +63,27 @@ def test_point_layers(spark, tmp_path):
     rows = layers.read_point_layers(spark, str(tmp_path), "2010-07-02", "2010-07-02")
     assert rows.count() == 48 and set(layers.POINT_FILES) <= set(rows.columns)
     assert rows.where("slot = 47").first().ghi == 47 and rows.select("d").distinct().first().d == D1
+    with pytest.raises(ValueError, match="no half-hourly layer"):
+        layers.read_point_layers(spark, str(tmp_path), "2010-07-02", "2010-07-03")
     meta = spark.createDataFrame([(1, 40.0, -100.0), (2, None, -100.0), (3, 1.0, float("nan"))], "point long, latitude double, longitude double")
     assert [r.point for r in layers.point_metadata(meta).collect()] == [1]
     assert layers.target_grid(wide(spark, "x", [CELLS[0], CELLS[0]])).count() == 1
 
 
+def test_point_layers_written_by_spark(spark, tmp_path):
+    names = ", ".join(f"ts_{i:03d} double" for i in range(48))
+    for var, name in layers.POINT_FILES.items():
+        points = [5] if var == "alb" else [5, 6]
+        spark.createDataFrame([(p, *[float(i) for i in range(48)]) for p in points], f"point long, {names}").write.parquet(
+            str(tmp_path / "2010" / "2010-07-01" / name))
+    rows = layers.read_point_layers(spark, str(tmp_path), "2010-07-01", "2010-07-01")
+    assert rows.count() == 96 and rows.where("point = 6 and alb is null and ghi is not null").count() == 48
+    spark.createDataFrame([(5, *[1.0] * 48)], f"point long, {names}").write.mode("append").parquet(
+        str(tmp_path / "2010" / "2010-07-01" / "ghi.parquet"))
+    with pytest.raises(Exception, match="duplicate"):
+        layers.read_point_layers(spark, str(tmp_path), "2010-07-01", "2010-07-01").count()
+
+
 def test_region_tables(spark, tmp_path):
     spark.createDataFrame([(1, 7, 2010), (2, -1, 2010), (1, 9, 2020)], "key long, tract_code int, vintage int").write.partitionBy("vintage").parquet(str(tmp_path / "map"))
     spark.createDataFrame([(7, "G7", 2010)], "tract_code int, GEOID string, vintage int").write.partitionBy("vintage").parquet(str(tmp_path / "lut"))
