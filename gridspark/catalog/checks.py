@@ -15,8 +15,8 @@ from gridspark.operators.stations import (
     first_coordinates, keep_flags, on_stations, spread_subset, wanted_cells, with_observations,
 )
 from gridspark.plans.validation import (
-    in_windows, isd_comparisons, isd_paired, map_stations, network_comparison, summary_table, window_extract,
-    windows_of,
+    in_windows, isd_comparisons, isd_paired, map_stations, network_comparison, summary_table, surfrad_comparison,
+    uscrn_comparisons, window_extract, windows_of,
 )
 from gridspark.operators.neighbours import with_xy
 from gridspark.streaming.live_metrics import live_metrics
@@ -236,6 +236,48 @@ def network_validation(v: Views) -> DataFrame:
     return rounded(summary_table([found], windows), dist_median_m=3, dist_p90_m=3)
 
 
+# Heat-stress and radiant values of the other networks, made from the same carriers.
+_OBS_MORE = """(select *, temp_C_obs*1.1e0 as HI_C_obs, temp_C_obs*9e-1 as WBGT_C_obs, temp_C_obs*2e0 as TMRT_C_obs,
+    case when station_id % 5 = 0 then null else temp_C_obs + 3e0 end as UTCI_C_obs from obs_hour)"""
+_PRED_MORE = """(select *, temp_C_era*1.1e0 as HI_C_model, ea_hPa_era + 4e0 as WBGT_C_model, temp_C_era*2.1e0 as TMRT_C_model,
+    temp_C_model + 2e0 as UTCI_C_model from pred_hour)"""
+_INDEX_NAMES = {"temp_C": _NAMES["temp_C"], "rh_pct": _NAMES["rh_pct"], "HI_C": "Heat Index (°C)", "WBGT_C": "Wet-Bulb Globe Temperature (°C)"}
+_RADIANT_NAMES = {"TMRT_C": "Mean radiant temperature (°C)", "UTCI_C": "UTCI (°C)"}
+
+
+def _sql_network(product: str, reference: str, names: dict[str, str]) -> str:
+    rows = _sql_table(product, reference, "≤800 m", "dist_model <= 800", "mapped.cell_id", "dist_model", "model", names)
+    rows = rows.replace("from obs_hour o", f"from {_OBS_MORE} o").replace("join pred_hour p", f"join {_PRED_MORE} p")
+    return f"with mapped as ({_MAPPED}) {rows}"
+
+
+def _network(v: Views) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Windows, observations with coordinates, grid and predictions with the further values."""
+    windows = windows_of(v.spark, WINDOWS)
+    placed = v.stations.select("station_id", c("lat").alias("LAT"), c("lon").alias("LON"))
+    t = c("temp_C_obs")
+    obs = in_windows(observations(v).join(placed, "station_id"), windows).withColumns({
+        "HI_C_obs": t * 1.1, "WBGT_C_obs": t * 0.9, "TMRT_C_obs": t * 2, "UTCI_C_obs": F.when(c("station_id") % 5 != 0, t + 3)})
+    cells = with_xy(v.pred_cells).withColumnRenamed("cell_id", "key")
+    model = predictions(v).withColumns({
+        "HI_C_model": c("temp_C_era") * 1.1, "WBGT_C_model": c("ea_hPa_era") + 4, "TMRT_C_model": c("temp_C_era") * 2.1,
+        "UTCI_C_model": c("temp_C_model") + 2})
+    return windows, obs, cells, model
+
+
+@query(_sql_network("gridded heat-stress indices", "USCRN (heat01)", _INDEX_NAMES))
+def uscrn_indices_validation(v: Views) -> DataFrame:
+    windows, obs, cells, model = _network(v)
+    found = uscrn_comparisons(obs, cells, model, model)[1]
+    return rounded(summary_table([found], windows), dist_median_m=3, dist_p90_m=3)
+
+
+@query(_sql_network("radiation-driven UTCI", "SURFRAD", _RADIANT_NAMES))
+def surfrad_validation(v: Views) -> DataFrame:
+    windows, obs, cells, model = _network(v)
+    return rounded(summary_table([surfrad_comparison(obs, cells, model)], windows), dist_median_m=3, dist_p90_m=3)
+
+
 @query(f"""
     select prism_day, count(*) as n, round(avg(temp_C_model - temp_C_obs), 7) as bias,
            round(avg(abs(temp_C_model - temp_C_obs)), 7) as mae,

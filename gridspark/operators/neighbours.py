@@ -5,7 +5,7 @@ source under its own and the eight surrounding buckets, and reads a target's can
 one bucket. A target is settled when its k-th distance does not reach beyond those nine buckets.
 
 Step 2 takes the rest: targets in sparse areas, and all targets whose nine buckets hold more
-sources than `max_block` (a hot spot). They walk down a pyramid of source counts, four children
+sources than `max_block` (a hot spot). They walk down a pyramid of source counts, sixteen children
 per node; at each level a node survives only if it can still hold one of the k nearest. The
 bound is exact, so nothing is capped, and a target keeps few nodes however dense the hot spot is.
 """
@@ -26,7 +26,9 @@ MAX_BLOCK = 256
 # Up to this many sources every target simply looks at all of them.
 DIRECT = 256
 MAX_LEVEL = 26
-LEVELS_PER_TABLE = 6
+STEPS_PER_TABLE = 4
+# Levels that cannot hold more nodes than this, by their depth, are broadcast: every target starts at the root.
+BROADCAST_NODES = 4**7
 
 
 def with_xy(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -122,13 +124,16 @@ def _by_pyramid(
         depth = min(MAX_LEVEL, depth + 2)
 
     leaves = at_level(depth)
-    nodes = [leaves.groupBy("ix", "iy").agg(
+    # Every second level, from the leaves up: sixteen children per node and half the passes. The lowest is
+    # written, since all others and the walk read it.
+    levels = list(range(depth, 0, -2))
+    nodes = [materialise(leaves.groupBy("ix", "iy").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("xa"), F.max("x").alias("xb"),
         F.min("y").alias("ya"), F.max("y").alias("yb"),
-    )]
-    for _ in range(depth - 1):
+    ))]
+    for _ in levels[1:]:
         nodes.append(
-            nodes[-1].groupBy(F.shiftright("ix", 1).alias("ix"), F.shiftright("iy", 1).alias("iy")).agg(
+            nodes[-1].groupBy(F.shiftright("ix", 2).alias("ix"), F.shiftright("iy", 2).alias("iy")).agg(
                 F.sum("n").alias("n"), F.min("xa").alias("xa"), F.max("xb").alias("xb"),
                 F.min("ya").alias("ya"), F.max("yb").alias("yb"),
             )
@@ -137,8 +142,12 @@ def _by_pyramid(
     frontier = targets.withColumns({"px": F.lit(0).cast("bigint"), "py": F.lit(0).cast("bigint")})
     by_far = Window.partitionBy(*keys).orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per_target = Window.partitionBy(*keys)
-    for step, level in enumerate(reversed(nodes), start=1):
-        children = level.withColumns({"px": F.shiftright("ix", 1), "py": F.shiftright("iy", 1)})
+    for step, (depth_here, level) in enumerate(zip(reversed(levels), reversed(nodes)), start=1):
+        # The first step goes down one or two levels from the root.
+        down = depth_here if step == 1 else 2
+        children = level.withColumns({"px": F.shiftright("ix", down), "py": F.shiftright("iy", down)})
+        if 4**depth_here <= BROADCAST_NODES:
+            children = F.broadcast(children)
         opened = frontier.join(children, ["px", "py"]).withColumns({
             "close": F.hypot(_gap("x", "xa", "xb"), _gap("y", "ya", "yb")),
             "far": F.hypot(_reach("x", "xa", "xb"), _reach("y", "ya", "yb")),
@@ -149,7 +158,7 @@ def _by_pyramid(
         frontier = opened.where("radius IS NULL OR close <= radius").select(
             *keys, "x", "y", F.col("ix").alias("px"), F.col("iy").alias("py")
         )
-        if step % LEVELS_PER_TABLE == 0:
+        if step % STEPS_PER_TABLE == 0:
             frontier = materialise(frontier)
 
     inside = leaves.select(F.col("ix").alias("px"), F.col("iy").alias("py"), "id",

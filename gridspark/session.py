@@ -37,14 +37,11 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage: write `df` once to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name under the one that spark.checkpoint.dir names, which all executors share.
 
-    Unlike an RDD checkpoint this computes the rows only once and keeps the table's size known to
-    the optimizer. The folder is the one the session names in spark.checkpoint.dir; only a local
-    session without that setting gets a folder of its own.
+    Only a session inside one local process gets a folder of its own when that setting is missing.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,6 +51,15 @@ def materialise(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage: write `df` once to the shared checkpoint folder and read it back.
+
+    Unlike an RDD checkpoint this computes the rows only once and keeps the table's size known to
+    the optimizer.
+    """
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -76,9 +76,19 @@ def parse_isd_lite(lines: DataFrame, station: str = "station_id", text: str = "v
     ).drop("_td")
 
 
-def read_isd_lite(spark: SparkSession, path: str) -> DataFrame:
-    """Station-year files `<USAF>-<WBAN>-<year>.gz` under `path`; the id comes from the name."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path)
+def read_isd_lite(
+    spark: SparkSession, path: str, stations: Sequence[str] | None = None, years: Sequence[int] | None = None
+) -> DataFrame:
+    """Station-year files `<USAF>-<WBAN>-<year>.gz` under `path`; the id comes from the name.
+
+    Files of other stations or years, where these are given, are left out by name and never opened.
+    """
+    wanted = "*.gz" if years is None else "{" + ",".join(f"*-{y:04d}.gz" for y in years) + "}"
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).text(path)
+    if stations is not None:
+        # A network has some thousand stations: the names are literals, which skip files while listing them.
+        name = F.col("_metadata.file_name")
+        lines = lines.where(F.substring(name, 1, F.length(name) - F.lit(len("-2000.gz"))).isin(list(stations)))
     station = F.regexp_extract(F.col("_metadata.file_name"), r"^(\w+-\w+)-\d{4}\.gz$", 1)
     return parse_isd_lite(lines.select(station.alias("station_id"), "value"))
 

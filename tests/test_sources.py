@@ -128,6 +128,12 @@ def test_isd_lite_files(spark, tmp_path):
     assert [r.time_utc for r in out] == [datetime(2010, 7, 15, 12), datetime(2010, 7, 15, 14)]
     assert out[0].station_id == "012345-00099" and out[0].temp_C_obs == 20.5
     assert out[0].rh_pct_obs == pytest.approx(59.3, abs=0.3) and out[1].rh_pct_obs is None
+    for name in ("012345-00099-2011", "012346-00099-2010"):
+        with gzip.open(tmp_path / f"{name}.gz", "wt") as f:
+            f.write(text.replace("2010 07", f"{name[-4:]} 07"))
+    chosen = stations.read_isd_lite(spark, str(tmp_path), ["012345-00099"], [2010])
+    assert {(r.station_id, r.time_utc.year) for r in chosen.collect()} == {("012345-00099", 2010)} and chosen.count() == 2
+    assert stations.read_isd_lite(spark, str(tmp_path), years=[2010, 2011]).count() == 6
 
 
 def test_heat01_files(spark, tmp_path):
