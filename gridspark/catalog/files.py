@@ -43,8 +43,8 @@ def regional_files_two_vintages(v: Views) -> DataFrame:
 
 
 @query("""
-    select p.point, p.d, s.slot, round(h.ghi, 6) as ghi, round(h.dhi, 6) as dhi, round(h.dni, 6) as dni, round(h.sza, 6) as sza,
-           case when p.point % 5 <> 0 then round(h.alb, 3) end as alb
+    select p.point, p.d, s.slot, round(h.ghi, 8) as ghi, round(h.dhi, 8) as dhi, round(h.dni, 8) as dni, round(h.sza, 8) as sza,
+           case when p.point % 5 <> 0 then round(h.alb, 8) end as alb
     from (select distinct point, d from half_hour) p cross join (select cast(unnest(range(48)) as int) as slot) s
     left join half_hour h on h.point = p.point and h.d = p.d and h.slot = s.slot""")
 def point_layer_files(v: Views) -> DataFrame:
@@ -59,7 +59,7 @@ def point_layer_files(v: Views) -> DataFrame:
             wide = rows.groupBy("point").agg(*[
                 F.max(F.when(c("slot") == n, c(var))).alias(column) for n, column in enumerate(SLOT_COLUMNS)])
             wide.coalesce(1).write.parquet(f"{base}/{day:%Y}/{day:%Y-%m-%d}/{name}")
-    return rounded(read_point_layers(v.spark, base, str(days[0]), str(days[-1])), alb=3)
+    return rounded(read_point_layers(v.spark, base, str(days[0]), str(days[-1])), 8)
 
 
 @query("""
