@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import arrow_map
@@ -26,9 +26,10 @@ FILTERS = 16  # of each width
 EMBEDDING = 8
 BLOCK = 96  # windows computed at a time
 
-# Bound of the training sample: documents of each language, and windows of each document.
+# Bound of the training sample: documents of each language (on average, drawn by hash), and windows of each document.
 TRAIN_DOCUMENTS = 1500
 TRAIN_WINDOWS = 4
+HASH_RANGE = 1 << 40
 EPOCHS = 4
 BATCH = 64
 STEP = 4e-3
@@ -147,13 +148,13 @@ def gradients(network: Network, windows: np.ndarray, target: np.ndarray, mask: n
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """Pieces of at most TRAIN_DOCUMENTS documents of each language, chosen by a hash of the doc_id among those that
-    are not held out; TRAIN_WINDOWS stretches spread over each."""
-    chosen = (
-        docs.where("lang is not null and text is not null").where(~held_out())
-        .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(
-            F.xxhash64("doc_id"), F.xxhash64("text"))))
-        .where(F.col("nth") <= TRAIN_DOCUMENTS))
+    """Pieces of about TRAIN_DOCUMENTS documents of each language, chosen by a hash among those that are not held out;
+    TRAIN_WINDOWS stretches spread over each. A language's share follows from its count, so none is gathered."""
+    free = docs.where("lang is not null and text is not null").where(~held_out())
+    counts = free.groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASH_RANGE)) / HASH_RANGE
+    # A row per language: fewer than the network, which holds a column of weights for each, has numbers.
+    chosen = free.join(F.broadcast(counts), "lang").where(draw < TRAIN_DOCUMENTS / F.col("n"))
     starts = [F.lit(1) + F.floor(F.length("text") * i / TRAIN_WINDOWS).cast("int") for i in range(TRAIN_WINDOWS)]
     pieces = chosen.select("lang", F.explode(F.array_distinct(F.array(
         *[F.col("text").substr(s, F.lit(WINDOW)) for s in starts]))).alias("piece"))
