@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,7 +83,3 @@ def radiation(
     return idw(neighbours, radiation_values(half_hours, point), cell_keys, point, RADIATION, days,
                cutoff_m=cutoff_m, **options)
 
-
-def aligned_layers(layers: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Inner alignment of multi-column layers; an empty result shows as no rows downstream."""
-    return reduce(lambda a, b: a.join(b, list(keys)), layers)

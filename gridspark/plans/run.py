@@ -25,7 +25,7 @@ from gridspark.plans.fields import (
 from gridspark.plans.heatstress import METRICS, heat_stress
 from gridspark.session import materialise
 from gridspark.sources.regions import population_of_years, resolve_population_years
-from gridspark.sources.sinks import RESULT_KEYS, finished_results, write_regions
+from gridspark.sources.sinks import RESULT_KEYS, finished_results, write_long, write_regions
 
 CELL = ["lat", "lon"]
 SAME_DAY = ("tmin", "tmax", "tdmean")
@@ -164,11 +164,12 @@ def labelled(inputs: Inputs, days: DataFrame, vintage: int) -> DataFrame:
 def run_days(
     spark: SparkSession, inputs: Inputs, days: DataFrame, path: str, vintage: int,
     available: DataFrame | None = None, overwrite: bool = False, time_mode: str = "utc",
+    long_path: str | None = None,
 ) -> int:
     """Compute and store the requested days that have no result yet; returns how many.
 
     A result is a day under its population year and vintage: another vintage, or weights where there were none, is a
-    result of its own. With `available` (layer, d) a missing input stops the run before any work.
+    result of its own. With `long_path` the hourly metrics of all cells of these days are kept too. With `available` (layer, d) a missing input stops the run before any work.
     """
     wanted = labelled(inputs, days, vintage)
     todo = days_to_run(wanted, finished_results(spark, path), overwrite, RESULT_KEYS).select("prism_day")
@@ -176,5 +177,7 @@ def run_days(
         require_none(missing_inputs(todo, available, SAME_DAY, TWO_DAYS), "missing inputs")
     n = todo.count()
     if n:
+        if long_path is not None:
+            write_long(heat_stress_cells(inputs, todo), long_path, time_mode)
         write_regions(regional_table(inputs, todo), path, vintage, time_mode=time_mode)
     return n

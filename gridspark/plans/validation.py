@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.time import shifted_day, window_label, window_tag
 from gridspark.operators.metrics import (
-    match_paired, match_pairs, paired_metrics, station_sums, summarise, variable_label,
+    match_paired, match_pairs, metrics_suite, paired_metrics, station_sums, summarise, variable_label,
 )
 from gridspark.operators.neighbours import nearest_one, with_xy
 from gridspark.operators.stations import first_coordinates, with_observations
 from gridspark.session import materialise
+from gridspark.sources.sinks import write_pairs, write_report, write_suite
 
 MET = ("temp_C", "ea_hPa", "rh_pct")
 INDICES = ("temp_C", "rh_pct", "HI_C", "WBGT_C")
@@ -180,6 +181,21 @@ def summary_table(comparisons: Sequence[Comparison], windows: DataFrame) -> Data
         "dist_median_m", "dist_p90_m", "bias", "rmse").orderBy(*TABLE_ORDER)
 
 
+def write_comparison(comparison: Comparison, windows: DataFrame, folder: str, prefix: str, pairs_as_csv: bool = False) -> None:
+    """Files of one comparison: its station list, and for every window the metric suite (overall, by station, by day)
+    and the matched pairs, under the window's tag.
+
+    The pairs of all windows are joined once; the windows, a handful, are written one after another.
+    """
+    write_report(comparison.stations, f"{folder}/stations_{prefix}", ["station_id"])
+    pairs = materialise(comparison.pairs)
+    for window in tagged(windows).select("window_id", "tag").orderBy("window_id").collect():
+        own = pairs.where(F.col("window_id") == window.window_id)
+        suite = metrics_suite(own, comparison.variables, prefix, comparison.pred_suffix)
+        write_suite(suite, folder, prefix, window.tag)
+        write_pairs(own, f"{folder}/pairs_{prefix}_{window.tag}", pairs_as_csv)
+
+
 def window_extract(table: DataFrame, start: str, end: str) -> DataFrame:
     """The rows of one window."""
     return table.where((F.col("window_start") == start) & (F.col("window_end") == end))

@@ -97,7 +97,10 @@ def test_heat_stress_missing_inputs(spark):
 
 def test_run_writes_skips_and_checks(spark, inputs, tmp_path):
     path = str(tmp_path / "out")
-    assert run.run_days(spark, inputs, days_of(spark, DAYS[:1]), path, 2010) == 1
+    long = str(tmp_path / "long")
+    assert run.run_days(spark, inputs, days_of(spark, DAYS[:1]), path, 2010, long_path=long) == 1
+    kept = spark.read.parquet(long)
+    assert kept.count() == 8 * 24 and set(sinks.LONG_COLUMNS) <= set(kept.columns)
     assert run.run_days(spark, inputs, days_of(spark), path, 2010) == 1
     assert run.run_days(spark, inputs, days_of(spark), path, 2010) == 0
     out = spark.read.parquet(path)
@@ -160,7 +163,7 @@ def test_live_metrics_stream_equals_batch(spark, tmp_path):
     assert closed and all(days[d].n == n for d, n in closed.items()) and max(days) not in closed
 
 
-def test_validation_of_two_networks(spark):
+def test_validation_of_two_networks(spark, tmp_path):
     cells = spark.createDataFrame([(40.0, -100.0), (40.1, -100.0)], "lat double, lon double")
     grid = grid_table(cells)
     places = spark.createDataFrame(
@@ -189,5 +192,14 @@ def test_validation_of_two_networks(spark):
     assert era.n_stations == 3
     assert validation.published(validation.summary_table(found, windows)).columns[0] == "Temporal window"
     assert validation.tagged(windows).first().tag == "2010-07-01"
+    folder = str(tmp_path)
+    validation.write_comparison(network, windows, folder, "met")
+    csv = lambda name: spark.read.option("header", True).csv(f"{folder}/{name}")
+    assert {r.station_id for r in csv("stations_met").collect()} == {"a", "b"}
+    overall = {r["var"]: r for r in csv("metrics_overall_met_2010-07-01").collect()}
+    assert float(overall["temp_C"]["met_bias"]) == 1 and int(overall["temp_C"]["met_N"]) == 24
+    assert csv("metrics_by_station_met_2010-07-01").where("var = 'temp_C'").count() == 2
+    assert csv("metrics_by_day_met_2010-07-01").where("var = 'temp_C'").count() == 1
+    assert spark.read.parquet(f"{folder}/pairs_met_2010-07-01").count() == 24
     with pytest.raises(ValueError):
         validation.windows_of(spark, [("2010-07-02", "2010-07-01")])
