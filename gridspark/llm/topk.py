@@ -4,8 +4,9 @@ With one more component, sqrt(M^2 - |x|^2) for data and 0 for queries, M the lon
 largest inner products are the smallest distances: |q' - x'|^2 = |q|^2 + M^2 - 2 qx. Queries and data are
 grouped by their nearest pivot. A summary of each data group, its smallest distances to its pivot, gives by
 the triangle inequality a distance within which every query of a group has enough data; a data row goes
-to a query group only if its distance to its own pivot lets it be that near. Each query group is solved
-in tiles of bounded size, and the tiles' best rows are ranked once more.
+to a query group only if its distance to its own pivot lets it be that near. Query groups that lie together share
+a bin, to which a row that any of them needs is sent once; a bin is solved in tiles of bounded size, and the tiles'
+best rows are ranked once more.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ SCALE = 256
 PIVOTS_LEAST, PIVOTS_MOST = 4, 256
 PIVOT_SAMPLE = 4096
 # Rows of a tile.
-TILE_DATA, TILE_QUERIES = 20_000, 2_000
+TILE_DATA, TILE_QUERIES = 2_500, 2_000
 EXACT_FLOAT = 2.0 ** 53
 INT_LIMIT = 2.0 ** 62
 
@@ -133,18 +134,21 @@ def knn_join(rows: DataFrame, dim: int, every: int, k: int) -> DataFrame:
         # One more than k: a query's own row may be among them.
         within[int(i)] = float(bounds[k]) if len(bounds) > k else float("inf")
         reach[int(i)], queries[int(i)] = float(far), int(n)
-    plan = spark.sparkContext.broadcast((between, reach, within, slack))
+    bins = bins_of(queries, between)
+    plan = spark.sparkContext.broadcast((between, reach, within, slack, bins))
 
     def needed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        gap, far, bound, extra = plan.value
+        gap, far, bound, extra, groups = plan.value
         own = batch.column("own").to_numpy()
         away = batch.column("away").to_numpy()
         parts, targets = [], []
-        for i in far:
-            limit = far[i] + bound[i] + extra
-            hit = np.flatnonzero(np.abs(gap[i, own] - away) <= limit)
+        for n, members in enumerate(groups):
+            near = np.zeros(len(own), bool)
+            for i in members:
+                near |= np.abs(gap[i, own] - away) <= far[i] + bound[i] + extra
+            hit = np.flatnonzero(near)
             parts.append(hit)
-            targets.append(np.full(len(hit), i, np.int32))
+            targets.append(np.full(len(hit), n, np.int32))
         pick = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
         target = pa.array(np.concatenate(targets) if targets else np.zeros(0, np.int32))
         return pa.RecordBatch.from_arrays(
@@ -154,17 +158,17 @@ def knn_join(rows: DataFrame, dim: int, every: int, k: int) -> DataFrame:
     sent = arrow_map(grouped.select("row", "vec_id", "vec", "own", "away"), needed,
                      "row long, vec_id long, vec binary, target int")
     blocks = max(1, -(-total // TILE_DATA))
-    tiles = {i: max(1, -(-n // TILE_QUERIES)) for i, n in queries.items()}
-    count = F.lit(1)
-    for i, n in tiles.items():
-        if n > 1:
-            count = F.when(F.col("target") == i, n).otherwise(count)
+    # Tiles of each bin, and the bin of each pivot, looked up by number; both lists are as short as the pivots'.
+    tiles = [-(-sum(queries[i] for i in members) // TILE_QUERIES) for members in bins] or [1]
+    count = F.get(F.array(*[F.lit(n) for n in tiles]), F.col("target"))
+    bin_of = [next((n for n, members in enumerate(bins) if i in members), 0) for i in range(len(pivots))]
+    target = F.get(F.array(*[F.lit(n) for n in bin_of]), F.col("asked"))
     numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
     data = sent.select(
         "row", "vec_id", "vec", "target", F.lit(False).alias("query"),
         F.explode(F.sequence(F.lit(0), count - 1)).alias("tile"),
         F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
-    asking = grouped.where("asked >= 0").withColumnRenamed("asked", "target").select(
+    asking = grouped.where("asked >= 0").withColumn("target", target).select(
         "row", "vec_id", "vec", "target", F.lit(True).alias("query"),
         F.pmod(F.xxhash64("row"), count).cast("int").alias("tile"), F.explode(numbers).alias("block"))
 
@@ -194,6 +198,22 @@ def knn_join(rows: DataFrame, dim: int, every: int, k: int) -> DataFrame:
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def bins_of(queries: dict[int, int], between: np.ndarray) -> list[list[int]]:
+    """Query groups (numbers with their sizes) in bins of about a tile: from group to nearest group not yet placed."""
+    left, bins = set(queries), []
+    at = min(left, default=None)
+    size = TILE_QUERIES
+    while left:
+        if size + queries[at] > TILE_QUERIES:
+            bins.append([])
+            size = 0
+        bins[-1].append(at)
+        size += queries[at]
+        left.discard(at)
+        at = min(left, key=lambda i: (between[at, i], i), default=None)
+    return bins
+
+
 def choose_pivots(points: np.ndarray, n: int) -> np.ndarray:
     """Up to n points of the sample, each the farthest from those before it."""
     chosen = [0]
