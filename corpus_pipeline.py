@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import langid, packing, pii, quality, simhash
+from gridspark.llm import langid, packing, pii, quality, similar
 from gridspark.llm.common import arrow_map, load
 from gridspark.llm.tokens import tokenizer_path
 from gridspark.session import materialise
@@ -34,8 +34,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: the one with the smallest doc_id."""
-    return simhash.representatives(only_columns(docs))
+    """Keep one document of each group linked by 0.8 or more of five-word shingles: the one with the smallest doc_id."""
+    return similar.representatives(only_columns(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

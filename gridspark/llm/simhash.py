@@ -244,17 +244,22 @@ def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     It is a row with the group's smallest doc_id; of rows that share that id, or of a group without ids, the one with
     the smallest text hash, and of equal ones any.
     """
-    columns = docs.columns
-    marked = docs.select("doc_id", "text", F.xxhash64(*columns).alias("row_hash"))
+    marked = docs.select("doc_id", "text", F.xxhash64(*docs.columns).alias("row_hash"))
     prints = materialise(arrow_map(marked, print_rows, "doc_id long, print long, row_hash long"))
     named = component_of_prints(prints.select("doc_id", "print"), radius)
-    best = prints.join(named, "print").groupBy("root").agg(
+    return chosen_rows(docs, prints.join(named, "print").select("doc_id", "row_hash", "root"))
+
+
+def chosen_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row of docs that stands for each group, given the group of every row: rooted (doc_id, row_hash, root)."""
+    columns = docs.columns
+    best = rooted.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("b"))
     chosen = best.select(F.col("b.doc_id").alias("chosen_id"), F.col("b.row_hash").alias("row_hash"))
     hashed = docs.withColumn("row_hash", F.xxhash64(*columns))
     joined = hashed.join(
         chosen, hashed["doc_id"].eqNullSafe(chosen["chosen_id"]) & (hashed["row_hash"] == chosen["row_hash"]), "left_semi")
     # Only rows that are equal in every column can be chosen twice; without any the texts need no second exchange.
-    if not prints.groupBy("doc_id", "row_hash").count().where("count > 1").isEmpty():
+    if not rooted.groupBy("doc_id", "row_hash").count().where("count > 1").isEmpty():
         joined = joined.dropDuplicates(["doc_id", "row_hash"])
     return joined.select(*columns)
