@@ -58,7 +58,7 @@ def point_layer_files(v: Views) -> DataFrame:
                 rows = rows.where("point % 5 <> 0")
             wide = rows.groupBy("point").agg(*[
                 F.max(F.when(c("slot") == n, c(var))).alias(column) for n, column in enumerate(SLOT_COLUMNS)])
-            wide.coalesce(1).write.parquet(f"{base}/{day:%Y}/{day:%Y-%m-%d}/{name}")
+            wide.write.parquet(f"{base}/{day:%Y}/{day:%Y-%m-%d}/{name}")
     return rounded(read_point_layers(v.spark, base, str(days[0]), str(days[-1])), 8)
 
 

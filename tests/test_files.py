@@ -1,0 +1,11 @@
+"""Queries that write files keep their tasks."""
+
+import __spark_entry__ as driver
+
+
+def test_point_layers_are_written_by_all_tasks(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("coalesce pulls the aggregation into few tasks")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", refuse)
+    assert driver.queries()["point_layer_files"](spark, "/root/testdata/sf0.001").count() > 0
