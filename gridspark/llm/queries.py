@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bpe, html, langid, licenses, packing, pii, quality, runs, simhash, topk, vectors
+from gridspark.llm import bpe, conversations, html, langid, licenses, packing, pii, quality, runs, simhash, topk, vectors
 from gridspark.llm.common import load
 from gridspark.llm.tokens import tokenizer_path
 
@@ -69,6 +69,11 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(load(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_damaged(load(spark, folder, "conversations"))
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.planted_runs(load(spark, folder, "documents"))
