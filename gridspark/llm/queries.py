@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bpe, conversations, html, langid, licenses, packing, pii, quality, runs, simhash, topk, vectors
+from gridspark.llm import bpe, conversations, html, langid, licenses, packing, pii, quality, rules, runs, simhash, topk, vectors
 from gridspark.llm.common import load
 from gridspark.llm.tokens import tokenizer_path
 
@@ -79,6 +79,11 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.planted_runs(load(spark, folder, "documents"))
 
 
+@query
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judge(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
 _USABLE = """
     select vec_id, label, [cast(x as double) for x in embedding] as e from embeddings
     where len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0"""

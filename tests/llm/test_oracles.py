@@ -22,5 +22,5 @@ def test_query_equals_sql(spark, name):
 def test_one_query_per_operator_is_registered():
     registered = driver.queries()
     assert "pipeline" in registered
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in registered) == 1
