@@ -12,6 +12,9 @@ letter or digit a separator, words joined by one blank.
 from __future__ import annotations
 
 import functools
+import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -43,8 +46,11 @@ WORD_BYTES = bytes(
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string,"
-    " score double, matches array<struct<label:string,notice:string,first_word:long,edits:int,matched:string>>"
+    " score double, matches array<struct<label:string,notice:string,start:long,end:long,first_word:long,edits:int,"
+    "matched:string>>"
 )
+# The words of normal_words() where they stand in the text itself.
+WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def normal_words(text: str) -> str:
@@ -103,27 +109,58 @@ def windows(words: str) -> dict[int, list[list[int]]]:
     return found
 
 
+class BlankCount:
+    """Blanks before growing places of a text: what was counted is not counted again."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at, self.blanks = text, 0, 0
+
+    def before(self, place: int) -> int:
+        self.blanks += self.text.count(" ", self.at, place)
+        self.at = place
+        return self.blanks
+
+
 def fuzzy_matches(words: str) -> list[dict]:
-    """Leftmost non-overlapping matches of every notice within its edits."""
+    """Leftmost non-overlapping matches of every notice within its edits; start and end are places in words."""
     out = []
     for n, spans in sorted(windows(words).items()):
         notice, label = NOTICES[n]
+        counted = BlankCount(words)
         for start, end in spans:
             for m in matcher(notice).finditer(words, start, end):
+                matched = m.group()
+                first = m.start() + len(matched) - len(matched.lstrip())
                 out.append({
-                    "label": label, "notice": notice, "edits": sum(m.fuzzy_counts), "matched": m.group(),
-                    "first_word": words.count(" ", 0, m.start() + len(m.group()) - len(m.group().lstrip())),
+                    "label": label, "notice": notice, "edits": sum(m.fuzzy_counts), "matched": matched,
+                    "start": first, "end": first + len(matched.strip()), "first_word": counted.before(first),
                 })
     return out
 
 
+def in_text(text: str, words: str, matches: list[dict]) -> list[dict]:
+    """The matches with start and end as code points of the text itself."""
+    if not matches:
+        return matches
+    own = [m.start() for m in WORD.finditer(text)]
+    here = [0, *accumulate(len(w) + 1 for w in words.split(" "))]
+
+    def place(at: int) -> int:
+        word = bisect_right(here, at) - 1
+        return own[word] + at - here[word]
+
+    # The end is one past the last character, which lies in a word.
+    return [{**m, "start": place(m["start"]), "end": place(m["end"] - 1) + 1} for m in matches]
+
+
 def phrase_places(words: str) -> list[tuple[int, str]]:
     """(word index, label) of every place at which an exact phrase's words stand."""
     padded, out = f" {words} ", []
     for phrase, label in PHRASES:
+        counted = BlankCount(padded)
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            out.append((padded.count(" ", 0, at), label))
+            out.append((counted.before(at), label))
             at = padded.find(f" {phrase} ", at + 1)
     return out
 
@@ -131,7 +168,7 @@ def phrase_places(words: str) -> list[tuple[int, str]]:
 def scan_text(text: str) -> dict:
     words = normal_words(text)
     base = phrase_places(words)
-    matches = fuzzy_matches(words)
+    matches = in_text(text, words, fuzzy_matches(words))
     scores = [1.0] * bool(base) + [1 - m["edits"] / len(m["notice"]) for m in matches]
     return {
         "n_words": words.count(" ") + 1 if words else 0,
@@ -148,7 +185,8 @@ def scan_text(text: str) -> dict:
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text), with its notices.
 
-    matches lists the bounded-error matches (label, notice, first word, edits, matched words); score is
+    matches lists the bounded-error matches (label, notice, start and end in code points of the text, end exclusive,
+    first word, edits, matched words); score is
     the closeness of the best match, 1 for an exact phrase, 0 without any. A null text counts as empty: no
     words, empty labels, null first and last word. Null and repeated doc_ids stay as they are, other
     columns of docs are ignored, an empty table gives an empty one. Rows are independent: nothing is shuffled.
@@ -157,7 +195,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
         ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
         ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
         ("matches", pa.list_(pa.struct([
-            ("label", pa.string()), ("notice", pa.string()), ("first_word", pa.int64()), ("edits", pa.int32()),
+            ("label", pa.string()), ("notice", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
+            ("first_word", pa.int64()), ("edits", pa.int32()),
             ("matched", pa.string())]))),
     ])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridspark.llm import bpe, conversations, html, langid, licenses, packing, pii, quality, rules, runs, simhash, topk, vectors
 from gridspark.llm.common import load
@@ -21,7 +22,9 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 @query
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.license_scan(load(spark, folder, "documents")).drop("matches")
+    found = licenses.license_scan(load(spark, folder, "documents"))
+    span = F.transform("matches", lambda m: F.concat_ws(":", m["label"], m["start"], m["end"], m["edits"]))
+    return found.withColumn("spans", F.array_join(span, ",")).drop("matches")
 
 
 @query

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -72,3 +73,43 @@ def test_rows(spark):
     for r in got:
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert licenses.license_scan(docs.limit(0)).count() == 0
+
+
+def test_spans_stand_in_the_text():
+    rng = random.Random(9)
+    for _ in range(60):
+        notice, _ = rng.choice(licenses.NOTICES)
+        shown = "".join(c.upper() if rng.random() < 0.3 else rng.choice((" ", "\n", " - ", "\u2014 ")) if c == " " else c for c in notice)
+        text = f"é {'word, ' * rng.randrange(4)}[{damaged(rng, shown, rng.randrange(2))}] and more."
+        for m in licenses.scan_text(text)["matches"]:
+            assert licenses.normal_words(text[m["start"]:m["end"]]) == m["matched"].strip()
+
+
+def test_query_reports_spans(spark):
+    from gridspark.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    documents = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    found = [r for r in QUERIES["op1_license_scan"](spark, folder).collect() if r.spans]
+    assert found
+    for r in found:
+        for label, start, end, edits in (s.split(":") for s in r.spans.split(",")):
+            words = licenses.normal_words(documents[r.doc_id][int(start):int(end)])
+            assert min(least_edits(n, words) for n, x in licenses.NOTICES if x == label) <= int(edits) and label in r.labels.split(",")
+
+
+def test_one_megabyte_of_hits():
+    text = "cc by " * 200_000
+    start = time.time()
+    assert licenses.scan_text(text)["n_base"] == 200_000
+    assert time.time() - start < 10
+
+
+@pytest.mark.parametrize("part", ["general public license ", "genral public licence ", "permission is hereby "])
+def test_many_notices_take_time_in_proportion(part):
+    took = []
+    for size in (50_000, 200_000):
+        start = time.time()
+        licenses.scan_text(part * (size // len(part)))
+        took.append(time.time() - start)
+    assert took[1] < 10 * took[0] + 0.5
