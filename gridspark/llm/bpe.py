@@ -36,6 +36,10 @@ WORDS = regex.compile(
 # Characters the word pattern looks at beyond a word's end, at most; words that end nearer may still change.
 LOOK_AHEAD = 3
 
+# Characters of one kind after which a word's end no longer depends on where they began, and the kinds.
+RUN = 64
+KINDS = [regex.compile(kind) for kind in (r"\p{L}+", r"\p{N}+", r"[^\p{White_Space}\p{L}\p{N}]+", r"\p{White_Space}+")]
+
 CHUNK_BITS = 10  # a cut every 1,024 bytes on average
 LEAST_CHUNK = 256
 WINDOW_STEPS = 5  # 2 ** 5 bytes feed the rolling hash
@@ -110,44 +114,55 @@ class Chunks:
     def join(self, chunks: list[str], ids: list[np.ndarray]) -> np.ndarray:
         """Ids of the joined chunks, from the ids of each."""
         out: list[np.ndarray] = []
-        carry, carried = "", None  # text before the next chunk whose ids may change; the ids of what precedes it
+        waiting: list[str] = []  # text before the next chunk whose ids may change
+        carry = ""  # its end, as far as the words of what follows depend on it
         for n, (chunk, own) in enumerate(zip(chunks, ids)):
-            last = n == len(chunks) - 1
             head = 0  # characters of the chunk that the repair takes
             if carry:
-                head, words = self.agreement(carry, chunk)
-                out.append(np.frombuffer(b"".join(self.encode(words)), self.encoder.dtype))
+                head, agreed = self.agreement(carry, chunk)
+                if not agreed:
+                    # No agreement inside this chunk: it waits too and is encoded with what precedes it, once.
+                    waiting.append(chunk)
+                    carry = self.needed(carry + chunk)
+                    continue
+                out.append(self.words_before("".join(waiting) + chunk[:head], chunk[head:head + LOOK_AHEAD]))
                 own = own[self.tokens_in(own, len(chunk[:head].encode())):]
             rest = chunk[head:]
-            if last:
+            if n == len(chunks) - 1:
                 out.append(own)
-                break
-            if not rest:
-                # No agreement inside this chunk: what was encoded so far is taken up again whole.
-                out.pop()
-                carry += chunk
-                continue
+                return np.concatenate(out)
             tail = self.last_word(rest)
-            carry = rest[tail:]
+            waiting = [rest[tail:]]
+            carry = self.needed(rest[tail:])
             out.append(own[:self.tokens_in(own, len(rest[:tail].encode()))])
+        if waiting:
+            out.append(self.words_before("".join(waiting), ""))
         return np.concatenate(out) if out else np.zeros(0, self.encoder.dtype)
 
-    def agreement(self, carry: str, chunk: str) -> tuple[int, list[str]]:
-        """Place in chunk from which on its own words and those of carry + chunk agree, its length if nowhere;
-        the words of carry + chunk before it."""
+    def words_before(self, text: str, following: str) -> np.ndarray:
+        """Ids of the words of text, which ends where a word does if `following` stands behind it."""
+        words = [m[0] for m in WORDS.finditer(text + following) if m.end() <= len(text)]
+        return np.frombuffer(b"".join(self.encode(words)), self.encoder.dtype)
+
+    def needed(self, carry: str) -> str:
+        """An end of carry with which the words of what follows are the same. Characters of one kind in a row lie in one word,
+        or in a contraction and the word after it, however many they are; else what follows the last sure start does."""
+        if len(carry) > RUN and any(kind.fullmatch(carry, len(carry) - RUN) for kind in KINDS):
+            return carry[-RUN:]
+        return carry[self.last_word(carry):]
+
+    def agreement(self, carry: str, chunk: str) -> tuple[int, bool]:
+        """Place in chunk from which on its own words and those of carry + chunk agree, and whether there is one."""
         look = 64
         while True:
             head = chunk[:look]
             own = {m.end() for m in WORDS.finditer(head)}
-            words = []
-            place = -len(carry)
             for m in WORDS.finditer(carry + head):
-                words.append(m[0])
-                place += len(m[0])
+                place = m.end() - len(carry)
                 if 0 <= place <= len(head) - LOOK_AHEAD and (place == 0 or place in own):
-                    return place, words
+                    return place, True
             if look >= len(chunk):
-                return len(chunk), words
+                return len(chunk), False
             look *= 4
 
     def last_word(self, text: str) -> int:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -32,6 +33,9 @@ TEXTS = [
     "", " ", "a", "<|endoftext|>", "x" * 30_000, " " * 3_000, "ab" * 5_000, "word " * 3_000, "\n \n" * 2_000,
     "漢字" * 2_000, "don't " * 900 + "'", *[odd_text(random.Random(s), 1_500) for s in range(12)],
     *["".join(random.Random(s).choice("etaoin shrdlu\n'") for _ in range(9_000)) for s in range(6)],
+    *["".join(random.Random(s).choice(kind) for _ in range(6_000)) for s, kind in enumerate(
+        ("etaoinshrdlu", "0123456789", "!?'.,-", " \n\t", "étàöß", "a1"))],
+    "'s" + "".join(random.Random(7).choice("abc") for _ in range(4_000)) + "'ll" + "!'" * 2_000 + "s" * 90 + "'" * 70 + "re",
 ]
 
 
@@ -87,3 +91,18 @@ def test_documents(spark, library):
             hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert bpe.encode_decode(docs.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["etaoinshrdlu", "0123456789", "!?.,-#", "a1"])
+def test_a_megabyte_without_blanks(kind, library):
+    rng = random.Random(8)
+    text, coder = "".join(rng.choice(kind) for _ in range(1_000_000)), bpe.chunks_of(PATH)
+    strings = [c.decode() for part in bpe.text_chunks(coder, text) for c in part]
+    assert len(strings) > 100
+    ids = [np.frombuffer(b, coder.encoder.dtype) for b in coder.encode(strings)]
+    start = time.time()
+    joined = coder.join(strings, ids)
+    took = time.time() - start
+    start = time.time()
+    assert joined.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert took < 5 * (time.time() - start) + 5
