@@ -46,6 +46,41 @@ def test_iban_and_score():
     assert pii.score("x 1.2.3.4 y", "ip", 2, 9) == 0.5
 
 
+def test_context_is_made_of_whole_words():
+    def scored(text):
+        start = text.index("10.0.0.1")
+        return pii.score(text, "ip", start, start + 8)
+
+    assert scored("ship at 10.0.0.1") == scored("10.0.0.1") == scored("ip " + "x" * 60 + " 10.0.0.1") == 0.5
+    assert scored("the server, 10.0.0.1") == scored("10.0.0.1 is the HOST") == 0.7
+    assert scored("version 10.0.0.1") == 0.2 and scored("10.0.0.1 versions") == 0.5
+    assert scored("server version 10.0.0.1") == 0.4
+    assert pii.masked("version 10.0.0.1 of server 10.0.0.2" + " x" * 40 + " 10.0.0.3") == (
+        "version <IP> of server <IP>" + " x" * 40 + " <IP>")
+    assert pii.masked("version 10.0.0.1" + " x" * 40) == "version 10.0.0.1" + " x" * 40
+
+
+def test_assigned_secrets():
+    value = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    for text in (f'a token = "{value}" b', f"API_KEY:{value}", f"x&password={value}", f"### token = '{value}'###"):
+        (start, kind, end), = [s for s in pii.find_in_text(text) if s[1] == 5]
+        assert text[start:end] == value
+        assert value not in pii.masked(text) and "<SECRET>" in pii.masked(text)
+    for text in (f"betoken = {value}", f"token {value}", "token = 1234567890123456", "secret: internationalisation", "key = " + value):
+        assert not [s for s in pii.find_in_text(text) if s[1] == 5]
+
+
+def test_secrets_of_given_documents_are_found(spark):
+    from gridspark.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    planted = {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").collect()
+               if re.search('token = "[0-9a-f]{40}"', r.text or "")}
+    got = {r.doc_id: r for r in QUERIES["op4_pii"](spark, folder).collect()}
+    assert planted and planted == {d for d, r in got.items() if r.n_secret}
+    assert all(len(r.scores.split(",")) == len(r.spans.split(",")) for r in got.values())
+
+
 def test_masking_leaves_no_span():
     text = "mail a.b@c.de or +49 30 1234567, card 4111 1111 1111 1111 at 10.0.0.1, clean tail."
     masked = pii.masked(text)
@@ -55,7 +90,7 @@ def test_masking_leaves_no_span():
 
 
 def test_long_runs_stay_fast():
-    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 100_000, "a@" * 100_000, "1 " * 150_000):
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 100_000, "a@" * 100_000, "1 " * 150_000, "token = " * 40_000, "token=" + "a1" * 200_000):
         pii.find_in_text(text)
 
 
