@@ -60,6 +60,36 @@ def materialise(df: DataFrame) -> DataFrame:
     Unlike an RDD checkpoint this computes the rows only once and keeps the table's size known to
     the optimizer.
     """
-    path = shared_folder(df.sparkSession)
+    return _written(df, shared_folder(df.sparkSession))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables of one job: written as by materialise() and deleted when the job leaves the `with` block.
+
+    What the job hands on must not read them any more, so its own result is written outside the block, or before
+    the block ends.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = shared_folder(self.spark)
+        self.paths.append(path)
+        return _written(df, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        jvm, settings = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(settings).delete(folder, True)
+        self.paths.clear()
