@@ -58,14 +58,50 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(edges: DataFrame) -> DataFrame:
+# Bits of a filter of keys, whatever the number of keys, and bits set for each.
+FILTER_BITS, FILTER_HASHES = 1 << 26, 4
+
+
+def filter_places(keys: np.ndarray) -> np.ndarray:
+    """Bit numbers of 64-bit keys, FILTER_HASHES for each."""
+    x = keys.astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    step = (x >> np.uint64(32)) | np.uint64(1)
+    return (x[:, None] + np.arange(FILTER_HASHES, dtype=np.uint64) * step[:, None]) % np.uint64(FILTER_BITS)
+
+
+def key_filter(keys: DataFrame):
+    """Broadcast Bloom filter, of fixed size, of the one column of `keys` (long). The more keys, the more others it lets through."""
+    name = keys.columns[0]
+
+    def bits(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places = np.unique(filter_places(batch.column(0).to_numpy(zero_copy_only=False)))
+        word, at = np.unique(places >> np.uint64(6), return_index=True)
+        value = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), at)
+        return record_batch(word=pa.array(word.astype(np.int64)), bits=pa.array(value.view(np.int64)))
+
+    words = arrow_map(keys.where(F.col(name).isNotNull()), bits, "word long, bits long").groupBy("word").agg(
+        F.bit_or("bits").alias("bits")).toPandas()
+    field = np.zeros(FILTER_BITS // 64, np.uint64)
+    field[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(field)
+
+
+def may_hold(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter lets each key through: all that are in it, and some others."""
+    places = filter_places(np.asarray(keys))
+    return ((field[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+
+def components(edges: DataFrame, write: Callable[[DataFrame], DataFrame] = materialise) -> DataFrame:
     """Connected components of edges (a long, b long): one row (node, root) per node of an edge, root
     the smallest node reachable. Alternating large-star and small-star rounds until nothing moves;
     every round is written to the checkpoint folder, and a star's centre is a joined row, never a
-    collected list, so a component of any size stays spread.
+    collected list, so a component of any size stays spread. `write` writes the rounds' tables.
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    current = materialise(ordered.distinct())
+    current = write(ordered.distinct())
     mark = None
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -75,7 +111,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = materialise(moved.union(lowest.select("u", F.col("m").alias("v"))).distinct())
+        current = write(moved.union(lowest.select("u", F.col("m").alias("v"))).distinct())
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == mark:
             break

@@ -1,26 +1,33 @@
 """Near-duplicate documents by the share of five-word shingles they have in common: every pair at 0.8 or more is linked.
 
-A document is the set of its shingles' 64-bit hashes; equal sets are one node. Two sets at 0.8 or more share one of the
-first fifth of their shingles in any order common to all sets, so nodes that share such a shingle are the candidates
-and none is missed. The order puts shingles that are frequent in a bounded sample last; it decides the cost, not the result.
-
-Links only matter up to components. First the links of SimHash fingerprints and one link per shingle (to its smallest
-node) are verified, which joins most groups of copies with as many comparisons as rows. Then all candidates whose
-nodes are still apart are compared. A bitmap of shingle parities bounds the difference of two sets from below,
-so most of them never meet the sets themselves. Shingles of many nodes are compared in tiles.
+A document is the set of its shingles' 64-bit hashes; equal sets are one node, under a 128-bit hash of the set. Two sets at 0.8 or
+more share one of the first fifth of their shingles in any order common to all sets, so nodes that share such a shingle are
+the candidates and none is missed. The order puts shingles that are frequent in a bounded sample last; it decides the cost,
+not the result.
+
+Links only matter up to components, so candidates are taken in rounds and compared only while their nodes are apart: first the links
+of SimHash fingerprints, found with vantage-point trees, and one link per shingle (to its smallest node); then, where many nodes share a
+shingle, the nearest node of another group; then all that are left. A bitmap of shingle parities bounds the difference of
+two sets from below, so most pairs never meet the sets themselves. Shingles of many nodes are compared in tiles.
+
+Texts stay where they are until the end. Bloom filters of fixed size tell the tasks which shingles more than one document has, and which
+rows' sets are wanted; what they let through too much is dropped by the joins that follow. At the end only documents that
+have copies or links are shuffled with their texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm import simhash
-from gridspark.llm.common import arrow_map, components, texts
-from gridspark.session import materialise
+from gridspark.llm.common import arrow_map, components, key_filter, may_hold, record_batch, texts
+from gridspark.session import Scratch, materialise
 
 WORDS_PER_SHINGLE = 5
 # Similarity of a link, as a fraction: 4/5.
@@ -28,14 +35,12 @@ PART, WHOLE = 4, 5
 BITMAP_BYTES = 128
 
 # Nodes sampled for the order of shingles, and the most shingles it puts last.
-SAMPLE = 20_000
+SAMPLE = 10_000
 FREQUENT = 100_000
 # Nodes of a shingle up to which a join pairs them, and nodes in a side of a tile.
 FEW = 32
 TILE = 2048
 
-NODE = "node long, size int, print long, bitmap binary"
-
 
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; a shorter text is one shingle."""
@@ -46,10 +51,10 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i:i + n])) for i in range(max(1, len(words) - n + 1))], np.uint64))
 
 
-def node_of(found: np.ndarray) -> int:
+def key_of(found: np.ndarray) -> bytes:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+    return xxhash.xxh3_128_digest(found.tobytes())
 
 
 def bitmap(found: np.ndarray) -> bytes:
@@ -74,29 +79,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def node_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     sets = [shingles(t) for t in texts(batch)]
-    return pa.RecordBatch.from_arrays([
-        batch.column("doc_id"), batch.column("row_hash"), pa.array([node_of(s) for s in sets], pa.int64()),
-        pa.array([len(s) for s in sets], pa.int32()), pa.array([majority(s) for s in sets], pa.int64()),
-        pa.array([bitmap(s) for s in sets], pa.binary())],
-        names=["doc_id", "row_hash", "node", "size", "print", "bitmap"])
-
+    return record_batch(
+        row=batch.column("row"), doc_id=batch.column("doc_id"), key=([key_of(s) for s in sets], pa.binary()),
+        size=([len(s) for s in sets], pa.int32()), print=([majority(s) for s in sets], pa.int64()),
+        bitmap=([bitmap(s) for s in sets], pa.binary()))
 
-def set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [batch.column("node"), pa.array([shingles(t).tobytes() for t in texts(batch)], pa.binary())],
-        names=["node", "shingles"])
 
-
-def frequent_last(unique: DataFrame) -> np.ndarray:
+def frequent_last(docs: DataFrame, nodes: DataFrame) -> np.ndarray:
     """Sorted hashes of the shingles that are frequent among sampled nodes, and their numbers."""
-    share = min(1.0, SAMPLE / max(1, unique.count()))
-    sample = unique.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    share = min(1.0, SAMPLE / max(1, nodes.count()))
+    drawn = nodes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("row").limit(2 * SAMPLE)
+    # A bounded table; rows that are equal in every column count once.
+    sample = docs.join(F.broadcast(drawn), "row").dropDuplicates(["row"])
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([shingles(t) for t in texts(batch)]).view(np.int64))], names=["shingle"])
+        return record_batch(shingle=pa.array(np.concatenate([shingles(t) for t in texts(batch)]).view(np.int64)))
 
-    counted = arrow_map(sample, spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    counted = arrow_map(sample.select("text"), spread, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
     rows = counted.where("n > 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
     keys = rows["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -113,7 +112,44 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, n))][:len(found) + 1 - -(-PART * len(found) // WHOLE)]
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, unique: DataFrame) -> DataFrame:
+def shared_prefixes(docs: DataFrame, nodes: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(shingle, node, size, n, least): the nodes that hold a shingle of more than one node in their prefixes, how many
+    they are, and the smallest of them with its size."""
+    context = docs.sparkSession.sparkContext
+    frequent = context.broadcast(frequent_last(docs, nodes))
+    chosen = key_filter(nodes.select("row"))
+
+    def prefixes(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Sets and prefixes of the batch's rows that stand for a node."""
+        hit = may_hold(chosen.value, batch.column("row").to_numpy())
+        sets = [shingles(t or "") for t in batch.column("text").filter(pa.array(hit)).to_pylist()]
+        return sets, [prefix(s, frequent.value) for s in sets]
+
+    def alone(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, found = prefixes(batch)
+        return record_batch(shingle=pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)))
+
+    counted = arrow_map(docs.select("row", "text"), alone, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    several = key_filter(counted.where("n > 1").select("shingle"))
+
+    def held(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets, found = prefixes(batch)
+        found = [f[may_hold(several.value, f.view(np.int64))] for f in found]
+        lengths = [len(f) for f in found]
+        keys = np.array([key_of(s) for s in sets], object)
+        return record_batch(
+            shingle=pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)),
+            key=pa.array(np.repeat(keys, lengths).tolist(), pa.binary()),
+            size=pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), lengths), pa.int32()))
+
+    holders = write(arrow_map(docs.select("row", "text"), held, "shingle long, key binary, size int").join(
+        nodes.select("key", "node"), "key").select("shingle", "node", "size"))
+    stated = holders.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("most"))
+    return write(holders.join(stated.where("least.node <> most").drop("most"), "shingle"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The pairs (a, b) of nodes that are similar."""
 
     def side(name: str, *columns: str) -> DataFrame:
@@ -131,101 +167,134 @@ def verified(pairs: DataFrame, nodes: DataFrame, unique: DataFrame) -> DataFrame
             batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist())]
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = materialise(arrow_map(pairs.select("a", "b").distinct().join(side("a", "size", "bitmap"), "a").join(
+    near = write(arrow_map(pairs.select("a", "b").distinct().join(side("a", "size", "bitmap"), "a").join(
         side("b", "size", "bitmap"), "b"), bounded, "a long, b long"))
-    # Only nodes of open pairs take their shingles along.
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    sets = materialise(arrow_map(unique.join(wanted, "node", "left_semi"), set_rows, "node long, shingles binary"))
+    # Only nodes of open pairs have their sets made again, from the row that stands for them.
+    wanted = write(near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(
+        nodes.select("node", "key", "row"), "node"))
+    chosen = key_filter(wanted.select("row"))
+
+    def set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hit = may_hold(chosen.value, batch.column("row").to_numpy())
+        sets = [shingles(t or "") for t in batch.column("text").filter(pa.array(hit)).to_pylist()]
+        return record_batch(key=([key_of(s) for s in sets], pa.binary()), shingles=([s.tobytes() for s in sets], pa.binary()))
+
+    sets = write(arrow_map(docs.select("row", "text"), set_rows, "key binary, shingles binary").join(
+        wanted.select("key", "node"), "key").groupBy("node").agg(F.any_value("shingles").alias("shingles")))
     ends = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab"]
-    return arrow_map(
-        near.join(ends[0], "a").join(ends[1], "b").select("a", "b", "shingles_a", "shingles_b"), exact, "a long, b long")
-
-
-def tile_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of nodes of different groups in a tile that sizes and bitmaps leave open."""
-    left, right = (rows[rows["block"] == b] for b in key[1:])
-    node, size, group = right["node"].to_numpy(), right["size"].to_numpy(np.int64), right["group"].to_numpy()
-    bits = np.frombuffer(b"".join(right["bitmap"]), np.uint64).reshape(len(right), BITMAP_BYTES // 8)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for n, s, g, m in zip(left["node"], left["size"], left["group"], left["bitmap"]):
-        open_ = np.flatnonzero((group != g) & (WHOLE * np.minimum(size, s) >= PART * np.maximum(size, s)))
-        if key[1] == key[2]:
-            open_ = open_[node[open_] > n]
-        differ = np.bitwise_count(bits[open_] ^ np.frombuffer(m, np.uint64)).sum(axis=1, dtype=np.int64)
-        found = node[open_[(PART + WHOLE) * differ <= (WHOLE - PART) * (size[open_] + s)]]
-        out.append((np.minimum(found, n), np.maximum(found, n)))
-    a, b = (np.concatenate([p[k] for p in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
-    return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
-
-
-def linked_nodes(nodes: DataFrame, unique: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect what the links of nodes (node, size, print, bitmap) with unique (node, text) connect."""
-    frequent = nodes.sparkSession.sparkContext.broadcast(frequent_last(unique.select("text")))
-
-    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in texts(batch)]
-        found = [prefix(s, frequent.value) for s in sets]
-        lengths = [len(f) for f in found]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), lengths)),
-             pa.array(np.repeat([len(s) for s in sets], lengths), pa.int32())], names=["shingle", "node", "size"])
-
-    # A shingle's rows are at most one per node, a small share of all rows.
-    same = Window.partitionBy("shingle")
-    shared = materialise(arrow_map(unique, first, "shingle long, node long, size int").select(
-        "*", F.count("*").over(same).alias("n"), F.min(F.struct("node", "size")).over(same).alias("least")).where("n > 1"))
+    return write(arrow_map(
+        near.join(ends[0], "a").join(ends[1], "b").select("a", "b", "shingles_a", "shingles_b"), exact, "a long, b long"))
+
+
+def tile_pairs(nearest: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Pairs of nodes of different groups in a tile that sizes and bitmaps leave open: all, or the nearest of each node."""
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = (rows[rows["block"] == b] for b in key[1:])
+        node, size, group = right["node"].to_numpy(), right["size"].to_numpy(np.int64), right["group"].to_numpy()
+        bits = np.frombuffer(b"".join(right["bitmap"]), np.uint64).reshape(len(right), BITMAP_BYTES // 8)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for n, s, g, m in zip(left["node"], left["size"], left["group"], left["bitmap"]):
+            open_ = np.flatnonzero((group != g) & (WHOLE * np.minimum(size, s) >= PART * np.maximum(size, s)))
+            if key[1] == key[2] and not nearest:
+                open_ = open_[node[open_] > n]
+            differ = np.bitwise_count(bits[open_] ^ np.frombuffer(m, np.uint64)).sum(axis=1, dtype=np.int64)
+            fits = (PART + WHOLE) * differ <= (WHOLE - PART) * (size[open_] + s)
+            found = node[open_[fits]]
+            if nearest and len(found):
+                found = found[[np.argmin(differ[fits] / (size[open_[fits]] + s))]]
+            out.append((np.minimum(found, n), np.maximum(found, n)))
+        a, b = (np.concatenate([p[k] for p in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
+
+    return compare
+
+
+def linked_nodes(docs: DataFrame, nodes: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that connect what the links of nodes (node, key, row, size, print, bitmap) of docs (row, text) connect."""
+    shared = shared_prefixes(docs, nodes, write)
     fits = f"{WHOLE} * least(%s, %s) >= {PART} * greatest(%s, %s)"
     stars = shared.where("node <> least.node").where(fits % (("size", "least.size") * 2)).select(
         F.col("least.node").alias("a"), F.col("node").alias("b"))
     # The fingerprints' links: from each node to its fingerprint's smallest, and on to that of the linked ones.
-    prints = materialise(nodes.groupBy("print").agg(F.min("node").alias("least")))
+    prints = write(nodes.groupBy("print").agg(F.min("node").alias("least")))
     forest = simhash.linked_prints(prints.select("print"))
     ends = [prints.select(F.col("print").alias(c), F.col("least").alias(f"node_{c}")) for c in "ab"]
     hashed = nodes.select("node", "print").join(prints, "print").where("node <> least").select(
         F.col("least").alias("a"), F.col("node").alias("b")).union(
             forest.join(ends[0], "a").join(ends[1], "b").select(
                 F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
-    early = materialise(verified(stars.union(hashed), nodes, unique))
-
-    roots = components(early)
-    grouped = shared.join(roots, "node", "left").select(
-        "shingle", "node", "size", "n", F.coalesce("root", "node").alias("group"))
-    apart = grouped.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(
-        "low <> high").select("shingle")
-    rest = materialise(grouped.join(apart, "shingle", "left_semi"))
+    links = verified(stars.union(hashed), nodes, docs, write)
+
+    def apart() -> DataFrame:
+        """The shared shingles' rows, with the groups that the links so far make, where a shingle has more than one."""
+        roots = components(links, write)
+        grouped = shared.join(roots, "node", "left").select(
+            "shingle", "node", "size", "n", F.coalesce("root", "node").alias("group"))
+        several = grouped.groupBy("shingle").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(
+            "low <> high").select("shingle")
+        return write(grouped.join(several, "shingle", "left_semi"))
+
+    def tiled(rows: DataFrame, nearest: bool) -> DataFrame:
+        """A shingle of many nodes: blocks by a hash of the node, and a tile for every two blocks."""
+        blocks = F.ceil(F.col("n") / TILE).cast("int")
+        many = rows.where(F.col("n") > FEW).join(nodes.select("node", "bitmap"), "node").select(
+            "shingle", "node", "size", "group", "bitmap", blocks.alias("blocks"),
+            F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+        dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "shingle", "node", "size", "group", "bitmap", "block", F.least("block", "other").alias("low"),
+            F.greatest("block", "other").alias("high"))
+        return dealt.groupBy("shingle", "low", "high").applyInPandas(tile_pairs(nearest), "a long, b long")
+
+    rest = apart()
+    if not rest.where(F.col("n") > FEW).isEmpty():
+        # Many near copies of one another are joined by a link each before the rest of their pairs would be listed.
+        links = write(links.union(verified(tiled(rest, True), nodes, docs, write)))
+        rest = apart()
     few = rest.where(F.col("n") <= FEW)
     pairs = few.alias("x").join(few.alias("y"), "shingle").where(
         "x.node < y.node and x.group <> y.group").where(fits % (("x.size", "y.size") * 2)).select(
             F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # A shingle of many nodes: blocks by a hash of the node, and a tile for every two blocks.
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    many = rest.where(F.col("n") > FEW).join(nodes.select("node", "bitmap"), "node").select(
-        "shingle", "node", "size", "group", "bitmap", blocks.alias("blocks"),
-        F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "shingle", "node", "size", "group", "bitmap", "block", F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"))
-    tiled = dealt.groupBy("shingle", "low", "high").applyInPandas(tile_pairs, "a long, b long")
-    return early.union(verified(pairs.union(tiled), nodes, unique))
+    return links.union(verified(pairs.union(tiled(rest, False)), nodes, docs, write))
+
+
+def chosen_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row of docs (row, other, ...) that stands for each group, given the group of every row: rooted (row, doc_id, root).
+
+    Documents that the filter of rows in groups of several does not let through are alone and stay where they are. The two
+    hashes of a row, row and other, tell equal rows from others of the same first hash.
+    """
+    best = materialise(rooted.groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b"), F.count("*").alias("n")))
+    several = key_filter(rooted.join(best.where("n > 1"), "root").select("row"))
+
+    @F.pandas_udf("boolean")
+    def is_open(row: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(several.value, row.to_numpy()))
+
+    chosen = best.select(F.col("b.row").alias("row"))
+    doubtful = docs.where(is_open("row")).join(chosen, "row", "left_semi").dropDuplicates(["row", "other"])
+    return docs.where(~is_open("row")).union(doubtful)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each group of similar documents in docs (doc_id, text, ...), chosen as in simhash.representatives.
+    """One row of each group of similar documents in docs (doc_id, text, ...), all columns as they are.
 
-    Null and empty texts are similar to each other.
+    It is a row with the group's smallest doc_id; of rows that share that id, or of a group without ids, the one with the
+    smallest hash, and of equal ones any. Null and empty texts are similar to each other.
     """
-    marked = docs.select("doc_id", "text", F.xxhash64(*docs.columns).alias("row_hash"))
-    rows = materialise(arrow_map(marked, node_rows, f"doc_id long, row_hash long, {NODE}"))
-    nodes = materialise(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "print", "bitmap")]))
-    marked_nodes = rows.select("doc_id", "row_hash", F.col("node").alias("root"))
-
-    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [node_of(shingles(t)) for t in texts(batch)]
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column("text")], names=["node", "text"])
-
-    one_each = simhash.chosen_rows(docs, marked_nodes).select("text")
-    unique = materialise(arrow_map(one_each, named, "node long, text string"))
-    roots = components(linked_nodes(nodes, unique))
-    rooted = rows.select("doc_id", "row_hash", "node").join(roots, "node", "left").select(
-        "doc_id", "row_hash", F.coalesce("root", "node").alias("root"))
-    return simhash.chosen_rows(docs, materialise(rooted))
+    columns = docs.columns
+    marked = docs.select(F.xxhash64(*columns).alias("row"), F.xxhash64(F.lit(1), *columns).alias("other"),
+                         F.struct(*columns).alias("all"))
+    named = marked.select("row", F.col("all.doc_id").alias("doc_id"), F.col("all.text").alias("text"))
+    with Scratch(docs.sparkSession) as write:
+        rows = write(arrow_map(
+            named, node_rows, "row long, doc_id long, key binary, size int, print long, bitmap binary"))
+        nodes = write(rows.groupBy("key").agg(
+            F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("size", "print", "bitmap")]).withColumn(
+                "node", F.monotonically_increasing_id()))
+        roots = components(linked_nodes(named, nodes, write), write)
+        rooted = write(rows.select("row", "doc_id", "key").join(nodes.select("key", "node"), "key").join(
+            roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root")))
+        kept = chosen_rows(marked, rooted)
+    return kept.select("all.*")

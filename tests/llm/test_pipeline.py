@@ -4,7 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-from test_simhash import plain_components, plain_print
+from test_similar import plain_kept
 
 import corpus_pipeline
 from gridspark.llm import langid, pii, quality
@@ -26,8 +26,8 @@ def test_stages_take_effect_in_order(spark):
     predict = langid.fitted(spark.createDataFrame(good, docs.select(*corpus_pipeline.COLUMNS).schema)).value
     names, scores = predict([r.text for r in good])
     known = [r for r, n, s in zip(good, names, scores) if n != "und" and s >= corpus_pipeline.LANGUAGE_FROM]
-    components = plain_components([r.doc_id for r in known], [plain_print(r.text) for r in known])
-    single = [r for r, c in zip(known, components) if r.doc_id == c]
+    kept = set(plain_kept([(r.doc_id, r.text) for r in known]))
+    single = [r for r in known if r.doc_id in kept]
     assert len(single) < len(known)
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     ids = {r.doc_id: np.array([*t.encode(pii.masked(r.text), add_special_tokens=False).ids, 1], "<u4") for r in single}

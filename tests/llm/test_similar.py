@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from gridspark.llm import similar
+from gridspark.llm.common import key_filter, may_hold
+from gridspark.session import shared_folder
 
 
 def plain_set(text):
@@ -57,6 +60,47 @@ def test_every_similar_pair_is_linked(spark, monkeypatch, tile):
     assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows)
 
 
+def test_key_filter(spark):
+    keys = [0, 1, -1, 7, -(1 << 63), (1 << 63) - 1, *range(1000, 3000)]
+    field = key_filter(spark.createDataFrame([(k,) for k in [*keys, None]], "k long")).value
+    assert may_hold(field, np.array(keys)).all()
+    assert may_hold(field, np.arange(10_000, 30_000)).mean() < 0.01
+    assert not may_hold(key_filter(spark.createDataFrame([], "k long")).value, np.array(keys)).any()
+
+
+def test_intermediate_tables_go(spark):
+    import os
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    folder = spark.sparkContext.getCheckpointDir() or shared_folder(spark).rsplit("/", 1)[0]
+    before = set(os.listdir(folder.removeprefix("file:")))
+    assert similar.representatives(docs).count() > 100
+    assert len(set(os.listdir(folder.removeprefix("file:"))) - before) == 1
+
+
+def test_many_near_copies_and_shared_passages(spark, monkeypatch):
+    """Groups whose members are often below 0.8 of one another, and a passage that fills most of many texts."""
+    monkeypatch.setattr(similar, "TILE", 16)
+    monkeypatch.setattr(similar, "FEW", 4)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(100)]
+    texts = []
+    for _ in range(60):
+        words = base.copy()
+        for at in rng.sample(range(100), rng.randrange(4)):
+            words[at] = word()
+        texts.append(" ".join(words))
+    passage = [word() for _ in range(60)]
+    texts += [" ".join([word() for _ in range(rng.randrange(4, 30))] + passage) for _ in range(50)]
+    texts += [texts[0]] * 20 + [None] * 5 + ["x"] * 5
+    rows = [(n * 7 % 1009, t) for n, t in enumerate(texts)]
+    docs = spark.createDataFrame([(d, t, "r", 1) for d, t in rows], "doc_id long, text string, row string, other int")
+    got = similar.representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows)
+
+
 def test_given_documents(spark):
     """Pairs such as 6 and 145, at 0.833, whose three-word fingerprints differ in 7 bits."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
