@@ -7,10 +7,9 @@ the last one the packed pieces. run() writes each stage's rows before the next o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridspark.llm import langid, packing, pii, quality, similar
-from gridspark.llm.common import arrow_map, load
+from gridspark.llm.common import load
 from gridspark.llm.tokens import tokenizer_path
 from gridspark.session import materialise
 
@@ -40,16 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by the name of its kind; n_chars follows the new text."""
-
-    def mask(batch):
-        import pyarrow as pa
-
-        found = [None if t is None else pii.masked(t) for t in batch.column("text").to_pylist()]
-        sizes = pa.array([None if t is None else len(t) for t in found], pa.int64())
-        columns = {"text": pa.array(found, pa.string()), "n_chars": sizes}
-        return pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in COLUMNS], names=list(COLUMNS))
-
-    return arrow_map(only_columns(docs), mask, "doc_id long, text string, lang string, source string, n_chars long")
+    return pii.mask_texts(only_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
