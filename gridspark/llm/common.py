@@ -59,7 +59,7 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 # Bits of a filter of keys, whatever the number of keys, and bits set for each.
-FILTER_BITS, FILTER_HASHES = 1 << 26, 4
+FILTER_BITS, FILTER_HASHES = 1 << 24, 4
 
 
 def filter_places(keys: np.ndarray) -> np.ndarray:

@@ -144,6 +144,8 @@ def shared_prefixes(docs: DataFrame, nodes: DataFrame, write: Callable[[DataFram
 
     holders = write(arrow_map(docs.select("row", "text"), held, "shingle long, key binary, size int").join(
         nodes.select("key", "node"), "key").select("shingle", "node", "size"))
+    for used in (frequent, chosen, several):
+        used.destroy()
     stated = holders.groupBy("shingle").agg(
         F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("most"))
     return write(holders.join(stated.where("least.node <> most").drop("most"), "shingle"))
@@ -181,6 +183,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, write: Callabl
 
     sets = write(arrow_map(docs.select("row", "text"), set_rows, "key binary, shingles binary").join(
         wanted.select("key", "node"), "key").groupBy("node").agg(F.any_value("shingles").alias("shingles")))
+    chosen.destroy()
     ends = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab"]
     return write(arrow_map(
         near.join(ends[0], "a").join(ends[1], "b").select("a", "b", "shingles_a", "shingles_b"), exact, "a long, b long"))
