@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from gridspark.catalog.carriers import Views
 from gridspark.catalog.physics import sql_heat_stress
@@ -10,7 +14,9 @@ from gridspark.catalog.registry import query, rounded
 from gridspark.catalog.space import SQL_FINE, SQL_SUN, SQL_WEATHER, coarse_celsius, daily_on_grid
 from gridspark.catalog.regional import _weighted
 from gridspark.plans.fields import neighbour_table
-from gridspark.plans.run import CELL, Inputs, regional_table
+from gridspark.plans.run import CELL, Inputs, heat_stress_cells, regional_table, run_days
+from gridspark.session import materialise, shared_folder
+from gridspark.sources.sinks import read_long
 
 METRICS = ("temp_C_used", "rh_pct_used", "HI_C", "WBGT_C", "UTCI_C")
 # The polynomial of the last one loses digits to cancellation; the one before it is iterated.
@@ -65,3 +71,53 @@ def regional_run_by_shuffle(v: Views) -> DataFrame:
     """The same run when the packed sources are too large to broadcast."""
     days = v.cell_day.select("prism_day").distinct()
     return _as_compared(regional_table(inputs_of(v), days, broadcast_bytes=0))
+
+
+def _off(computed: DataFrame, stored: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """prism_day, n, off: stored rows of each day, and keys whose stored values are not the computed ones within storage precision."""
+    kept = stored.select(*keys, *[F.col(x).cast("double").alias(f"_{x}") for x in columns], F.lit(1).alias("_n"))
+
+    def apart(x: str) -> Column:
+        near = F.abs(F.col(x) - F.col(f"_{x}")) <= 1e-5 * (10 + F.abs(x))
+        return ~F.coalesce(near, F.col(x).isNull() & F.col(f"_{x}").isNull())
+
+    both = computed.select(*keys, *columns, F.lit(1).alias("_m")).join(kept, keys, "full")
+    off = F.col("_n").isNull() | F.col("_m").isNull() | reduce(or_, map(apart, columns))
+    return both.groupBy("prism_day").agg(F.count("_n").alias("n"), F.count(F.when(off, 1)).alias("off"))
+
+
+@query(f"""
+    with c as ({sql_heat_stress(_ALL, 'cell_id, prism_day, ph')}),
+    r as ({SQL_RUN.replace('round(pt.lat, 6) as lat, round(pt.lon, 6) as lon, ', '')})
+    select 'cells' as output, prism_day, count(*) as n, 0 as off, round(avg(temp_C_used), 2) as temp, round(avg(HI_C), 2) as hi
+    from c group by prism_day
+    union all select 'regions', prism_day, count(*), 0, round(avg(temp_C_used_area), 2), round(avg(HI_C_pop), 2) from r group by prism_day""")
+def run_outputs(v: Views) -> DataFrame:
+    """Two outputs of a run, the cells asked for after a first day's regions: each is stored for the days it lacks, and read back.
+
+    off counts what differs from the same tables computed anew.
+    """
+    inputs = inputs_of(v)
+    days = materialise(v.cell_day.select("prism_day").distinct())
+    path, cells_path = shared_folder(v.spark), shared_folder(v.spark)
+    first = days.orderBy("prism_day").limit(1)
+    assert run_days(v.spark, inputs, first, path, 2010) == 1
+    assert run_days(v.spark, inputs, days, path, 2010, long_path=cells_path) == days.count()
+    assert run_days(v.spark, inputs, days, path, 2010, long_path=cells_path) == 0
+    wanted = [r[0] for r in days.collect()]
+    single = [F.col(x).cast("float").alias(x) for x in CELL]
+    computed = materialise(heat_stress_cells(inputs, days))
+    cells = read_long(v.spark, cells_path, wanted)
+    regions = v.spark.read.parquet(path).withColumn("ph", (F.col("time").cast("int") + 12) % 24)
+    columns = [f"{m}_{w}" for m in METRICS for w in ("area", "pop")]
+    parts = [
+        ("cells", _off(computed.select(*single, "prism_day", "ph", *METRICS), cells, [*CELL, "prism_day", "ph"], list(METRICS)),
+         cells, "temp_C_used", "HI_C"),
+        ("regions", _off(regional_table(inputs, days), regions, ["GEOID", "prism_day", "ph"], columns),
+         regions, "temp_C_used_area", "HI_C_pop")]
+    found = [
+        off.join(stored.groupBy("prism_day").agg(F.avg(temp).alias("temp"), F.avg(hi).alias("hi")), "prism_day").select(
+            F.lit(name).alias("output"), "prism_day", "n", F.col("off").cast("int").alias("off"),
+            F.round("temp", 2).alias("temp"), F.round("hi", 2).alias("hi"))
+        for name, off, stored, temp, hi in parts]
+    return found[0].unionByName(found[1])

@@ -1,18 +1,20 @@
 """Inverse-distance interpolation of hourly source values onto targets.
 
 Values travel packed: one row per source and day with an array of 24 structs. Joins then run on a
-24th of the rows, and hours are spread out only after the last join.
+24th of the rows, and hours are spread out only after the last join. Values too large to broadcast
+go to tiles of targets: neighbours share most of their sources, so a tile's dictionary of a day is small, and a target row
+crosses the network once, without any values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.geo import inverse_distance_weight
-from gridspark.operators.neighbours import neighbour_rows
 from gridspark.session import fits_broadcast, materialise
 
 HOURS = 24
@@ -58,23 +60,65 @@ def attach_sources(
     return rows.drop(*[f"_{tag}s{i}" for i in range(k)])
 
 
-def gather_sources(
-    rows: DataFrame, keys: Sequence[str], packed: DataFrame, source_id: str, day_keys: Sequence[str] = (),
-    nn: str = "nn", k: int = 4, tag: str = "", power: float = 1.0, eps: float = 1e-6,
+TILE = ("_ty", "_tx")
+# Cells a tile may hold, and the side in degrees that tiles start from.
+TILE_CELLS = 4096
+TILE_DEGREES = 1.0
+
+
+def with_tile(df: DataFrame, degrees: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Add the two numbers of the square of `degrees` that a row lies in."""
+    return df.withColumns({
+        name: F.floor(F.col(c) / F.lit(degrees)).cast("bigint") for name, c in zip(TILE, (lat, lon))})
+
+
+def tile_degrees(cells: DataFrame, most: int = TILE_CELLS, start: float = TILE_DEGREES) -> float:
+    """Side of squares, at most `start`, none of which holds more than `most` of the (distinct) cells.
+
+    One row of statistics a round; two rounds do unless cells crowd together.
+    """
+    degrees = start
+    while True:
+        fullest = with_tile(cells, degrees).groupBy(*TILE).count().agg(F.max("count")).first()[0]
+        if fullest is None or fullest <= most or degrees < 1e-6:
+            return degrees
+        degrees /= 2 ** math.ceil(math.log(fullest / most, 4))
+
+
+def tile_dictionary(
+    cells: DataFrame, packed: DataFrame, ids: Column, value: Column, day_keys: Sequence[str], name: str,
+    tile: Sequence[str] = TILE,
 ) -> DataFrame:
-    """What `attach_sources` adds, for packed values of any size: pairs of target and source are joined by
-    source and day and regrouped by target and day, at most k rows each. Hours stay packed throughout."""
+    """tile and day with `name`, a map from source to value: what the cells of a tile need of a day, each source once.
+
+    `ids` is the array of sources of a cell and `packed` has them under `_id`; which sources a tile needs does not depend on
+    the day. A tile of n cells with k neighbours holds at most n k sources, and few more than lie in it where n is large.
+    """
+    used = cells.select(*tile, F.explode(ids).alias("_id")).distinct()
+    return used.join(packed, "_id").groupBy(*tile, *day_keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("_id"), value.alias("_v")))).alias(name))
+
+
+def source_dictionary(
+    cells: DataFrame, packed: DataFrame, source_id: str, day_keys: Sequence[str], nn: str = "nn", name: str = "_dict",
+    tile: Sequence[str] = TILE, k: int = 4,
+) -> DataFrame:
+    """Tile dictionary of the packed hours of the k neighbours."""
+    ids = F.transform(F.slice(nn, 1, k), lambda e: e["id"])
+    return tile_dictionary(cells, packed.select(F.col(source_id).alias("_id"), *day_keys, "hours"), ids, F.col("hours"),
+                           day_keys, name, tile)
+
+
+def look_up_sources(
+    rows: DataFrame, dictionary: str, nn: str = "nn", k: int = 4, tag: str = "", power: float = 1.0, eps: float = 1e-6,
+) -> DataFrame:
+    """What `attach_sources` adds, from the joined dictionary of the row's tile and day; drops the dictionary."""
     entry = lambda i, field: F.get(nn, F.lit(i))[field]
-    pairs = rows.select(*keys, *day_keys, F.posexplode(nn).alias("_rank", "_e")).where(F.col("_rank") < k).select(
-        *keys, *day_keys, "_rank", F.col("_e.id").alias(source_id))
-    found = pairs.join(packed.select(source_id, *day_keys, "hours"), [source_id, *day_keys])
-    grouped = found.groupBy(*keys, *day_keys).agg(*[
-        F.first(F.when(F.col("_rank") == i, F.col("hours")), ignorenulls=True).alias(f"_{tag}v{i}") for i in range(k)])
-    weighted = rows.withColumns({
+    return rows.withColumns({
         f"_{tag}near": entry(0, "dist"),
         **{f"_{tag}w{i}": inverse_distance_weight(entry(i, "dist"), power, eps) for i in range(k)},
-    })
-    return weighted.join(grouped, [*keys, *day_keys], "left")
+        **{f"_{tag}v{i}": F.try_element_at(dictionary, entry(i, "id")) for i in range(k)},
+    }).drop(dictionary)
 
 
 def interpolated(value: str, hour: str = "ph", k: int = 4, tag: str = "", cutoff_m: float | None = None) -> Column:
@@ -103,8 +147,8 @@ def idw(
     """Hourly inverse-distance means: keys, the day if `days` is given, hour and `columns`.
 
     Every target gets all 24 hours of every day in `days` (one column, bounded by the calendar).
-    The packed values are written once. Within `budget` bytes they are broadcast and looked up;
-    larger ones are joined by source and regrouped per target, at most k rows each.
+    The packed values are written once. Within `budget` bytes they are broadcast and looked up. Larger ones are
+    shipped once to every group of targets that share their nearest source, and looked up there.
     """
     day_keys = list(days.columns) if days is not None else []
     if days is not None:
@@ -117,13 +161,9 @@ def idw(
     if may_broadcast(packed, len(columns), budget):
         rows = attach_sources(rows, packed, source_id, day_keys, k=k, power=power, eps=eps)
     else:
-        pairs = neighbour_rows(rows, [*keys, *day_keys], source_id).withColumn(
-            "w", inverse_distance_weight(F.col("dist"), power, eps))
-        joined = pairs.join(packed, [source_id, *day_keys], "left")
-        of = lambda i, c: F.first(F.when(F.col("rank") == i + 1, F.col(c)), ignorenulls=True)
-        rows = joined.groupBy(*keys, *day_keys).agg(
-            F.min("nearest_m").alias("_near"), *[of(i, "w").alias(f"_w{i}") for i in range(k)],
-            *[of(i, "hours").alias(f"_v{i}") for i in range(k)])
+        tiled = lambda df: df.withColumn("_tile", F.get("nn", F.lit(0))["id"])
+        found = source_dictionary(tiled(neighbours), packed, source_id, day_keys, tile=["_tile"], k=k)
+        rows = look_up_sources(tiled(rows).join(found, ["_tile", *day_keys], "left"), "_dict", k=k, power=power, eps=eps)
     spread = rows.withColumn(hour, F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))))
     return spread.select(
         *keys, *day_keys, hour, *[interpolated(v, hour, k, cutoff_m=cutoff_m).alias(v) for v in columns])

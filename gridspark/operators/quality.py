@@ -55,19 +55,47 @@ def match_rate(df: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFra
     ).withColumn("match_rate", F.try_divide(F.col("rows_matched").cast("double"), F.col("rows_seen")))
 
 
+def needed_inputs(days: DataFrame, same_day: Sequence[str], two_days: Sequence[str], day: str = "prism_day") -> DataFrame:
+    """(day, layer, d): the layers that each labelled day needs, `same_day` layers of the day itself, `two_days`
+    layers of it and the day before."""
+    def pairs(layers: Sequence[str], offset: int) -> list[Column]:
+        return [F.struct(F.lit(v).alias("layer"), F.date_sub(day, offset).alias("d")) for v in layers]
+
+    needed = F.array(*pairs(same_day, 0), *pairs(two_days, 0), *pairs(two_days, 1))
+    return days.select(day, F.explode(needed).alias("_n")).select(day, "_n.layer", "_n.d").distinct()
+
+
 def missing_inputs(
     days: DataFrame, available: DataFrame, same_day: Sequence[str], two_days: Sequence[str], day: str = "prism_day"
 ) -> DataFrame:
-    """(layer, day) pairs a run over `days` needs and `available` lacks.
+    """(layer, day) pairs a run over `days` needs and `available` lacks."""
+    expected = needed_inputs(days, same_day, two_days, day).select("layer", "d").distinct()
+    return expected.join(available.select("layer", "d"), ["layer", "d"], "left_anti")
+
+
+def layer_fingerprints(df: DataFrame, layer: str, day: str = "d") -> DataFrame:
+    """(layer, d, fingerprint): what a layer holds of each day, whatever the order and files of its rows.
 
-    `same_day` layers are needed for the labelled day, `two_days` layers for it and the day before.
+    The number of rows with two sums of row hashes; columns count by name, and a repeated row counts.
     """
-    def pairs(layers: Sequence[str], offset: int) -> list[Column]:
-        return [F.struct(F.lit(v).alias("layer"), F.date_sub(day, offset).alias("d")) for v in layers]
+    columns = sorted(c for c in df.columns if c != day)
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)"))
+    return df.groupBy(F.col(day).alias("d")).agg(
+        F.concat_ws(".", F.count(F.lit(1)), total(0), total(1)).alias("fingerprint")
+    ).select(F.lit(layer).alias("layer"), "d", "fingerprint")
 
-    needed = F.array(*pairs(same_day, 0), *pairs(two_days, 0), *pairs(two_days, 1))
-    expected = days.select(F.explode(needed).alias("_n")).select("_n.layer", "_n.d").distinct()
-    return expected.join(available.select("layer", "d"), ["layer", "d"], "left_anti")
+
+def input_fingerprints(
+    days: DataFrame, known: DataFrame, same_day: Sequence[str], two_days: Sequence[str], day: str = "prism_day"
+) -> DataFrame:
+    """(day, fingerprint) of all inputs of each labelled day, given those of the layers: known (layer, d, fingerprint).
+
+    A layer that is not there takes part as such, so its arrival is a change. A group is the layers of one day.
+    """
+    each = needed_inputs(days, same_day, two_days, day).join(known, ["layer", "d"], "left")
+    part = F.concat_ws("|", "layer", F.col("d").cast("string"), F.coalesce("fingerprint", F.lit("none")))
+    return each.groupBy(day).agg(
+        F.sha2(F.array_join(F.sort_array(F.collect_list(part)), ","), 256).alias("fingerprint"))
 
 
 def days_to_run(

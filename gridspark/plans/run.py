@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -12,7 +13,8 @@ from gridspark.functions.geo import area_weight
 from gridspark.functions.humidity import shifted_vapor_pressure
 from gridspark.operators.axis import grid_nearest
 from gridspark.operators.interpolate import (
-    BROADCAST_BYTES, attach_sources, gather_sources, interpolated, may_broadcast,
+    BROADCAST_BYTES, TILE, attach_sources, interpolated, look_up_sources, may_broadcast, source_dictionary,
+    tile_degrees, tile_dictionary, with_tile,
 )
 from gridspark.operators.quality import days_to_run, missing_inputs, require_none
 from gridspark.operators.regions import (
@@ -25,7 +27,9 @@ from gridspark.plans.fields import (
 from gridspark.plans.heatstress import METRICS, heat_stress
 from gridspark.session import materialise
 from gridspark.sources.regions import population_of_years, resolve_population_years
-from gridspark.sources.sinks import RESULT_KEYS, finished_results, write_long, write_regions
+from gridspark.sources.sinks import (
+    RESULT_KEYS, committed_results, read_long, record_commits, write_long, write_regions,
+)
 
 CELL = ["lat", "lon"]
 SAME_DAY = ("tmin", "tmax", "tdmean")
@@ -77,7 +81,7 @@ def hourly_inputs(
 
     Everything joins at one row per cell and day and hours are spread last, so no hourly row is
     shuffled before the regional sums. Packed source values that are proven small are broadcast;
-    larger ones, by `broadcast_bytes`, are joined by source and regrouped per cell and day. Both ways keep the same rows:
+    larger ones, by `broadcast_bytes`, go to dictionaries of tiles of cells. Both ways keep the same rows:
     cells with a valid temperature range and a mean dewpoint whose template is complete. Hours
     that a source lacks stay, with that value missing.
     """
@@ -90,17 +94,15 @@ def hourly_inputs(
     cells = inputs.weather_nn.withColumnRenamed("nn", "nn_w").join(
         inputs.radiation_nn.withColumnRenamed("nn", "nn_r"), CELL)
     cells = grid_nearest(cells, inputs.coarse_grid)
-    rows = (
-        daily.where("tmin IS NOT NULL AND tmax > tmin AND tdmean IS NOT NULL").join(cells, CELL)
-        .join(cell_templates(coarse).where("td_mean IS NOT NULL"), ["near_lat", "near_lon", "prism_day"])
-    )
+    templates = cell_templates(coarse).where("td_mean IS NOT NULL")
+    daily = daily.where("tmin IS NOT NULL AND tmax > tmin AND tdmean IS NOT NULL")
     # The two broadcasts live side by side and share one budget.
     if all(may_broadcast(p, len(n), broadcast_bytes // 2) for p, n in ((weather, WEATHER), (sun, RADIATION))):
+        rows = daily.join(cells, CELL).join(templates, ["near_lat", "near_lon", "prism_day"])
         rows = attach_sources(rows, weather, "src_id", ["prism_day"], nn="nn_w", tag="w_")
         rows = attach_sources(rows, sun, "point", ["prism_day"], nn="nn_r", tag="r_")
     else:
-        rows = gather_sources(rows, CELL, weather, "src_id", ["prism_day"], nn="nn_w", tag="w_")
-        rows = gather_sources(rows, CELL, sun, "point", ["prism_day"], nn="nn_r", tag="r_")
+        rows = from_tiles(daily, cells, templates, weather, sun)
     rows = rows.withColumn("ph", F.explode(F.sequence(F.lit(0), F.lit(23))))
     frac, td = template_hour()
     rows = rows.withColumn("t2m", scaled_temperature(F.col("tmin"), F.col("tmax"), frac))
@@ -112,6 +114,30 @@ def hourly_inputs(
     )
 
 
+def from_tiles(
+    daily: DataFrame, cells: DataFrame, templates: DataFrame, weather: DataFrame, sun: DataFrame
+) -> DataFrame:
+    """The daily rows with template and source values out of the dictionaries of their tile and day.
+
+    Each tile gets every source and template of a day once; a daily row meets all three by one exchange of its own.
+    """
+    cells = materialise(with_tile(cells, tile_degrees(cells)))
+    day = ["prism_day"]
+    place = F.struct("near_lat", "near_lon")
+    named = templates.select(place.alias("_id"), *day, F.struct("hours", "t_low", "t_high", "td_mean").alias("_t"))
+    dictionaries = (
+        (tile_dictionary(cells, named, F.array(place), F.col("_t"), day, "_templates"), "inner"),
+        (source_dictionary(cells, weather, "src_id", day, "nn_w", "_weather"), "left"),
+        (source_dictionary(cells, sun, "point", day, "nn_r", "_sun"), "left"),
+    )
+    rows = daily.join(cells, CELL)
+    for found, kind in dictionaries:
+        rows = rows.join(found, [*TILE, *day], kind)
+    rows = rows.withColumn("_t", F.try_element_at("_templates", place)).where("_t IS NOT NULL")
+    rows = look_up_sources(look_up_sources(rows, "_weather", "nn_w", tag="w_"), "_sun", "nn_r", tag="r_")
+    return rows.select("*", "_t.*").drop("_t", "_templates", *TILE)
+
+
 def weighted_cells(inputs: Inputs, days: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Region and population per cell and year of the requested days, and the years' table.
 
@@ -141,7 +167,22 @@ def regional_table(inputs: Inputs, days: DataFrame, broadcast_bytes: int = BROAD
     mapped, resolved = weighted_cells(inputs, days)
     daily = inputs.daily.join(days, "prism_day", "left_semi").withColumn("yr", F.year("prism_day"))
     daily = attach_regions(daily, mapped, [c for c in (*CELL, "yr") if c in mapped.columns]).drop("yr")
-    cells = heat_stress(hourly_inputs(inputs, daily, days, broadcast_bytes))
+    return _means_of(heat_stress(hourly_inputs(inputs, daily, days, broadcast_bytes)), inputs, resolved)
+
+
+def regional_table_of(cells: DataFrame, inputs: Inputs, days: DataFrame) -> DataFrame:
+    """The regional table of stored cells and hours (see `read_long`); no input is read and no index computed again.
+
+    Stored coordinates are single precision and meet the region map's at that precision.
+    """
+    mapped, resolved = weighted_cells(inputs, days)
+    mapped = mapped.withColumns({f"_{c}": F.col(c).cast("float") for c in CELL})
+    cells = cells.withColumnsRenamed({c: f"_{c}" for c in CELL}).withColumn("yr", F.year("prism_day"))
+    found = attach_regions(cells, mapped, [c for c in ("_lat", "_lon", "yr") if c in mapped.columns])
+    return _means_of(found, inputs, resolved)
+
+
+def _means_of(cells: DataFrame, inputs: Inputs, resolved: DataFrame | None) -> DataFrame:
     means = region_means(
         cells, METRICS, ["tract_code", "prism_day", "ph"], area_weight(F.col("lat")),
         None if resolved is None else F.col("pop"))
@@ -164,20 +205,43 @@ def labelled(inputs: Inputs, days: DataFrame, vintage: int) -> DataFrame:
 def run_days(
     spark: SparkSession, inputs: Inputs, days: DataFrame, path: str, vintage: int,
     available: DataFrame | None = None, overwrite: bool = False, time_mode: str = "utc",
-    long_path: str | None = None,
+    long_path: str | None = None, fingerprints: DataFrame | None = None,
 ) -> int:
-    """Compute and store the requested days that have no result yet; returns how many.
-
-    A result is a day under its population year and vintage: another vintage, or weights where there were none, is a
-    result of its own. With `long_path` the hourly metrics of all cells of these days are kept too. With `available` (layer, d) a missing input stops the run before any work.
+    """Compute and store the requested days that have no result yet; returns for how many days something was stored.
+
+    A regional result is a day under its population year and vintage: another vintage, or weights where there were none,
+    is a result of its own. With `long_path` the hourly metrics of all cells are kept too. Each of the two outputs
+    has its own notes of complete days, so either may be asked for after the other; days that need the cells have
+    their physics computed once, and their regional result is summed from what was stored. With `fingerprints` (prism_day,
+    fingerprint; see `input_fingerprints`) a day whose inputs changed since counts as not done. With `available` (layer, d) a
+    missing input stops the run before any work.
     """
     wanted = labelled(inputs, days, vintage)
-    todo = days_to_run(wanted, finished_results(spark, path), overwrite, RESULT_KEYS).select("prism_day")
+    same_inputs: list[str] = []
+    if fingerprints is not None:
+        wanted, same_inputs = wanted.join(fingerprints, "prism_day", "left"), ["fingerprint"]
+
+    def open_days(output: str, keys: Sequence[str]) -> DataFrame:
+        # Written: the notes it is compared with change while the run goes on.
+        return materialise(days_to_run(wanted, committed_results(spark, output), overwrite, [*keys, *same_inputs]))
+
+    regional = open_days(path, RESULT_KEYS)
+    cells = None if long_path is None else open_days(long_path, ["prism_day"])
+    todo = regional if cells is None else regional.unionByName(cells)
+    todo = todo.select("prism_day").distinct()
     if available is not None:
         require_none(missing_inputs(todo, available, SAME_DAY, TWO_DAYS), "missing inputs")
-    n = todo.count()
-    if n:
-        if long_path is not None:
-            write_long(heat_stress_cells(inputs, todo), long_path, time_mode)
-        write_regions(regional_table(inputs, todo), path, vintage, time_mode=time_mode)
-    return n
+    if cells is not None and not cells.isEmpty():
+        write_long(heat_stress_cells(inputs, cells.select("prism_day").distinct()), long_path, time_mode)
+        record_commits(cells.drop("pop_year", "vintage").distinct(), long_path)
+    if not regional.isEmpty():
+        its_days = regional.select("prism_day").distinct()
+        if long_path is None:
+            table = regional_table(inputs, its_days)
+        else:
+            # A calendar's days.
+            stored = read_long(spark, long_path, sorted(r[0] for r in its_days.collect()), time_mode)
+            table = regional_table_of(stored, inputs, its_days)
+        write_regions(table, path, vintage, time_mode=time_mode)
+        record_commits(regional, path)
+    return todo.count()

@@ -90,6 +90,42 @@ def finished_results(spark: SparkSession, path: str) -> DataFrame:
     ).distinct()
 
 
+# Inside a table; readers pass over names that start with an underscore.
+COMMITS = "_commits"
+
+
+def record_commits(done: DataFrame, path: str) -> None:
+    """Note results (prism_day, and pop_year, vintage, fingerprint where they apply) as complete, once they are written to `path`.
+
+    Partitions of a run that died halfway carry no note, so they are made again.
+    """
+    columns = {"prism_day": "date", "pop_year": "int", "vintage": "int", "fingerprint": "string"}
+    done.select(*[
+        (F.col(c) if c in done.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()
+    ]).withColumn("noted", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/{COMMITS}")
+
+
+def committed_results(spark: SparkSession, path: str) -> DataFrame:
+    """(prism_day, pop_year, vintage, fingerprint) of the complete results, each with its last fingerprint.
+
+    A table without any notes, written before there were any, counts by its partitions and has no fingerprints.
+    """
+    try:
+        notes = spark.read.parquet(f"{path}/{COMMITS}")
+    except Exception as error:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return finished_results(spark, path).withColumn("fingerprint", F.lit(None).cast("string"))
+        raise
+    return notes.groupBy(*RESULT_KEYS).agg(F.max_by("fingerprint", "noted").alias("fingerprint"))
+
+
+def read_long(spark: SparkSession, path: str, days: Sequence, time_mode: str = "utc") -> DataFrame:
+    """Cells and hours of the long metric table: lat, lon (single precision), prism_day, ph and the metrics of the given days."""
+    ph = F.col("time").cast("int") if time_mode == "prism" else (F.col("time").cast("int") + 12) % 24
+    table = spark.read.parquet(path).where(F.col("prism_day").isin(list(days)))
+    return table.select("lat", "lon", "prism_day", ph.alias("ph"), *LONG_COLUMNS[6:])
+
+
 def finished_days(spark: SparkSession, path: str) -> DataFrame:
     """Days already present in a written table; empty when there is no table yet."""
     return finished_results(spark, path).select("prism_day").distinct()

@@ -5,6 +5,8 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark.operators import interpolate
+from gridspark.operators.quality import input_fingerprints, layer_fingerprints
 from gridspark.operators.stations import keep_flags
 from gridspark.plans import fields, run, validation
 from gridspark.plans.grids import grid_table
@@ -203,3 +205,88 @@ def test_validation_of_two_networks(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/pairs_met_2010-07-01").count() == 24
     with pytest.raises(ValueError):
         validation.windows_of(spark, [("2010-07-02", "2010-07-01")])
+
+
+def test_tiles_split_until_they_are_small(spark):
+    cells = spark.createDataFrame([(40 + 0.001 * i, -100 + 0.001 * j) for i in range(40) for j in range(40)], "lat double, lon double")
+    degrees = interpolate.tile_degrees(cells, most=100)
+    assert 0.002 < degrees < 0.02
+    assert interpolate.with_tile(cells, degrees).groupBy(*interpolate.TILE).count().where("count > 100").isEmpty()
+    assert interpolate.tile_degrees(cells) == interpolate.tile_degrees(cells.limit(0)) == interpolate.TILE_DEGREES
+
+
+def test_daily_rows_cross_once(spark, inputs, monkeypatch):
+    """With tile dictionaries, the only exchange with a row per cell and day is that by tile; no source values join rows by source."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = run.hourly_inputs(inputs, inputs.daily, days_of(spark), broadcast_bytes=0)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    carrying = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("_ty" in line and "prism_day" in line for line in carrying) == 4  # the rows and three dictionaries
+    assert "_weather" in plan and "_sun" in plan
+
+
+def test_outputs_are_decided_one_by_one(spark, inputs, tmp_path, monkeypatch):
+    path, long = str(tmp_path / "out"), str(tmp_path / "long")
+    calls = []
+    hourly = run.hourly_inputs
+    monkeypatch.setattr(run, "hourly_inputs", lambda *a, **k: calls.append(1) or hourly(*a, **k))
+    assert run.run_days(spark, inputs, days_of(spark, DAYS[:1]), path, 2010) == 1
+    before = spark.read.parquet(path).where(c("prism_day") == DAYS[0]).toPandas()
+    assert run.run_days(spark, inputs, days_of(spark), path, 2010, long_path=long, time_mode="prism") == 2
+    assert len(calls) == 2  # once for the first run, once for the cells of both days
+    assert spark.read.parquet(long).groupBy("prism_day").count().count() == 2
+    after = spark.read.parquet(path).where(c("prism_day") == DAYS[0]).toPandas()
+    assert before.sort_values(["GEOID", "time"]).reset_index(drop=True).equals(after.sort_values(["GEOID", "time"]).reset_index(drop=True))
+    one = run.regional_table(inputs, days_of(spark)).where(c("prism_day") == DAYS[1]).orderBy("GEOID", "ph").collect()
+    two = spark.read.parquet(path).where(c("prism_day") == DAYS[1]).orderBy("GEOID", "time").collect()
+    assert len(one) == len(two) == 48
+    for a, b in zip(one, two):
+        assert a.GEOID == b.GEOID and a.HI_C_pop == pytest.approx(b.HI_C_pop, rel=1e-5) and a.WBGT_C_area == pytest.approx(b.WBGT_C_area, rel=1e-4)
+    # A run that died before its note was written is made again.
+    (tmp_path / "out" / sinks.COMMITS).rename(tmp_path / "gone")
+    sinks.record_commits(run.labelled(inputs, days_of(spark, DAYS[:1]), 2010), path)
+    assert run.run_days(spark, inputs, days_of(spark), path, 2010, long_path=long, time_mode="prism") == 1
+    assert len(calls) == 3  # the check above; the repeated region table comes from the stored cells
+
+
+def test_changed_inputs_run_again(spark, inputs, tmp_path):
+    path = str(tmp_path / "out")
+
+    def marks(given):
+        known = layer_fingerprints(given.daily, "tmin", "prism_day").unionByName(layer_fingerprints(given.coarse, "t2m"))
+        return input_fingerprints(days_of(spark), known, ["tmin"], ["t2m"])
+
+    assert {r.prism_day for r in marks(inputs).collect()} == set(DAYS)
+    assert run.run_days(spark, inputs, days_of(spark), path, 2010, fingerprints=marks(inputs)) == 2
+    shuffled = replace(inputs, coarse=inputs.coarse.repartition(5, "lat").select(*reversed(inputs.coarse.columns)))
+    assert run.run_days(spark, shuffled, days_of(spark), path, 2010, fingerprints=marks(shuffled)) == 0
+    warmer = replace(inputs, daily=inputs.daily.withColumn("tmax", F.when(c("prism_day") == DAYS[1], c("tmax") + 1).otherwise(c("tmax"))))
+    assert run.run_days(spark, warmer, days_of(spark), path, 2010, fingerprints=marks(warmer)) == 1
+    assert spark.read.parquet(path).where(c("prism_day") == DAYS[1]).agg(F.max("temp_C_used_area")).first()[0] == 31
+    # The evening of a day belongs to the next one too, a copy of a row is a change, and so is a layer that goes.
+    assert run.run_days(spark, warmer, days_of(spark), path, 2010, fingerprints=marks(replace(warmer, coarse=warmer.coarse.where(c("d") > DAYS[0] - timedelta(1))))) == 1
+    doubled = warmer.daily.unionByName(warmer.daily.where(c("prism_day") == DAYS[0]).limit(1))
+    found = {r.prism_day: r.fingerprint for r in marks(replace(warmer, daily=doubled)).collect()}
+    assert found[DAYS[1]] == {r.prism_day: r.fingerprint for r in marks(warmer).collect()}[DAYS[1]] != found[DAYS[0]]
+
+
+def test_late_rows_of_the_given_events():
+    """The three arrivals of the stream query do hold rows late within the bound and rows of closed days."""
+    import duckdb
+
+    from gridspark.catalog.carriers import with_views
+    from gridspark.catalog.files import _ARRIVED
+
+    con = duckdb.connect()
+    con.execute("create view events as select * from '/root/testdata/sf0.001/events.parquet'")
+    late = con.execute(with_views(_ARRIVED + """
+        select count(*) filter (where a.arrival = 3 and t < (select cut1 from e)),
+               count(*) filter (where a.arrival = 3 and prism_day + interval 12 hour <= mark),
+               count(*) filter (where a.arrival = 2 and t < (select cut1 from e) and prism_day + interval 12 hour > mark)
+        from a left join w on w.arrival = a.arrival - 1""")).fetchone()
+    assert min(late) > 0 and late[0] == late[1]
