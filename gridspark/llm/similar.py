@@ -17,12 +17,13 @@ have copies or links are shuffled with their texts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import simhash
@@ -34,6 +35,9 @@ WORDS_PER_SHINGLE = 5
 PART, WHOLE = 4, 5
 BITMAP_BYTES = 128
 
+# Rows handed to Python at a time: texts and sets are large.
+BATCH_ROWS = 500
+
 # Nodes sampled for the order of shingles, and the most shingles it puts last.
 SAMPLE = 10_000
 FREQUENT = 100_000
@@ -280,6 +284,18 @@ def chosen_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     return docs.where(~is_open("row")).union(doubtful)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Hand BATCH_ROWS rows at a time to Python in the tables written inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each group of similar documents in docs (doc_id, text, ...), all columns as they are.
 
@@ -290,7 +306,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     marked = docs.select(F.xxhash64(*columns).alias("row"), F.xxhash64(F.lit(1), *columns).alias("other"),
                          F.struct(*columns).alias("all"))
     named = marked.select("row", F.col("all.doc_id").alias("doc_id"), F.col("all.text").alias("text"))
-    with Scratch(docs.sparkSession) as write:
+    with small_batches(docs.sparkSession), Scratch(docs.sparkSession) as write:
         rows = write(arrow_map(
             named, node_rows, "row long, doc_id long, key binary, size int, print long, bitmap binary"))
         nodes = write(rows.groupBy("key").agg(
