@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from gridspark.catalog.carriers import Views
 from gridspark.catalog.checks import _PAIRS, _station_keys, observations, predictions
 from gridspark.catalog.registry import query, rounded
-from gridspark.operators.quality import input_fingerprints, layer_fingerprints
+from gridspark.operators.align import join_layers
+from gridspark.operators.quality import input_fingerprints, layer_fingerprints, match_counts
 from gridspark.session import materialise, shared_folder
 from gridspark.sources.layers import POINT_FILES, SLOT_COLUMNS, read_point_layers
-from gridspark.sources.sinks import committed_results, finished_results, write_days, write_layer, write_regions
+from gridspark.sources.sinks import committed_results, finished_results, write_bucketed, write_days, write_layer, write_regions
 from gridspark.streaming.incremental import stream_days
 from gridspark.streaming.live_metrics import live_metrics
 
@@ -132,6 +133,44 @@ def region_days_stream(v: Views) -> DataFrame:
         "GEOID", "prism_day", c("ph_kept").cast("int").alias("ph"), c("n").cast("long").alias("n"), "vintage")
 
 
+_LAYERS = {"temp_c": "l_linenumber % 2 = 0", "ghi": "l_quantity > 10", "alb": "l_orderkey % 3 <> 0"}
+_LAYER_KEYS = ("cell_id", "prism_day", "ph")
+
+
+def _layer_sql(name: str) -> str:
+    where = _LAYERS[name].replace("l_quantity", "(temp_c + 5)")
+    return f"select cell_id, prism_day, ph, max({name}) as {name} from grid_hour where {where} group by cell_id, prism_day, ph"
+
+
+@query(f"""
+    select cell_id, prism_day, ph, round(temp_c, 6) as temp_c, round(ghi, 6) as ghi, round(alb, 6) as alb
+    from ({_layer_sql('temp_c')}) a join ({_layer_sql('ghi')}) b using (cell_id, prism_day, ph) join ({_layer_sql('alb')}) d using (cell_id, prism_day, ph)""")
+def bucketed_layers(v: Views) -> DataFrame:
+    """Layers stored in buckets of their keys, joined without an exchange."""
+    base = shared_folder(v.spark)
+    stored = {}
+    for name, condition in _LAYERS.items():
+        rows = v.grid_hour.where(condition.replace("l_quantity", "(temp_c + 5)")).groupBy(*_LAYER_KEYS).agg(F.max(name).alias(name))
+        table = f"layer_{name}_{base.rsplit('-', 1)[1]}"
+        write_bucketed(rows, table, _LAYER_KEYS, 8, f"{base}/{name}")
+        stored[name] = v.spark.table(table)
+    return rounded(join_layers(stored, _LAYER_KEYS))
+
+
+@query("""
+    select count(*) as rows_seen, count(c.cell_id) as rows_matched,
+           (select count(*) from (select distinct cell_id, prism_day, ph from grid_hour join cells using (cell_id) where tract_code >= 0) d) as written
+    from grid_hour g left join (select distinct cell_id from cells where tract_code >= 0) c on c.cell_id = g.cell_id""")
+def match_counts_on_the_run(v: Views) -> DataFrame:
+    """The rows seen and matched by a job that writes a table, counted as they pass."""
+    path = shared_folder(v.spark)
+    matched, counts = match_counts(v.grid_hour, v.cells.where("tract_code >= 0"), ["cell_id"])
+    matched.groupBy(*_LAYER_KEYS).agg(F.max("temp_c").alias("temp_c")).write.parquet(path)
+    found = counts.get
+    return v.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written")).select(
+        F.lit(found["rows_seen"]).alias("rows_seen"), F.lit(found["rows_matched"]).alias("rows_matched"), "written")
+
+
 @query(f"select GEOID, prism_day, ph, n from ({_COUNTS}) r")
 def corrected_days_stream(v: Views) -> DataFrame:
     """A day delivered in part and again in full: its result is made anew, those of the others are left alone."""

@@ -13,11 +13,12 @@ from gridspark.operators.calendar import realign
 from gridspark.operators.quality import worst_groups
 from gridspark.operators.reshape import long_to_wide
 from gridspark.operators.align import align_layers
+from gridspark.session import shared_folder
 from gridspark.sources.layers import daily_cells, day_layer_rows, point_metadata
 from gridspark.sources.predictions import coarse_predictions, long_predictions, model_predictions, wide_layer_rows
 from gridspark.sources.stations import (
     HEAT01_COLUMNS, conus_station_name, load_radiation_stations, parse_heat01, parse_isd_lite, parse_station_history,
-    stations_without_coordinates,
+    rejected_heat01, rejected_isd_lite, stations_without_coordinates,
 )
 
 c = F.col
@@ -68,6 +69,37 @@ def isd_lite_lines(v: Views) -> DataFrame:
     return rounded(parse_isd_lite(lines))
 
 
+@query("""
+    select cast(user_id as varchar) as station_id, problem, count(*) as n from (
+        select user_id, case when event_id % 31 = 0 then 'fields' when event_id % 29 = 0 then 'time'
+                             when event_id % 37 = 0 then 'temperature' when event_id % 41 = 0 then 'dewpoint' end as problem from events) l
+    where problem is not null group by user_id, problem""")
+def rejected_isd_lines(v: Views) -> DataFrame:
+    """Lines cut short, of an hour 25, and with letters for numbers, counted by station; missing values are none of them."""
+    k = c("event_id")
+    value = F.concat_ws(
+        " ", F.date_format("ts", "yyyy MM dd"), F.when(k % 29 == 0, "25").otherwise(F.date_format("ts", "HH")),
+        F.when(k % 37 == 0, "x12").when(k % 17 == 0, "-9999").otherwise("120"),
+        F.when(k % 41 == 0, "1O2").when(k % 7 == 0, "-9999").otherwise("80"), F.lit("10132 -9999 36 0 -9999 -9999"))
+    lines = v.events.select(c("user_id").cast("string").alias("station_id"), F.when(
+        k % 31 == 0, F.substring_index(value, " ", 5)).otherwise(value).alias("value"))
+    return rejected_isd_lite(lines)
+
+
+@query("""
+    select case when user_id % 2 = 0 then 'TX_Even' else 'TX_Odd' end as name, count(*) as n from events
+    where event_id % 13 = 0 or event_id % 17 = 0 group by user_id % 2""")
+def rejected_csv_lines(v: Views) -> DataFrame:
+    """Station files with lines of too few and too many fields."""
+    base = shared_folder(v.spark)
+    k = c("event_id")
+    fields = F.concat_ws(",", k.cast("string"), F.date_format("ts", "yyyyMMddHH"), *[F.lit("1.0")] * (len(HEAT01_COLUMNS) - 2))
+    text = F.when(k % 13 == 0, F.substring_index(fields, ",", 9)).when(k % 17 == 0, F.concat(fields, F.lit(",2.0"))).otherwise(fields)
+    for rest, name in enumerate(("TX_Even", "TX_Odd")):
+        v.events.where(c("user_id") % 2 == rest).select(text.alias("value")).write.text(f"{base}/CRNHE0101-{name}.csv")
+    return rejected_heat01(v.spark, f"{base}/CRNHE0101-*.csv").select("name", "n")
+
+
 @query(f"""
     select lpad(cast(user_id as varchar), 5, '0') as station_id, date_trunc('hour', ts) as time_utc,
            3e1 + user_id % 30 as LAT, -9e1 as LON, round(value, 6) as temp_C_obs, round(event_id % 100 + 1e0, 6) as rh_pct_obs,

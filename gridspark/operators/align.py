@@ -47,3 +47,15 @@ def align_layers(layers: Mapping[str, DataFrame], keys: Sequence[str], everywher
     if everywhere:
         aligned = aligned.where(F.col("_seen") == (1 << len(names)) - 1)
     return aligned.drop("_seen", "_rows")
+
+
+def join_layers(layers: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Keys that every layer has, with one column per layer, by sort-merge joins in a row.
+
+    For layers stored in buckets of `keys` (see `write_bucketed`): these joins need no exchange. Other layers go to `align_layers`.
+    """
+    joined = None
+    for name, layer in layers.items():
+        rows = layer.select(*keys, name)
+        joined = rows if joined is None else joined.join(rows.hint("merge"), list(keys))
+    return joined

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,22 @@ def needed_inputs(days: DataFrame, same_day: Sequence[str], two_days: Sequence[s
     return days.select(day, F.explode(needed).alias("_n")).select(day, "_n.layer", "_n.d").distinct()
 
 
+def watched(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """df and an observation of the aggregates `counts`, taken while the job that first runs df runs; its `get` waits for that job.
+
+    What would need a scan of its own comes with the rows as they pass.
+    """
+    observation = Observation()
+    return df.observe(observation, *[value.alias(name) for name, value in counts.items()]), observation
+
+
+def match_counts(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """Rows whose key is in `lookup`, and an observation of rows_seen and rows_matched."""
+    marked = rows.join(lookup.select(*keys).distinct().withColumn("_hit", F.lit(True)), list(keys), "left")
+    seen, counts = watched(marked, rows_seen=F.count(F.lit(1)), rows_matched=F.count("_hit"))
+    return seen.where("_hit").drop("_hit"), counts
+
+
 def missing_inputs(
     days: DataFrame, available: DataFrame, same_day: Sequence[str], two_days: Sequence[str], day: str = "prism_day"
 ) -> DataFrame:

@@ -49,6 +49,15 @@ def write_days(df: DataFrame, path: str, partitions: Sequence[str] = ("prism_day
     )
 
 
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str | None = None) -> None:
+    """A table in the catalogue, bucketed by the keys of its joins, one file a bucket.
+
+    Tables with the same keys and number of buckets join without moving a row, however often; the rows are dealt once, here.
+    """
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("compression", "zstd")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+
+
 def write_layer(df: DataFrame, path: str, value: str, name: str | None = None) -> None:
     """Wide day layer lat, lon, prism_day, `<name>_ph00..ph23` from hourly rows."""
     wide = long_to_wide(df, ["lat", "lon", "prism_day"], value, "ph", f"{name or value}_ph")

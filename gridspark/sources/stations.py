@@ -18,6 +18,8 @@ from gridspark.functions.time import stamp_from_parts, stamp_from_text
 from gridspark.operators.quality import worst_groups
 
 MISSING = "-9999"
+# Fields that a station line has at least: date and hour, temperature, dewpoint.
+ISD_FIELDS = 6
 
 # Column order of the hourly station CSV.
 HEAT01_COLUMNS = (
@@ -60,20 +62,36 @@ def read_station_history(spark: SparkSession, path: str, start: str, end: str, c
 def parse_isd_lite(lines: DataFrame, station: str = "station_id", text: str = "value") -> DataFrame:
     """station_id, time_utc, temp_C_obs, ea_hPa_obs, rh_pct_obs from whitespace-separated lines.
 
-    Twelve columns, tenths of a degree, -9999 missing. Rows without a valid time or temperature
-    drop out; a missing dewpoint leaves the humidity columns NULL.
+    Twelve columns, tenths of a degree, -9999 missing. Rows without a temperature and lines that cannot be read (see
+    `rejected_isd_lite`) drop out; a missing dewpoint leaves the humidity columns NULL.
+    """
+    typed = typed_isd_lite(lines, station, text).where("problem IS NULL").dropna(subset=["temp_C_obs"]).drop("problem")
+    return typed.withColumn("ea_hPa_obs", saturation_hpa(F.col("_td"))).withColumn(
+        "rh_pct_obs", relative_humidity(F.col("ea_hPa_obs"), F.col("temp_C_obs"))
+    ).drop("_td")
+
+
+def typed_isd_lite(lines: DataFrame, station: str = "station_id", text: str = "value") -> DataFrame:
+    """station, time_utc, temp_C_obs, _td and `problem`: why a line cannot be read (fields, time, temperature or dewpoint), else NULL.
+
+    A value marked as missing is no problem.
     """
     lines = lines.select(station, F.split(F.trim(text), r"\s+").alias("_parts"))
     field = lambda i: F.get("_parts", F.lit(i))
     whole = lambda i: field(i).try_cast("int")
     tenths = lambda i: F.nullif(field(i), F.lit(MISSING)).try_cast("double") / 10.0
-    typed = lines.select(
-        station, stamp_from_parts(whole(0), whole(1), whole(2), whole(3)).alias("time_utc"),
-        tenths(4).alias("temp_C_obs"), tenths(5).alias("_td"),
-    ).dropna(subset=["time_utc", "temp_C_obs"])
-    return typed.withColumn("ea_hPa_obs", saturation_hpa(F.col("_td"))).withColumn(
-        "rh_pct_obs", relative_humidity(F.col("ea_hPa_obs"), F.col("temp_C_obs"))
-    ).drop("_td")
+    no_number = lambda i: field(i).try_cast("double").isNull()
+    stamp = stamp_from_parts(whole(0), whole(1), whole(2), whole(3))
+    problem = F.when(F.size("_parts") < ISD_FIELDS, "fields").when(stamp.isNull(), "time").when(
+        no_number(4), "temperature").when(no_number(5), "dewpoint")
+    return lines.select(station, stamp.alias("time_utc"), tenths(4).alias("temp_C_obs"), tenths(5).alias("_td"),
+                        problem.alias("problem"))
+
+
+def rejected_isd_lite(lines: DataFrame, station: str = "station_id", text: str = "value") -> DataFrame:
+    """(station, problem, n): lines that the parser cannot read, by what is wrong with them."""
+    return typed_isd_lite(lines, station, text).where("problem IS NOT NULL").groupBy(station, "problem").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def read_isd_lite(
@@ -129,6 +147,18 @@ def read_heat01(spark: SparkSession, path: str, year: int | None = None) -> Data
     return parse_heat01(rows.where(conus_station_name(name)), year)
 
 
+def rejected_heat01(spark: SparkSession, path: str) -> DataFrame:
+    """(name, n, sample): malformed lines of each station file `CRNHE0101-<name>.csv` that `path` (a glob) names, and one of them.
+
+    `read_heat01` skips these lines; a file may be a folder that Spark wrote.
+    """
+    schema = ", ".join(f"{c} STRING" for c in (*HEAT01_COLUMNS, "_bad"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"CRNHE0101-([^/]+)\.csv", 1)
+    parsed = spark.read.text(path).select(name.alias("name"), F.from_csv("value", schema, options)["_bad"].alias("_bad"))
+    return parsed.where("_bad IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("_bad").alias("sample"))
+
+
 # Accepted spellings of the radiation-station columns, preferred name first.
 RADIATION_NAMES = {
     "station_id": ("station_id", "station"),

@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 
 from gridspark.operators import neighbours as nb
 from gridspark.operators.accumulate import deaccumulate, longwave
-from gridspark.operators.align import align_layers, align_to_sources
-from gridspark.operators.axis import axis_nearest
+from gridspark.operators.align import align_layers, align_to_sources, join_layers
+from gridspark.operators.axis import axis_nearest, with_bucket
 from gridspark.operators.calendar import day_spine, doy_spine, present_both_days, realign
 from gridspark.operators.interpolate import idw, pack_hours
 from gridspark.operators.metrics import all_metrics, metrics_suite, paired_metrics, summary_rows
 from gridspark.operators.percentile import exact_percentiles
 from gridspark.operators.quality import (
+    match_counts,
     days_to_run, duplicate_keys, match_rate, missing_inputs, require_covered, require_unique, worst_groups,
 )
 from gridspark.operators.regions import attach_population, region_means, tract_table, value_columns
 from gridspark.operators.reshape import half_hour_to_hour, hour_columns, long_to_wide, wide_to_long
 from gridspark.operators.stations import first_coordinates, keep_flags, on_stations, spread_subset
 from gridspark.operators.templates import day_anomalies, downscale, full_day_mean, hourly_template
+from gridspark.sources.sinks import write_bucketed
 
 c = F.col
 D0, D1, D2 = date(2010, 7, 1), date(2010, 7, 2), date(2010, 7, 3)
@@ -360,3 +362,44 @@ def test_percentiles_with_an_outlier(spark):
     ordered = sorted(1e12 if i == 7 else i * 1.5 for i in range(20_000))
     assert r["max"] == 1e12 and r.p50 == (ordered[9_999] + ordered[10_000]) / 2
     assert seen[0].groupBy("part").count().agg({"count": "max"}).first()[0] <= 20_000
+
+
+def test_axis_lines_crowded_in_a_corner(spark):
+    """99 % of the lines share 1 % of the range: no bucket holds more than a few gaps, and the nearest lines stay right."""
+    import bisect
+    import random
+
+    rng = random.Random(7)
+    lines = sorted({rng.uniform(0, 1) for _ in range(3_960)} | {rng.uniform(1, 100) for _ in range(40)})
+    values = [rng.uniform(-1, 1.1) for _ in range(600)] + [rng.uniform(-5, 120) for _ in range(200)] + lines[::97]
+    grid = spark.createDataFrame([(x,) for x in lines], "g double")
+    got = axis_nearest(spark.createDataFrame([(x,) for x in values], "v double"), grid, "v", "g", "near").collect()
+    assert len(got) == len(values)
+    for r in got:
+        k = bisect.bisect_left(lines, r.v)
+        assert abs(r.near - r.v) == min(abs(x - r.v) for x in lines[max(0, k - 1):k + 1])
+    borders = [lines[n] for n in range(0, len(lines), 8)]
+    sizes = with_bucket(grid, c("g"), borders, "b").groupBy("b").count().agg(F.max("count")).first()[0]
+    assert sizes == 8
+
+
+def test_bucketed_layers_join_without_an_exchange(spark, tmp_path):
+    keys = ["cell", "day"]
+    layers = {}
+    for n, name in enumerate(("a", "b", "d")):
+        df = spark.range(n, 60).select(c("id").alias("cell"), (c("id") % 3).alias("day"), (c("id") * 1.0).alias(name))
+        write_bucketed(df, f"bucketed_{name}", keys, 4, str(tmp_path / name))
+        layers[name] = spark.table(f"bucketed_{name}")
+    joined = join_layers(layers, keys)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sorted(r.cell for r in joined.collect()) == list(range(2, 60))
+    assert all(r.a == r.b == r.d == r.cell for r in joined.collect())
+
+
+def test_counts_come_with_the_job_itself(spark, tmp_path):
+    rows = spark.range(100).select((c("id") % 10).alias("k"))
+    matched, counts = match_counts(rows, spark.createDataFrame([(1,), (1,), (4,), (99,)], "k long"), ["k"])
+    matched.write.parquet(str(tmp_path / "out"))
+    assert counts.get == {"rows_seen": 100, "rows_matched": 20}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
