@@ -15,10 +15,11 @@ from gridspark.operators.stations import (
     first_coordinates, keep_flags, on_stations, spread_subset, wanted_cells, with_observations,
 )
 from gridspark.plans.validation import (
-    in_windows, isd_comparisons, isd_paired, map_stations, network_comparison, summary_table, surfrad_comparison,
-    uscrn_comparisons, window_extract, windows_of,
+    TABLE_HEADS, in_windows, isd_comparisons, isd_paired, map_stations, network_comparison, summary_table, surfrad_comparison,
+    uscrn_comparisons, window_extract, windows_of, write_validation,
 )
 from gridspark.operators.neighbours import with_xy
+from gridspark.session import shared_folder
 from gridspark.streaming.live_metrics import live_metrics
 
 c = F.col
@@ -287,3 +288,22 @@ def live_day_metrics(v: Views) -> DataFrame:
     obs = observations(v).join(_station_keys(v), "station_id").withColumn("hour_utc", c("time_utc"))
     static = predictions(v).select("key", c("time_utc").alias("hour_utc"), "temp_C_model")
     return rounded(live_metrics(obs, static, "temp_C_obs", "temp_C_model"), 7)
+
+
+_ALL_ROWS = [
+    _sql_network(product, reference, names).split(f"with mapped as ({_MAPPED}) ")[1] for product, reference, names in (
+        ("gridded meteorology", "USCRN (heat01)", _NAMES), ("gridded heat-stress indices", "USCRN (heat01)", _INDEX_NAMES),
+        ("radiation-driven UTCI", "SURFRAD", _RADIANT_NAMES))]
+
+
+@query(f"with mapped as ({_MAPPED}) select * from ({' union all '.join(f'({r})' for r in _ALL_ROWS)}) t")
+def validation_job(v: Views) -> DataFrame:
+    """All comparisons of two networks run as one job; the combined table read back from its file."""
+    folder = shared_folder(v.spark)
+    windows, obs, cells, model = _network(v)
+    met, indices = uscrn_comparisons(obs, cells, model, model)
+    write_validation({"uscrn_met": met, "uscrn_hsi": indices, "surfrad": surfrad_comparison(obs, cells, model)}, windows, folder)
+    table = v.spark.read.option("header", True).csv(f"{folder}/validation_table")
+    kinds = {"n_stations": "long", "n_hours": "long", **{x: "double" for x in ("dist_median_m", "dist_p90_m", "bias", "rmse")}}
+    named = table.select(*[c(f"`{head}`").cast(kinds.get(name, "string")).alias(name) for name, head in TABLE_HEADS.items()])
+    return rounded(named, dist_median_m=3, dist_p90_m=3)

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from gridspark.catalog.carriers import Views
 from gridspark.catalog.checks import _PAIRS, MET, _pairs, _sql_stats, observations
-from gridspark.catalog.registry import query, rounded
+from gridspark.catalog.registry import query, rounded, sql_rh
+from gridspark.functions.geo import packed_key
+from gridspark.functions.time import time_columns
 from gridspark.operators.calendar import day_spine, doy_spine
 from gridspark.operators.metrics import metrics_suite
 from gridspark.operators.reshape import long_to_wide
 from gridspark.session import materialise, shared_folder
 from gridspark.sources.layers import read_day_layers
+from gridspark.sources.predictions import read_index_predictions
 from gridspark.sources.regions import read_region_codes, read_region_map, read_representative_points
 from gridspark.sources.sinks import LONG_COLUMNS, read_long, write_long, write_pairs, write_suite
 from gridspark.sources.stations import cached_year
@@ -161,3 +164,41 @@ def day_spine_of_events(v: Views) -> DataFrame:
     counted = v.events.groupBy(day.alias("prism_day")).agg(F.count(F.lit(1)).alias("n"))
     return spine.join(by_year, "prism_day").join(counted, "prism_day", "left").select(
         "prism_day", F.coalesce("n", F.lit(0)).alias("n"), c("n").isNotNull().alias("seen"))
+
+
+# Temperature and humidity of every hour; the indices of whole numbers.
+_INDEX_HOURS = "select cell_id, prism_day, ph, count(*) as n from grid_hour group by cell_id, prism_day, ph"
+
+
+@query(f"""
+    select cell_id, prism_day, ph, cast(n + 10 as double) as temp_C_model,
+           case when prism_day = first then cast(n as double) else round({sql_rh('n*1e0', '(n + 10e0)')}, 6) end as rh_pct_model,
+           cast(n + 20 as double) as HI_C_model, case when prism_day < last then cast(n + 30 as double) end as WBGT_C_model
+    from ({_INDEX_HOURS}) h cross join (select min(prism_day) as first, max(prism_day) as last from grid_hour) d""")
+def index_predictions_by_day(v: Views) -> DataFrame:
+    """The first day has a long table, and wide layers that must not count; the last day lacks one index."""
+    base = shared_folder(v.spark)
+    n = c("n").cast("double")
+    hours = materialise(v.grid_hour.groupBy("cell_id", "prism_day", "ph").agg(F.count(F.lit(1)).alias("n")).join(
+        v.cells.select("cell_id", "lat", "lon"), "cell_id"))
+    days = sorted(r[0] for r in hours.select("prism_day").distinct().collect())
+    for day in days:
+        rows = hours.where(c("prism_day") == F.lit(day))
+        wrong = 1000 * (day == days[0])
+        for var, value in (("t2m", n + 10 + wrong), ("ea", n), ("hi", n + 20 + wrong), ("wbgt", n + 30 + wrong)):
+            if var != "wbgt" or day < days[-1]:
+                wide = long_to_wide(rows.withColumn(var, value), ["lat", "lon"], var, "ph", f"{var}_ph")
+                one_file(wide, f"{base}/{var}_{day:%Y-%m-%d}.parquet")
+    stamps = time_columns(c("prism_day"), c("ph"), "utc")
+    long = hours.where(c("prism_day") == F.lit(days[0])).select(
+        "lat", "lon", *[x.alias(k) for k, x in stamps.items()], (n + 10).alias("temp_C_used"), n.alias("rh_pct_used"),
+        (n + 20).alias("HI_C"), (n + 30).alias("WBGT_C"))
+    one_file(long, f"{base}/long_{days[0]:%Y-%m-%d}.parquet")
+    found = read_index_predictions(
+        v.spark, (base, "long_{date}.parquet"), (base, "{var}_{date}.parquet"), str(days[0]), str(days[-1]), None,
+        ("temp_C_used", "rh_pct_used", "HI_C", "WBGT_C"))
+    places = v.cells.select("cell_id", packed_key(c("lat"), c("lon"), 6).alias("key"))
+    named = found.where("temp_C_model IS NOT NULL").join(places, "key")
+    return rounded(named.select(
+        "cell_id", "prism_day", ((F.hour("time_utc") + 12) % 24).cast("int").alias("ph"), "temp_C_model", "rh_pct_model",
+        "HI_C_model", "WBGT_C_model"))

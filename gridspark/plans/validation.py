@@ -7,7 +7,7 @@ station table first, so the one large join is observation to prediction on cell
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,6 +196,27 @@ def write_comparison(comparison: Comparison, windows: DataFrame, folder: str, pr
         write_pairs(own, f"{folder}/pairs_{prefix}_{window.tag}", pairs_as_csv)
 
 
+def write_validation(
+    comparisons: dict[str, Comparison], windows: DataFrame, folder: str, pairs_as_csv: bool = False
+) -> DataFrame:
+    """The whole job: the files of every comparison under its prefix (see `write_comparison`), the combined table, and its rows of
+    each window; returns the combined table. Comparisons without matches have no rows in it.
+
+    The pairs of a comparison are joined once, for its files and for the table.
+    """
+    comparisons = {prefix: replace(c, pairs=materialise(c.pairs)) for prefix, c in comparisons.items()}
+    for prefix, comparison in comparisons.items():
+        write_comparison(comparison, windows, folder, prefix, pairs_as_csv)
+    table = materialise(summary_table(list(comparisons.values()), windows))
+    heads = [TABLE_HEADS[c] for c in TABLE_ORDER]
+    write_report(published(table), f"{folder}/validation_table", heads)
+    for window in tagged(windows).orderBy("window_id").collect():
+        own = window_extract(table, f"{window.start_day:%Y-%m-%d}", f"{window.end_day:%Y-%m-%d}")
+        if not own.isEmpty():
+            write_report(published(own), f"{folder}/validation_table_{window.tag}", heads)
+    return table
+
+
 def window_extract(table: DataFrame, start: str, end: str) -> DataFrame:
     """The rows of one window."""
     return table.where((F.col("window_start") == start) & (F.col("window_end") == end))

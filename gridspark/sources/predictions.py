@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,6 +151,43 @@ def read_long_predictions(
     return long_predictions(rows.withColumn("prism_day", day), wanted, columns, decimals)
 
 
+def read_index_predictions(
+    spark: SparkSession, long: tuple[str, str] | None, wide: tuple[str, str], start: str, end: str, wanted: DataFrame | None,
+    columns: Sequence[str] = tuple(LONG_NAMES), variables: Mapping[str, str] | None = None, decimals: int = 6,
+) -> DataFrame:
+    """Predictions of the heat-stress indices: a day's long table where there is one, else its wide layers.
+
+    `long` and `wide` are (base, pattern). Wide days need t2m and ea; of hi, wbgt, tmrt and utci those count that any of the days
+    has, and a day without one of them lacks its values only. Days that neither has are left out; none at all is an error.
+    """
+    days = day_spine(spark, start, end)
+    in_long = list_pattern(spark, *long).join(days, "prism_day", "left_semi") if long else spark.createDataFrame([], "prism_day date, path string")
+    paths = [r.path for r in in_long.select("path").distinct().collect()]  # one a calendar day
+    parts = []
+    if paths:
+        day = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).cast("date")
+        parts.append(long_predictions(spark.read.parquet(*paths).withColumn("prism_day", day), wanted, columns, decimals))
+    prefixes = dict(variables or {v: v for v in ("t2m", "ea", "hi", "wbgt", "tmrt", "utci")})
+    rest = days.join(in_long, "prism_day", "left_anti")
+    listings = {v: list_pattern(spark, *wide, v) for v in prefixes}
+    for needed in ("t2m", "ea"):
+        rest = rest.join(listings[needed].select("prism_day"), "prism_day", "left_semi")
+    layers = {}
+    for var, prefix in prefixes.items():
+        files = _paths(listings[var], rest, skip_missing=True)
+        if files:
+            day = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).cast("date")
+            layers[var] = wide_layer_rows(
+                spark.read.parquet(*files).withColumn("prism_day", day), var, [prefix], wanted, decimals)
+    if layers:
+        # Keys that the temperature layers have; an index may lack them.
+        aligned = align_layers(layers, ROW, everywhere=False, unique=True)
+        parts.append(model_predictions(aligned.where("t2m IS NOT NULL OR ea IS NOT NULL")))
+    if not parts:
+        raise FileNotFoundError(f"no prediction day in {start}..{end}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def long_predictions(
     rows: DataFrame, wanted: DataFrame | None, columns: Sequence[str] = tuple(LONG_NAMES), decimals: int = 6
 ) -> DataFrame:
