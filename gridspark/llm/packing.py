@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import arrow_map, texts
-from gridspark.llm.tokens import word_encoder
+from gridspark.llm.tokens import CACHE_ENTRIES, word_encoder
 from gridspark.session import materialise
 
 END_ID = 1
@@ -148,14 +148,14 @@ def place(plan: Plan, length: int, rank: int) -> list[tuple[int, int, int, int]]
     return out
 
 
-def token_pieces(docs: DataFrame, path: str, size: int) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, size: int, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Every document's ids and its end id, cut at multiples of `size`: one row per piece.
 
     ids are kept for pieces shorter than a sequence only: others are never cut again.
     """
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = word_encoder(path)
+        encoder = word_encoder(path, cache_entries)
         end = np.array([END_ID], encoder.dtype).tobytes()
         row, start, length, crc, total, kept = [], [], [], [], [], []
         for n, encoded in enumerate(encoder.encode(texts(batch))):
@@ -190,16 +190,17 @@ def ranked(pieces: DataFrame, slices: int) -> DataFrame:
         "piece", "length", (F.col("before") + F.col("nth")).cast("long").alias("rank"))
 
 
-def pack(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SEQUENCE, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pack docs (doc_id, text) into sequences of at most `size` tokens; one row per piece.
 
     Columns: doc_id, start (the document's ids before the piece), length, ids_crc32, doc_tokens,
     sequence_id, offset, and ids (binary, null for whole sequences of one document). Each id of a document
     lies in exactly one piece; a sequence's pieces are gapless from 0; only one sequence of all is
     not full. A null or empty text is a document of the end id alone. Null and repeated doc_ids are
-    documents of their own, other columns of docs are ignored, an empty table gives an empty one.
+    documents of their own, other columns of docs are ignored, an empty table gives an empty one. A worker keeps the ids
+    of at most `cache_entries` words, which costs memory as long as it lives and saves time.
     """
-    pieces = materialise(token_pieces(docs, path, size).withColumn("piece", F.monotonically_increasing_id()))
+    pieces = materialise(token_pieces(docs, path, size, cache_entries).withColumn("piece", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = make_plan(histogram, size)
     slices = max(16, sum(histogram.values()) // RANK_SLICE)

@@ -25,7 +25,7 @@ SLICE_CHARS = 2_000_000
 class Encoder:
     """Ids of whole texts as little-endian 16-bit (or 32-bit, for larger vocabularies) integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -33,6 +33,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.entries = entries
 
     def library_ids(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(parts, add_special_tokens=False)
@@ -62,7 +63,7 @@ class Encoder:
         for word in missing:
             if len(word) > CACHE_CHARS:
                 del cache[word]
-        if len(cache) > CACHE_ENTRIES:
+        if len(cache) > self.entries:
             cache.clear()
         return out
 
@@ -113,8 +114,8 @@ class ByteEncoder(Encoder):
 
 
 @functools.cache
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, entries: int = CACHE_ENTRIES) -> WordEncoder:
+    return WordEncoder(path, entries)
 
 
 @functools.cache
