@@ -16,6 +16,8 @@ from gridspark.session import materialise
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Probability from which a predicted language is accepted.
 LANGUAGE_FROM = 0.5
+# Words whose ids a worker keeps: it holds them while it works on other stages, whose memory they take.
+CACHED_WORDS = 50_000
 
 
 def only_columns(docs: DataFrame) -> DataFrame:
@@ -44,7 +46,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, packed into sequences."""
-    return packing.pack(only_columns(docs), tokenizer_path("word_bpe_49k.json")).drop("ids")
+    path = tokenizer_path("word_bpe_49k.json")
+    return packing.pack(only_columns(docs), path, cache_entries=CACHED_WORDS).drop("ids")
 
 
 STAGES = [
