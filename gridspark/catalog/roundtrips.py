@@ -17,7 +17,7 @@ from gridspark.session import materialise, shared_folder
 from gridspark.sources.layers import read_day_layers
 from gridspark.sources.predictions import read_index_predictions
 from gridspark.sources.regions import read_region_codes, read_region_map, read_representative_points
-from gridspark.sources.sinks import LONG_COLUMNS, read_long, write_long, write_pairs, write_suite
+from gridspark.sources.sinks import LONG_COLUMNS, read_long, write_for_lookups, write_long, write_pairs, write_suite
 from gridspark.sources.stations import cached_year
 
 c = F.col
@@ -202,3 +202,22 @@ def index_predictions_by_day(v: Views) -> DataFrame:
     return rounded(named.select(
         "cell_id", "prism_day", ((F.hour("time_utc") + 12) % 24).cast("int").alias("ph"), "temp_C_model", "rh_pct_model",
         "HI_C_model", "WBGT_C_model"))
+
+
+_BOX = "lat between 30.1 and 30.4 and lon between -99.9 and -99.8"
+
+
+@query(f"""
+    with g as (select cell_id, lat, lon, count(*) as n from grid_hour join cells using (cell_id) group by cell_id, lat, lon)
+    select 'box' as kind, cell_id, n from g where {_BOX} union all select 'cell', cell_id, n from g where cell_id % 40 = 3""")
+def cell_lookups(v: Views) -> DataFrame:
+    """A box and single cells read from a table laid out along the Z-curve with Bloom filters."""
+    path = shared_folder(v.spark)
+    placed = v.grid_hour.select("cell_id", "prism_day", "ph").join(v.cells.select("cell_id", "lat", "lon"), "cell_id")
+    write_for_lookups(placed.withColumn("key", packed_key(c("lat"), c("lon"))), path, "key", 8, row_group_bytes=1 << 16)
+    stored = v.spark.read.parquet(path)
+    # The cells of stations: some hundred literals, which reach the row groups' filters.
+    wanted = v.cells.where("cell_id % 40 = 3").select(packed_key(c("lat"), c("lon")).alias("key"))
+    keys = [r.key for r in wanted.collect()]
+    counted = lambda kind, rows: rows.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "cell_id", "n")
+    return counted("box", stored.where(_BOX)).unionByName(counted("cell", stored.where(c("key").isin(keys))))

@@ -25,6 +25,30 @@ def packed_key(lat: Column, lon: Column, decimals: int = 6) -> Column:
     return part(lat) * F.lit(1_000_000_000) + part(lon)
 
 
+def interleaved(lat: Column, lon: Column, bits: int = 16) -> Column:
+    """Place on a Z-shaped curve through the world's squares, 360 / 2^bits degrees wide: near places have near numbers.
+
+    The bits of both coordinates' squares take turns, latitude first; NULL where one is missing.
+    """
+    squares = 1 << bits
+
+    def square(value: Column) -> Column:
+        raw = F.floor((value.cast("double") + 180) * (squares / 360.0)).cast("bigint")
+        return F.least(F.greatest(raw, F.lit(0)), F.lit(squares - 1))
+
+    def spread(value: Column) -> Column:
+        # Halve the distance between bits that stay together until every bit has a free place beside it.
+        step = bits // 2
+        while step:
+            mask = sum(1 << n for n in range(2 * bits) if n // step % 2 == 0)
+            value = F.shiftleft(value, step).bitwiseOR(value).bitwiseAND(F.lit(mask))
+            step //= 2
+        return value
+
+    place = F.shiftleft(spread(square(lat)), 1).bitwiseOR(spread(square(lon)))
+    return F.when(lat.isNotNull() & lon.isNotNull(), place)
+
+
 def round_coordinate(value: Column, decimals: int = 6) -> Column:
     """Half-even rounding in double, like the keys."""
     scale = F.lit(float(10**decimals))

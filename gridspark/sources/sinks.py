@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridspark.functions.geo import interleaved
 from gridspark.functions.time import time_columns
 from gridspark.operators.reshape import long_to_wide
 
@@ -58,6 +59,22 @@ def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int,
     (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
+def write_for_lookups(
+    df: DataFrame, path: str, key: str, files: int, lat: str = "lat", lon: str = "lon", row_group_bytes: int = 8 << 20,
+    keys_in_group: int = 100_000,
+) -> None:
+    """Rows laid out for reading few cells: along the Z-curve of their coordinates, so that a box touches few row groups by their
+    ranges of lat and lon, with a Bloom filter of `key` in every row group, so that single cells are found as well.
+    """
+    place = interleaved(F.col(lat), F.col(lon))
+    (
+        df.withColumn("_z", place).repartitionByRange(files, "_z").sortWithinPartitions("_z", key).drop("_z")
+        .write.option("compression", "zstd").option("parquet.block.size", row_group_bytes)
+        .option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", keys_in_group)
+        .option(f"parquet.enable.dictionary#{key}", "false").parquet(path)
+    )
+
+
 def write_layer(df: DataFrame, path: str, value: str, name: str | None = None) -> None:
     """Wide day layer lat, lon, prism_day, `<name>_ph00..ph23` from hourly rows."""
     wide = long_to_wide(df, ["lat", "lon", "prism_day"], value, "ph", f"{name or value}_ph")

@@ -248,3 +248,44 @@ def test_layer_and_reports(spark, tmp_path):
     sinks.write_pairs(hourly, str(tmp_path / "pairs"))
     sinks.write_pairs(hourly, str(tmp_path / "pairs_csv"), as_csv=True)
     assert spark.read.parquet(str(tmp_path / "pairs")).count() == 24
+
+
+def scanned(df):
+    """Rows that the file scan of df hands on, after row groups are left out by their statistics and filters."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(n).metrics().apply("numOutputRows").value() for n in range(leaves.size()))
+
+
+def test_z_curve_keeps_neighbours_together(spark):
+    from gridspark.functions.geo import interleaved
+
+    places = [(-90.0, -180.0), (0.0, 0.0), (40.01, -100.02), (89.9, 179.99), (None, 1.0)]
+    got = spark.createDataFrame([(a, b) for a, b in places], "lat double, lon double").select(
+        "lat", "lon", interleaved(F.col("lat"), F.col("lon")).alias("z")).collect()
+    for r in got:
+        if r.lat is None:
+            assert r.z is None
+            continue
+        a, b = (int((x + 180) * 65536 // 360) for x in (r.lat, r.lon))
+        assert r.z == sum((a >> n & 1) << 2 * n + 1 | (b >> n & 1) << 2 * n for n in range(16))
+
+
+def test_lookups_read_few_row_groups(spark, tmp_path):
+    """Rows scanned for a box and for single cells, against the same rows in the order of time."""
+    from gridspark.functions.geo import packed_key
+
+    cells = spark.range(40_000).select((30 + F.floor(F.col("id") / 200) * 0.04).alias("lat"), (-110 + F.col("id") % 200 * 0.04).alias("lon"))
+    rows = cells.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("key", packed_key(F.col("lat"), F.col("lon")))
+    by_time, by_place = str(tmp_path / "time"), str(tmp_path / "place")
+    rows.repartitionByRange(4, "hour").sortWithinPartitions("hour", F.hash("key")).write.option("parquet.block.size", 1 << 18).parquet(by_time)
+    sinks.write_for_lookups(rows, by_place, "key", 4, row_group_bytes=1 << 18, keys_in_group=20_000)
+    box = "lat between 32 and 33 and lon between -108 and -107"
+    keys = [r.key for r in rows.where("lat between 34 and 34.01 and lon between -106 and -105.9 or lat < 30.01 and lon < -109.97").select("key").distinct().collect()]
+    for condition in (F.expr(box), F.col("key").isin(keys)):
+        old, new = (spark.read.parquet(p).where(condition) for p in (by_time, by_place))
+        assert sorted(map(tuple, old.select("key", "hour").collect())) == sorted(map(tuple, new.select("key", "hour").collect()))
+        assert scanned(new) * 4 < scanned(old) == 200_000
