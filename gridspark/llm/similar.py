@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import simhash
-from gridspark.llm.common import arrow_map, components, key_filter, may_hold, record_batch, texts
+from gridspark.llm.common import components, key_filter, may_hold, record_batch, texts
 from gridspark.session import Scratch, materialise
 
 WORDS_PER_SHINGLE = 5
@@ -36,7 +36,7 @@ PART, WHOLE = 4, 5
 BITMAP_BYTES = 128
 
 # Rows handed to Python at a time: texts and sets are large.
-BATCH_ROWS = 500
+BATCH_ROWS = 200
 
 # Nodes sampled for the order of shingles, and the most shingles it puts last.
 SAMPLE = 10_000
@@ -46,6 +46,19 @@ FEW = 32
 TILE = 2048
 
 
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """As in common, with each batch's memory handed back before the next one comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield function(batch)
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; a shorter text is one shingle."""
     import xxhash
