@@ -28,7 +28,7 @@ c = F.col
 @query("""
     select cell_id, cast(round_even(lat*1e6, 0) as bigint)*1000000000 + cast(round_even(lon*1e6, 0) as bigint) as key6,
            cast(round_even(lat*1e4, 0) as bigint)*1000000000 + cast(round_even(lon*1e4, 0) as bigint) as key4,
-           round(round_even(lat*1e2, 0)/1e2, 6) as lat2, round(cos(radians(lat)), 9) as w_area, 1e0 as w_one,
+           round(round_even(lat*1e2, 0)/1e2, 6) as lat2, round(greatest(cos(radians(lat)), 0e0), 9) as w_area, 1e0 as w_one,
            lat between 24 and 31 and lon between -99.8 and -66 as inside
     from cells""")
 def packed_keys(v: Views) -> DataFrame:
