@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspark.catalog.carriers import Views
 from gridspark.catalog.physics import sql_heat_stress
-from gridspark.catalog.registry import query, rounded, sql_heat_index
+from gridspark.catalog.registry import query, rounded, settled, sql_heat_index, sql_settled
 from gridspark.functions.geo import area_weight
 from gridspark.functions.heat import heat_index_c
 from gridspark.functions.time import shifted_day
@@ -116,10 +116,11 @@ def population_year_fallback(v: Views) -> DataFrame:
     return resolve_population_years(years, v.pop_year, strict=False)
 
 
-@query("""
-    select tract_code, yr, round(sum(temp_c*pop)/nullif(sum(case when temp_c is not null then pop end), 0), 6) as temp_c_pop,
-           round(sum(temp_c*w)/nullif(sum(case when temp_c is not null then w end), 0), 6) as temp_c_area
-    from (select tract_code, y.yr, temp_c, case when q.pop > 0 then q.pop end as pop, cos(radians(lat)) as w
+@query(f"""
+    select tract_code, yr, {sql_settled('(sum(temp_c*pop)/nullif(sum(case when temp_c is not null then pop end), 0))')} as temp_c_pop,
+           {sql_settled('(sum(temp_c*w)/nullif(sum(case when temp_c is not null then w end), 0))')} as temp_c_area
+    from (select tract_code, y.yr, temp_c, case when q.pop > 0 then q.pop end as pop,
+                 case when cos(radians(lat)) > 0 then cos(radians(lat)) end as w
           from grid_hour g join cells m using (cell_id) cross join (select 1998 as yr union all select 2000 union all select 2010) y
           join pop_year q on q.cell_id = g.cell_id and q.yr = case when y.yr < 2000 then 2000 else y.yr end
           where tract_code >= 0) a group by tract_code, yr""")
@@ -129,7 +130,8 @@ def weights_population_years(v: Views) -> DataFrame:
     each_year = v.cells.select("cell_id", "lat", "tract_code", F.explode(F.array(*[F.lit(y) for y in (1998, 2000, 2010)])).alias("yr"))
     mapped = attach_population(each_year, people.select("cell_id", "yr", "pop"), ["cell_id", "yr"])
     rows = attach_regions(v.grid_hour.select("cell_id", "temp_c"), mapped, ["cell_id"])
-    return rounded(region_means(rows, ["temp_c"], ["tract_code", "yr"], area_weight(c("lat")), c("pop")).drop("covered"))
+    means = region_means(rows, ["temp_c"], ["tract_code", "yr"], area_weight(c("lat")), c("pop"))
+    return means.select("tract_code", "yr", *[settled(c(m)).alias(m) for m in ("temp_c_pop", "temp_c_area")])
 
 
 # Data checks.

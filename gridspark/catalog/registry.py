@@ -38,6 +38,20 @@ def rounded(df: DataFrame, digits: int = 6, **overrides: int) -> DataFrame:
     ])
 
 
+# Share of the last digit by which values are moved off the halves: quotients of sums lie on halves often, and there the
+# order of summing would decide which way they are rounded.
+_OFF_HALVES = 2.71828e-1
+
+
+def settled(value: Column, digits: int = 6) -> Column:
+    """Rounded like `sql_settled`, alike for values that differ in their last bits only."""
+    return F.floor(value * F.lit(10.0**digits) + F.lit(_OFF_HALVES)) / F.lit(10.0**digits)
+
+
+def sql_settled(value: str, digits: int = 6) -> str:
+    return f"floor({value}*1e{digits} + {_OFF_HALVES!r}e0)/1e{digits}"
+
+
 def stamp(day: str, hour: str) -> Column:
     """Timestamp without zone from a date and an hour column."""
     return F.col(day).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col(hour))
