@@ -4,8 +4,8 @@ Pages of one host are filled from templates. Each page's DOM is reduced to its f
 paragraphs, list items, table cells and running text. Pages of a host whose outer frames agree form a group, however many groups a
 host has; the group's most frequent frame is its reference (a group of one or two pages takes that of the host's largest group).
 Frames are aligned with their reference by simple tree matching, which finds the largest set of node pairs that agree in
-tag and name and keep order and ancestry; frames too large for its quadratic table are aligned from both ends and between labels that occur
-once, in near-linear time. Every aligned node is a slot. A slot whose own text is constant over the pages that share the reference
+tag and name and keep order and ancestry, whatever their size: subtrees of equal shape are matched once, and of a wide table only some
+rows are kept. Every aligned node is a slot. A slot whose own text is constant over the pages that share the reference
 is template; a varying one is content, unless its tag or its names say that it is a menu, header, footer, sidebar, notice, advert,
 form or comment list. Inside article and main elements a constant slot goes only with a second sign, a name or wording of such parts:
 a licence, a list of tags or a section title that all articles share stays. Pages whose slots are all equal count once: copies prove no template.
@@ -16,10 +16,13 @@ The content lies in the article and main elements if these hold at least half of
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +84,10 @@ CONSTANT_SHARE = 0.5
 LEAST_PAGES, LEAST_IN_ARTICLE = 2, 3
 # Levels of the outer frame by which pages are grouped, and pages from which a group has a reference of its own.
 OUTER, LEAST_GROUP = 5, 3
-# Pairs of nodes, and levels, up to which two frames are matched by the full table; farthest step between two matches beyond.
-EXACT_PAIRS, EXACT_DEPTH, STEP = 250_000, 100, 32
+# Pairs of children up to which plain lists are the faster table, and rows of sizes kept beyond: neither decides a result.
+SMALL_TABLE, ROWS_KEPT = 256, 64
+# Set to a number, frames of whatever size are aligned near-linearly, which may leave out more nodes; farthest step between two matches.
+EXACT_PAIRS, STEP = None, 32
 
 
 @dataclass
@@ -294,25 +299,156 @@ def numbered(frame: Frame) -> dict[int, int]:
     return out
 
 
+class Shapes:
+    """Numbers of frame shapes: frames that agree in label and in the shapes of their children share one."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.of: dict[int, int] = {}  # by the frame's identity
+
+    def add(self, frame: Frame) -> int:
+        below, work = [], [frame]
+        while work:
+            node = work.pop()
+            below.append(node)
+            work.extend(node.children)
+        for node in reversed(below):
+            children = tuple(self.of[id(c)] for c in node.children)
+            key = (node.label, children)
+            if key not in self.numbers:
+                self.numbers[key] = len(self.labels)
+                self.labels.append(node.label)
+                self.children.append(children)
+                self.sizes.append(1 + sum(self.sizes[c] for c in children))
+            self.of[id(node)] = self.numbers[key]
+        return self.of[id(frame)]
+
+
+class Matching:
+    """Sizes of the largest matchings of shapes: simple tree matching, each pair of shapes once.
+
+    No call goes deeper for deeper frames, and a table keeps some of its rows only, so wide and deep frames take the same way as
+    small ones.
+    """
+
+    def __init__(self, shapes: Shapes) -> None:
+        self.shapes = shapes
+        self.known: dict[tuple[int, int], int] = {}
+
+    def plain(self, a: int, b: int) -> int | None:
+        """What needs no table."""
+        if a == b:
+            return self.shapes.sizes[a]
+        if self.shapes.labels[a] != self.shapes.labels[b]:
+            return 0
+        if not self.shapes.children[a] or not self.shapes.children[b]:
+            return 1
+        return self.known.get((a, b))
+
+    def size(self, a: int, b: int) -> int:
+        work = [(a, b)]
+        while work:
+            x, y = work[-1]
+            if self.plain(x, y) is not None:
+                work.pop()
+                continue
+            open_ = self.open_pairs(x, y)
+            if open_:
+                work.extend(open_)
+                continue
+            self.known[x, y] = 1 + self.most(self.shapes.children[x], self.shapes.children[y])
+            work.pop()
+        return self.plain(a, b)
+
+    def open_pairs(self, x: int, y: int) -> list[tuple[int, int]]:
+        """Pairs of children's shapes whose sizes are still to be found."""
+        by_label: dict[str, list[int]] = {}
+        for d in dict.fromkeys(self.shapes.children[y]):
+            by_label.setdefault(self.shapes.labels[d], []).append(d)
+        return [(c, d) for c in dict.fromkeys(self.shapes.children[x]) for d in by_label.get(self.shapes.labels[c], ())
+                if self.plain(c, d) is None]
+
+    def weights(self, left: tuple[int, ...], right: tuple[int, ...]) -> Callable[[int], np.ndarray]:
+        """Sizes of one of the left shapes with each of the right ones; all pairs are known."""
+        kinds = list(dict.fromkeys(right))
+        place = {d: n for n, d in enumerate(kinds)}
+        at = np.array([place[d] for d in right], np.int64)
+        by_label: dict[str, list[int]] = {}
+        for d in kinds:
+            by_label.setdefault(self.shapes.labels[d], []).append(d)
+
+        @lru_cache(maxsize=ROWS_KEPT)
+        def row(c: int) -> np.ndarray:
+            out = np.zeros(len(kinds), np.int64)
+            for d in by_label.get(self.shapes.labels[c], ()):
+                out[place[d]] = self.plain(c, d)
+            return out[at]
+
+        return row
+
+    def most(self, left: tuple[int, ...], right: tuple[int, ...]) -> int:
+        """Largest sum of sizes of pairs in order."""
+        if len(left) * len(right) <= SMALL_TABLE:
+            return small_table(self, left, right)[-1][-1]
+        row, before = self.weights(left, right), np.zeros(len(right) + 1, np.int64)
+        for c in left:
+            before = next_row(before, row(c))
+        return int(before[-1])
+
+    def pairs(self, left: tuple[int, ...], right: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of the pairs of a largest sum, from the last on; of several, the one that leaves out the last of the left."""
+        i, j, out = len(left), len(right), []
+        if i * j <= SMALL_TABLE:
+            first, table = 0, small_table(self, left, right)
+        else:
+            # Every step-th row is kept, and those between are made again once the way back comes to them.
+            row, step = self.weights(left, right), math.isqrt(i) + 1
+            kept, before = [], np.zeros(j + 1, np.int64)
+            for n, c in enumerate(left):
+                if n % step == 0:
+                    kept.append(before)
+                before = next_row(before, row(c))
+            first, table = i + 1, []
+        while i and j:
+            if i <= first:
+                first = (i - 1) // step * step
+                table = [kept[first // step]]
+                for c in left[first:i]:
+                    table.append(next_row(table[-1], row(c)))
+            here, above = table[i - first], table[i - 1 - first]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return out
+
+
+def next_row(before: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(before)
+    np.maximum.accumulate(np.maximum(before[1:], before[:-1] + weights), out=out[1:])
+    return out
+
+
+def small_table(known: Matching, left: tuple[int, ...], right: tuple[int, ...]) -> list[list[int]]:
+    table = [[0] * (len(right) + 1)]
+    for c in left:
+        before, row = table[-1], [0]
+        for n, d in enumerate(right):
+            row.append(max(before[n + 1], row[n], before[n] + known.plain(c, d)))
+        table.append(row)
+    return table
+
+
 def match(a: Frame, b: Frame, memo: dict) -> int:
     """Size of the largest matching of two frames: simple tree matching."""
-    if a.label != b.label:
-        return 0
-    key = (id(a), id(b))
-    if key not in memo:
-        table = match_table(a, b, memo)
-        memo[key] = int(table[-1, -1]) + 1
-    return memo[key]
-
-
-def match_table(a: Frame, b: Frame, memo: dict) -> np.ndarray:
-    m, n = len(a.children), len(b.children)
-    table = np.zeros((m + 1, n + 1), np.int64)
-    for i in range(m):
-        for j in range(n):
-            weight = match(a.children[i], b.children[j], memo)
-            table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + weight)
-    return table
+    shapes = Shapes()
+    return Matching(shapes).size(shapes.add(a), shapes.add(b))
 
 
 def extent(frame: Frame) -> tuple[int, int]:
@@ -326,9 +462,10 @@ def extent(frame: Frame) -> tuple[int, int]:
 
 def align(page: Frame, reference: Frame) -> dict[int, Frame]:
     """Page frame by slot number of the reference, of all aligned nodes."""
-    numbers, memo, out = numbered(reference), {}, {}
-    (n, depth), (m, other) = extent(page), extent(reference)
-    exact = n * m <= EXACT_PAIRS and max(depth, other) <= EXACT_DEPTH
+    numbers, shapes, out = numbered(reference), Shapes(), {}
+    shapes.add(page)
+    shapes.add(reference)
+    matching = Matching(shapes)
     work = [(page, reference)]
     while work:
         a, b = work.pop()
@@ -337,19 +474,13 @@ def align(page: Frame, reference: Frame) -> dict[int, Frame]:
         out[numbers[id(b)]] = a
         if [c.label for c in a.children] == [c.label for c in b.children]:
             work.extend(zip(a.children, b.children))
-        elif not exact:
+        elif EXACT_PAIRS is not None:
             work.extend(anchored(a.children, b.children))
         else:
-            table = match_table(a, b, memo)
-            i, j = len(a.children), len(b.children)
-            while i and j:
-                if table[i, j] == table[i - 1, j]:
-                    i -= 1
-                elif table[i, j] == table[i, j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    work.append((a.children[i], b.children[j]))
+            x, y = shapes.of[id(a)], shapes.of[id(b)]
+            for c, d in matching.open_pairs(x, y):
+                matching.size(c, d)
+            work.extend((a.children[i], b.children[j]) for i, j in matching.pairs(shapes.children[x], shapes.children[y]))
     return out
 
 

@@ -197,3 +197,14 @@ def test_deep_pages():
     deep = "<div>" * 3_000 + "text"
     a, b = (html.frame_of(html.parse(f"<body><div class={c}>x</div>{deep}")) for c in "ab")
     assert len(html.align(a, b)) > 3_000
+
+
+def test_frames_of_any_size_align_the_largest():
+    rng = random.Random(6)
+    labels = [rng.choice("abcdefghij") for _ in range(700)]
+    other = [x for x in labels if rng.random() < 0.7] + [rng.choice("abcdefghij") for _ in range(200)]
+    a, b = (html.Frame("r", [html.Frame(x, [html.Frame(y, []) for y in x * (n % 3)]) for n, x in enumerate(part)])
+            for part in (labels, other))
+    assert html.extent(a)[0] * html.extent(b)[0] > 1_000_000
+    assert len(html.align(a, b)) == count(a, b)
+    assert html.match(a, b, {}) == count(a, b)
