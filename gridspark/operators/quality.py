@@ -86,7 +86,8 @@ def missing_inputs(
 ) -> DataFrame:
     """(layer, day) pairs a run over `days` needs and `available` lacks."""
     expected = needed_inputs(days, same_day, two_days, day).select("layer", "d").distinct()
-    return expected.join(available.select("layer", "d"), ["layer", "d"], "left_anti")
+    # Rows of one layer and day meet in one task; distinct ones are combined before they are sent there.
+    return expected.join(available.select("layer", "d").distinct(), ["layer", "d"], "left_anti")
 
 
 def layer_fingerprints(df: DataFrame, layer: str, day: str = "d") -> DataFrame:
