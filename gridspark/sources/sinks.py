@@ -16,6 +16,8 @@ from gridspark.operators.reshape import long_to_wide
 LONG_COLUMNS = (
     "lat", "lon", "day", "month", "year", "time", "temp_C_used", "rh_pct_used", "HI_C", "WBGT_C", "UTCI_C",
 )
+# Rows that one task lays out and writes.
+ROWS_PER_FILE = 1_000_000
 # What makes a regional result, and its partitions.
 RESULT_KEYS = ("prism_day", "pop_year", "vintage")
 _NARROW = {"day": "tinyint", "month": "tinyint", "year": "smallint", "time": "tinyint"}
@@ -59,16 +61,24 @@ def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int,
     (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
+def lookup_files(rows: int, least: int = 1) -> int:
+    """Files for so many rows, each of at most ROWS_PER_FILE."""
+    return max(least, -(-rows // ROWS_PER_FILE))
+
+
 def write_for_lookups(
     df: DataFrame, path: str, key: str, files: int, lat: str = "lat", lon: str = "lon", row_group_bytes: int = 8 << 20,
     keys_in_group: int = 100_000,
 ) -> None:
     """Rows laid out for reading few cells: along the Z-curve of their coordinates, so that a box touches few row groups by their
     ranges of lat and lon, with a Bloom filter of `key` in every row group, so that single cells are found as well.
+
+    One task writes a file, so `files` should grow with the rows, see `lookup_files`. The cells of one place on the curve may lie in
+    several files.
     """
     place = interleaved(F.col(lat), F.col(lon))
     (
-        df.withColumn("_z", place).repartitionByRange(files, "_z").sortWithinPartitions("_z", key).drop("_z")
+        df.withColumn("_z", place).repartitionByRange(files, "_z", key).sortWithinPartitions("_z", key).drop("_z")
         .write.option("compression", "zstd").option("parquet.block.size", row_group_bytes)
         .option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", keys_in_group)
         .option(f"parquet.enable.dictionary#{key}", "false").parquet(path)

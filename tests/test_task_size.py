@@ -5,6 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from gridspark.operators.quality import missing_inputs
+from gridspark.sources import sinks
 
 
 def test_available_layers_are_combined_before_the_join(spark):
@@ -15,3 +16,13 @@ def test_available_layers_are_combined_before_the_join(spark):
     right = plan[plan.index("Join LeftAnti"):].rsplit("+- Aggregate", 1)[1]
     assert "Range" in right and "Generate" not in right
     assert found.count() == 2
+
+
+def test_rows_of_one_place_are_dealt_to_all_files(spark, tmp_path):
+    """Cells beyond the curve's end share a place on it."""
+    path = str(tmp_path / "cells")
+    cells = spark.range(8_000).select((F.col("id") + 200.0).alias("lat"), F.lit(-100.0).alias("lon"), F.col("id").alias("key"))
+    sinks.write_for_lookups(cells, path, "key", 8)
+    held = [r["count"] for r in spark.read.parquet(path).groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert sum(held) == 8_000 and max(held) < 2_000
+    assert sinks.lookup_files(36_000_000, 8) == 36 and sinks.lookup_files(600_000, 8) == 8
