@@ -26,11 +26,17 @@ POINT_KINDS = {"ghi": "flux", "dhi": "flux", "dni": "flux", "sza": "zenith", "al
 SLOT_COLUMNS = [f"ts_{i:03d}" for i in range(48)]
 
 
-def file_day(name: Column, var: str) -> Column:
-    """struct<d, priority> of a day-layer file name; NULL when it follows none of the four forms.
+def named_path(path: Column) -> Column:
+    """The path that carries a layer's name: the file, or the folder of a part that Spark wrote."""
+    return F.regexp_replace(path, "/part-[^/]+$", "")
+
+
+def file_day(path: Column, var: str) -> Column:
+    """struct<d, priority> of the name of a day-layer, a file or a folder that Spark wrote; NULL when it follows none of the four forms.
 
     In order of preference: MM-DD-YYYY, YYYY-MM-DD, YYYY-MM-DD_<var>, MM-DD-YYYY_<var>.
     """
+    name = named_path(path)
     american, iso = r"(\d{2}-\d{2}-\d{4})", r"(\d{4}-\d{2}-\d{2})"
     forms = [(american, "MM-dd-yyyy", ""), (iso, "yyyy-MM-dd", ""),
              (iso, "yyyy-MM-dd", f"_{var}"), (american, "MM-dd-yyyy", f"_{var}")]
@@ -52,6 +58,7 @@ def list_layer_days(spark: SparkSession, base: str, var: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet").load(f"{base}/{var}").select("path")
     )
+    listing = listing.select(named_path(F.col("path")).alias("path"))
     found = listing.withColumn("_f", file_day(F.col("path"), var)).where("_f IS NOT NULL")
     return found.groupBy(F.col("_f.d").alias("d")).agg(
         F.min_by("path", F.col("_f.priority")).alias("path")

@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.geo import packed_key, round_coordinate
@@ -18,7 +18,7 @@ from gridspark.operators.calendar import day_spine, realign
 from gridspark.operators.quality import require_none
 from gridspark.operators.reshape import hour_columns, wide_to_long
 from gridspark.operators.stations import wanted_cells
-from gridspark.sources.layers import day_layer_rows, file_day, list_layer_days
+from gridspark.sources.layers import day_layer_rows, file_day, list_layer_days, named_path
 
 # Names of prediction columns by layer variable or by long-table column.
 MODEL_NAMES = {
@@ -34,20 +34,25 @@ ROW = ["key", "prism_day", "ph"]
 
 
 def list_pattern(spark: SparkSession, base: str, pattern: str, var: str = "") -> DataFrame:
-    """(prism_day, path) of the files under `base` named by `pattern` with {date} and maybe {var}."""
+    """(prism_day, path) of the files under `base` named by `pattern` with {date} and maybe {var}, or folders that Spark wrote."""
     if "{date}" not in pattern:
         raise ValueError(f"pattern must contain {{date}}: {pattern!r}")
     name = pattern.replace("{var}", var)
     before, after = name.split("{date}", 1)
     regex = f"/{re.escape(before)}(\\d{{4}}-\\d{{2}}-\\d{{2}}){re.escape(after)}$"
     listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name.replace("{date}", "*")).load(base).select("path")
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+        .select(named_path(F.col("path")).alias("path")).distinct()
     )
     day = F.nullif(F.regexp_extract("path", regex, 1), F.lit("")).try_cast("date")
     return listing.select(day.alias("prism_day"), "path").where("prism_day IS NOT NULL")
 
 
+def _day_of_file() -> Column:
+    """Day in the name of the file a row was read from."""
+    return F.regexp_extract(named_path(F.col("_metadata.file_path")), r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).cast("date")
+
+
 def _paths(files: DataFrame, days: DataFrame, skip_missing: bool) -> list[str]:
     """Paths of the requested days; one per calendar day."""
     if not skip_missing:
@@ -147,7 +152,7 @@ def read_long_predictions(
     if not paths:
         raise FileNotFoundError(f"no prediction day in {start}..{end} under {base}")
     rows = spark.read.parquet(*paths)
-    day = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).cast("date")
+    day = _day_of_file()
     return long_predictions(rows.withColumn("prism_day", day), wanted, columns, decimals)
 
 
@@ -165,7 +170,7 @@ def read_index_predictions(
     paths = [r.path for r in in_long.select("path").distinct().collect()]  # one a calendar day
     parts = []
     if paths:
-        day = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).cast("date")
+        day = _day_of_file()
         parts.append(long_predictions(spark.read.parquet(*paths).withColumn("prism_day", day), wanted, columns, decimals))
     prefixes = dict(variables or {v: v for v in ("t2m", "ea", "hi", "wbgt", "tmrt", "utci")})
     rest = days.join(in_long, "prism_day", "left_anti")
@@ -176,7 +181,7 @@ def read_index_predictions(
     for var, prefix in prefixes.items():
         files = _paths(listings[var], rest, skip_missing=True)
         if files:
-            day = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).cast("date")
+            day = _day_of_file()
             layers[var] = wide_layer_rows(
                 spark.read.parquet(*files).withColumn("prism_day", day), var, [prefix], wanted, decimals)
     if layers:
