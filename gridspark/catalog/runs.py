@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from gridspark.catalog.carriers import Views
 from gridspark.catalog.physics import sql_heat_stress
 from gridspark.catalog.registry import query, rounded
-from gridspark.catalog.space import SQL_FINE, SQL_SUN, SQL_WEATHER, coarse_celsius, daily_on_grid
+from gridspark.catalog.space import SQL_FINE, SQL_SUN, SQL_WEATHER, daily_on_grid
 from gridspark.catalog.regional import _weighted
+from gridspark.functions.humidity import kelvin_to_celsius
 from gridspark.plans.fields import neighbour_table
 from gridspark.plans.run import CELL, Inputs, heat_stress_cells, regional_table, run_days
 from gridspark.session import materialise, shared_folder
@@ -36,14 +37,14 @@ _MEANS = f"""
 
 
 def inputs_of(v: Views) -> Inputs:
-    """All input tables from the carrier views."""
-    weather = coarse_celsius(v).join(
-        v.acc_hour.drop("t2m", "d2m").join(v.coarse_cells, "src_id"), ["lat", "lon", "d", "hr"])
-    nn = neighbour_table(v.cells, v.src, CELL, "src_id")
+    """All input tables from the carrier views; those that a run reads more than once are stored, as its inputs are."""
+    weather = v.acc_hour.join(v.coarse_cells, "src_id").withColumns({n: kelvin_to_celsius(F.col(n)) for n in ("t2m", "d2m")})
+    nn = materialise(neighbour_table(v.cells, v.src, CELL, "src_id"))
+    people = v.pop_year.join(v.cells.select("cell_id", "lat", "lon"), "cell_id").drop("cell_id")
     return Inputs(
-        daily=daily_on_grid(v).drop("cell_id"), coarse=weather, coarse_grid=v.coarse_cells.select("lat", "lon"), half_hours=v.half_hour, weather_nn=nn, radiation_nn=nn,
-        cell_regions=v.cells.select("lat", "lon", "tract_code"), codes=v.tract_lut,
-        population=v.pop_year.join(v.cells.select("cell_id", "lat", "lon"), "cell_id").drop("cell_id"),
+        daily=materialise(daily_on_grid(v).drop("cell_id")), coarse=materialise(weather),
+        coarse_grid=v.coarse_cells.select("lat", "lon"), half_hours=materialise(v.half_hour), weather_nn=nn, radiation_nn=nn,
+        cell_regions=v.cells.select("lat", "lon", "tract_code"), codes=v.tract_lut, population=materialise(people),
         representative=v.tract_points)
 
 
@@ -58,8 +59,8 @@ SQL_RUN = f"""
 
 @query(SQL_RUN)
 def regional_run(v: Views) -> DataFrame:
-    days = v.cell_day.select("prism_day").distinct()
-    return _as_compared(regional_table(inputs_of(v), days))
+    inputs = inputs_of(v)
+    return _as_compared(regional_table(inputs, inputs.daily.select("prism_day")))
 
 
 def _as_compared(table: DataFrame) -> DataFrame:
@@ -69,8 +70,8 @@ def _as_compared(table: DataFrame) -> DataFrame:
 @query(SQL_RUN)
 def regional_run_by_shuffle(v: Views) -> DataFrame:
     """The same run when the packed sources are too large to broadcast."""
-    days = v.cell_day.select("prism_day").distinct()
-    return _as_compared(regional_table(inputs_of(v), days, broadcast_bytes=0))
+    inputs = inputs_of(v)
+    return _as_compared(regional_table(inputs, inputs.daily.select("prism_day"), broadcast_bytes=0))
 
 
 def _off(computed: DataFrame, stored: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -98,7 +99,7 @@ def run_outputs(v: Views) -> DataFrame:
     off counts what differs from the same tables computed anew.
     """
     inputs = inputs_of(v)
-    days = materialise(v.cell_day.select("prism_day").distinct())
+    days = materialise(inputs.daily.select("prism_day").distinct())
     path, cells_path = shared_folder(v.spark), shared_folder(v.spark)
     first = days.orderBy("prism_day").limit(1)
     assert run_days(v.spark, inputs, first, path, 2010) == 1

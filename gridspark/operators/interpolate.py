@@ -38,6 +38,18 @@ def in_order(by_hour: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(HOURS - 1)), lambda h: F.try_element_at(by_hour, h))
 
 
+def spread_hours(rows: DataFrame, packed: Sequence[str], hour: str = "ph") -> DataFrame:
+    """One row per hour 0..23, in which each of the `packed` arrays is replaced by its element of that hour.
+
+    The arrays are taken apart together, so an hour's row holds its own elements and no copy of the whole day; NULL arrays
+    give NULL elements.
+    """
+    keep = [c for c in rows.columns if c not in packed]
+    hours = F.sequence(F.lit(0), F.lit(HOURS - 1))
+    zipped = F.arrays_zip(hours, *[F.coalesce(F.col(p), F.array()) for p in packed])
+    return rows.select(*keep, F.inline(zipped).alias(hour, *packed))
+
+
 def attach_sources(
     rows: DataFrame, packed: DataFrame, source_id: str, day_keys: Sequence[str] = (),
     nn: str = "nn", k: int = 4, tag: str = "", power: float = 1.0, eps: float = 1e-6,
@@ -121,14 +133,19 @@ def look_up_sources(
     }).drop(dictionary)
 
 
-def interpolated(value: str, hour: str = "ph", k: int = 4, tag: str = "", cutoff_m: float | None = None) -> Column:
-    """Inverse-distance mean of one hour from attached sources.
+def source_hours(k: int = 4, tag: str = "") -> list[str]:
+    """Names of the columns of attached hours."""
+    return [f"_{tag}v{i}" for i in range(k)]
+
+
+def interpolated(value: str, k: int = 4, tag: str = "", cutoff_m: float | None = None) -> Column:
+    """Inverse-distance mean of one hour from attached sources whose hours are spread (see `spread_hours`).
 
     A missing neighbour value leaves both sums; NULL without any value, and where the nearest
     source is farther than `cutoff_m` (the cutoff does not apply to the others).
     """
     # One SQL text per value: built from Columns it would cost hundreds of calls to the driver.
-    readings = [(f"get(_{tag}v{i}, {hour}).{value}", f"_{tag}w{i}") for i in range(k)]
+    readings = [(f"_{tag}v{i}.{value}", f"_{tag}w{i}") for i in range(k)]
     total = " + ".join(f"coalesce({w} * {v}, 0D)" for v, w in readings)
     share = " + ".join(f"if({v} IS NULL, 0D, {w})" for v, w in readings)
     near = "true" if cutoff_m is None else f"_{tag}near <= {float(cutoff_m)!r}D"
@@ -164,6 +181,6 @@ def idw(
         tiled = lambda df: df.withColumn("_tile", F.get("nn", F.lit(0))["id"])
         found = source_dictionary(tiled(neighbours), packed, source_id, day_keys, tile=["_tile"], k=k)
         rows = look_up_sources(tiled(rows).join(found, ["_tile", *day_keys], "left"), "_dict", k=k, power=power, eps=eps)
-    spread = rows.withColumn(hour, F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))))
+    spread = spread_hours(rows, source_hours(k), hour)
     return spread.select(
-        *keys, *day_keys, hour, *[interpolated(v, hour, k, cutoff_m=cutoff_m).alias(v) for v in columns])
+        *keys, *day_keys, hour, *[interpolated(v, k, cutoff_m=cutoff_m).alias(v) for v in columns])

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from gridspark.functions.humidity import shifted_vapor_pressure
 from gridspark.functions.missing import clip
-from gridspark.operators.interpolate import in_order
+from gridspark.operators.interpolate import in_order, spread_hours
 
 
 def day_anomalies(df: DataFrame, keys: Sequence[str], value: str, day: str = "prism_day") -> DataFrame:
@@ -54,9 +54,9 @@ def hourly_template(
         F.when(F.col("_n") == 24, F.col("_mean")).alias("td_mean"))
 
 
-def template_hour(hour: str = "ph") -> tuple[Column, Column]:
-    """(fraction of the temperature range, dewpoint) of one hour of a joined template."""
-    entry = F.get("hours", F.col(hour))
+def template_hour() -> tuple[Column, Column]:
+    """(fraction of the temperature range, dewpoint) of a joined template whose `hours` are spread (see `spread_hours`)."""
+    entry = F.col("hours")
     return (entry["t"] - F.col("t_low")) / (F.col("t_high") - F.col("t_low")), entry["td"]
 
 
@@ -75,7 +75,7 @@ def downscale(
     mean dewpoint or a full dewpoint curve. The join runs on one row per cell and day.
     """
     daily = cells.where("tmin IS NOT NULL AND tmax > tmin")
-    joined = daily.join(template, [*template_keys, day]).withColumn("ph", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    joined = spread_hours(daily.join(template, [*template_keys, day]), ["hours"])
     frac, td = template_hour()
     hourly = joined.select(
         *cell_keys, day, "ph", "tdmean", "td_mean", td.alias("_td"),

@@ -13,8 +13,8 @@ from gridspark.functions.geo import area_weight
 from gridspark.functions.humidity import shifted_vapor_pressure
 from gridspark.operators.axis import grid_nearest
 from gridspark.operators.interpolate import (
-    BROADCAST_BYTES, TILE, attach_sources, interpolated, look_up_sources, may_broadcast, source_dictionary,
-    tile_degrees, tile_dictionary, with_tile,
+    BROADCAST_BYTES, TILE, attach_sources, interpolated, look_up_sources, may_broadcast, source_dictionary, source_hours,
+    spread_hours, tile_degrees, tile_dictionary, with_tile,
 )
 from gridspark.operators.quality import days_to_run, missing_inputs, require_none
 from gridspark.operators.regions import (
@@ -83,7 +83,8 @@ def hourly_inputs(
     shuffled before the regional sums. Packed source values that are proven small are broadcast;
     larger ones, by `broadcast_bytes`, go to dictionaries of tiles of cells. Both ways keep the same rows:
     cells with a valid temperature range and a mean dewpoint whose template is complete. Hours
-    that a source lacks stay, with that value missing.
+    that a source lacks stay, with that value missing. Both ways deal the daily rows by tile and day, so the cells of a
+    region meet in few tasks, and what these sum up of it is small; a tile holds a bounded number of cells.
     """
     carried = [c for c in daily.columns if c not in ("prism_day", "tmin", "tmax", "tdmean")]
     coarse = utc_days(inputs.coarse, days)
@@ -93,17 +94,19 @@ def hourly_inputs(
     # Everything static about a cell in one table: neighbours and nearest coarse cell.
     cells = inputs.weather_nn.withColumnRenamed("nn", "nn_w").join(
         inputs.radiation_nn.withColumnRenamed("nn", "nn_r"), CELL)
-    cells = grid_nearest(cells, inputs.coarse_grid)
+    cells = materialise(grid_nearest(cells, inputs.coarse_grid))
+    cells = with_tile(cells, tile_degrees(cells))
     templates = cell_templates(coarse).where("td_mean IS NOT NULL")
     daily = daily.where("tmin IS NOT NULL AND tmax > tmin AND tdmean IS NOT NULL")
     # The two broadcasts live side by side and share one budget.
     if all(may_broadcast(p, len(n), broadcast_bytes // 2) for p, n in ((weather, WEATHER), (sun, RADIATION))):
-        rows = daily.join(cells, CELL).join(templates, ["near_lat", "near_lon", "prism_day"])
+        rows = daily.join(cells, CELL).repartition(*TILE, "prism_day").drop(*TILE)
+        rows = rows.join(templates, ["near_lat", "near_lon", "prism_day"])
         rows = attach_sources(rows, weather, "src_id", ["prism_day"], nn="nn_w", tag="w_")
         rows = attach_sources(rows, sun, "point", ["prism_day"], nn="nn_r", tag="r_")
     else:
         rows = from_tiles(daily, cells, templates, weather, sun)
-    rows = rows.withColumn("ph", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    rows = spread_hours(rows, ["hours", *source_hours(tag="w_"), *source_hours(tag="r_")])
     frac, td = template_hour()
     rows = rows.withColumn("t2m", scaled_temperature(F.col("tmin"), F.col("tmax"), frac))
     ea = shifted_vapor_pressure(td, F.col("td_mean"), F.col("tdmean"), F.col("t2m"))
@@ -119,23 +122,19 @@ def from_tiles(
 ) -> DataFrame:
     """The daily rows with template and source values out of the dictionaries of their tile and day.
 
-    Each tile gets every source and template of a day once; a daily row meets all three by one exchange of its own.
+    Each tile gets every source and template of a day once; a daily row meets all three by one exchange of its own, and leaves
+    each dictionary behind before it meets the next.
     """
-    cells = materialise(with_tile(cells, tile_degrees(cells)))
     day = ["prism_day"]
     place = F.struct("near_lat", "near_lon")
     named = templates.select(place.alias("_id"), *day, F.struct("hours", "t_low", "t_high", "td_mean").alias("_t"))
-    dictionaries = (
-        (tile_dictionary(cells, named, F.array(place), F.col("_t"), day, "_templates"), "inner"),
-        (source_dictionary(cells, weather, "src_id", day, "nn_w", "_weather"), "left"),
-        (source_dictionary(cells, sun, "point", day, "nn_r", "_sun"), "left"),
-    )
-    rows = daily.join(cells, CELL)
-    for found, kind in dictionaries:
-        rows = rows.join(found, [*TILE, *day], kind)
-    rows = rows.withColumn("_t", F.try_element_at("_templates", place)).where("_t IS NOT NULL")
-    rows = look_up_sources(look_up_sources(rows, "_weather", "nn_w", tag="w_"), "_sun", "nn_r", tag="r_")
-    return rows.select("*", "_t.*").drop("_t", "_templates", *TILE)
+    rows = daily.join(cells, CELL).join(
+        tile_dictionary(cells, named, F.array(place), F.col("_t"), day, "_templates"), [*TILE, *day])
+    rows = rows.withColumn("_t", F.try_element_at("_templates", place)).drop("_templates").where("_t IS NOT NULL")
+    for packed, source, nn, tag in ((weather, "src_id", "nn_w", "w_"), (sun, "point", "nn_r", "r_")):
+        found = source_dictionary(cells, packed, source, day, nn, "_dict")
+        rows = look_up_sources(rows.join(found, [*TILE, *day], "left"), "_dict", nn, tag=tag)
+    return rows.select("*", "_t.*").drop("_t", *TILE)
 
 
 def weighted_cells(inputs: Inputs, days: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -154,6 +153,7 @@ def weighted_cells(inputs: Inputs, days: DataFrame) -> tuple[DataFrame, DataFram
 
 def heat_stress_cells(inputs: Inputs, days: DataFrame) -> DataFrame:
     """The long metric table of all cells: lat, lon, prism_day, ph and the five metrics."""
+    days = materialise(days.select("prism_day").distinct())
     daily = inputs.daily.join(days, "prism_day", "left_semi")
     return heat_stress(hourly_inputs(inputs, daily, days))
 
@@ -164,6 +164,7 @@ def regional_table(inputs: Inputs, days: DataFrame, broadcast_bytes: int = BROAD
     Region and weights join the daily rows, so cells outside all regions drop out before any hour
     is made, and the regional sums are the only step that shuffles by hour.
     """
+    days = materialise(days.select("prism_day").distinct())
     mapped, resolved = weighted_cells(inputs, days)
     daily = inputs.daily.join(days, "prism_day", "left_semi").withColumn("yr", F.year("prism_day"))
     daily = attach_regions(daily, mapped, [c for c in (*CELL, "yr") if c in mapped.columns]).drop("yr")
