@@ -15,7 +15,7 @@ from gridspark.catalog.space import SQL_FINE, SQL_SUN, SQL_WEATHER, daily_on_gri
 from gridspark.catalog.regional import _weighted
 from gridspark.functions.humidity import kelvin_to_celsius
 from gridspark.plans.fields import neighbour_table
-from gridspark.plans.run import CELL, Inputs, heat_stress_cells, regional_table, run_days
+from gridspark.plans.run import CELL, Inputs, heat_stress_cells, regional_table, regional_table_of, run_days
 from gridspark.session import materialise, shared_folder
 from gridspark.sources.sinks import read_long
 
@@ -96,7 +96,7 @@ def _off(computed: DataFrame, stored: DataFrame, keys: list[str], columns: list[
 def run_outputs(v: Views) -> DataFrame:
     """Two outputs of a run, the cells asked for after a first day's regions: each is stored for the days it lacks, and read back.
 
-    off counts what differs from the same tables computed anew.
+    off counts what differs from the same tables computed anew: the cells from the inputs, the regions from those cells.
     """
     inputs = inputs_of(v)
     days = materialise(inputs.daily.select("prism_day").distinct())
@@ -114,7 +114,7 @@ def run_outputs(v: Views) -> DataFrame:
     parts = [
         ("cells", _off(computed.select(*single, "prism_day", "ph", *METRICS), cells, [*CELL, "prism_day", "ph"], list(METRICS)),
          cells, "temp_C_used", "HI_C"),
-        ("regions", _off(regional_table(inputs, days), regions, ["GEOID", "prism_day", "ph"], columns),
+        ("regions", _off(regional_table_of(computed, inputs, days), regions, ["GEOID", "prism_day", "ph"], columns),
          regions, "temp_C_used_area", "HI_C_pop")]
     found = [
         off.join(stored.groupBy("prism_day").agg(F.avg(temp).alias("temp"), F.avg(hi).alias("hi")), "prism_day").select(

@@ -172,12 +172,13 @@ def regional_table(inputs: Inputs, days: DataFrame, broadcast_bytes: int = BROAD
 
 
 def regional_table_of(cells: DataFrame, inputs: Inputs, days: DataFrame) -> DataFrame:
-    """The regional table of stored cells and hours (see `read_long`); no input is read and no index computed again.
+    """The regional table of cells and hours that are stored (see `read_long`) or at hand; no input is read and no index
+    computed again.
 
-    Stored coordinates are single precision and meet the region map's at that precision.
+    Stored coordinates are single precision; the region map's are met at the precision of the cells'.
     """
     mapped, resolved = weighted_cells(inputs, days)
-    mapped = mapped.withColumns({f"_{c}": F.col(c).cast("float") for c in CELL})
+    mapped = mapped.withColumns({f"_{c}": F.col(c).cast(cells.schema[c].dataType) for c in CELL})
     cells = cells.withColumnsRenamed({c: f"_{c}" for c in CELL}).withColumn("yr", F.year("prism_day"))
     found = attach_regions(cells, mapped, [c for c in ("_lat", "_lon", "yr") if c in mapped.columns])
     return _means_of(found, inputs, resolved)
