@@ -176,6 +176,8 @@ def idw(
         listed = days.agg(F.sort_array(F.collect_set(day_keys[0])).alias("d")).scalar()
         rows = rows.withColumn(day_keys[0], F.explode(listed))
     if may_broadcast(packed, len(columns), budget):
+        # The table of neighbours may lie in few files, and each of its rows becomes 24 of every day: they are dealt out first.
+        rows = rows.repartition(*keys, *day_keys)
         rows = attach_sources(rows, packed, source_id, day_keys, k=k, power=power, eps=eps)
     else:
         tiled = lambda df: df.withColumn("_tile", F.get("nn", F.lit(0))["id"])

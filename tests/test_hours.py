@@ -1,9 +1,11 @@
 """Steps that spread days into hours: what their rows carry, and over how many tasks they go."""
 
 import re
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from gridspark.operators.interpolate import pack_hours, spread_hours
+from gridspark.operators.interpolate import idw, pack_hours, spread_hours
 from tests.test_plans import days_of, inputs  # noqa: F401
 
 
@@ -23,6 +25,17 @@ def test_hours_are_spread_without_the_day(spark):
     assert unneeded and len(unneeded.group(1).split(",")) == 2
 
 
+def test_targets_of_one_file_are_dealt_before_their_hours(spark):
+    near = spark.range(50).coalesce(1).select(
+        F.col("id").alias("cell"), F.array(F.struct(F.lit(1.0).alias("dist"), F.lit(1).alias("id"))).alias("nn"))
+    day = spark.createDataFrame([(date(2010, 7, 1),)], "prism_day date")
+    hours = spark.range(24).select(F.lit(1).alias("src"), F.lit(date(2010, 7, 1)).alias("prism_day"), F.col("id").cast("int").alias("ph"), F.lit(2.0).alias("x"))
+    found = idw(near, pack_hours(hours, ["src", "prism_day"], ["x"]), ["cell"], "src", ["x"], day)
+    plan = plan_of(found)
+    assert "RepartitionByExpression [cell" in plan[plan.index("Generate"):]
+    assert found.where("x = 2").count() == 50 * 24
+
+
 def test_daily_rows_are_dealt_by_tile(spark, inputs):  # noqa: F811
     from gridspark.plans import run
     plan = plan_of(run.hourly_inputs(inputs, inputs.daily, days_of(spark)))
