@@ -43,3 +43,16 @@ def test_daily_rows_are_dealt_by_tile(spark, inputs):  # noqa: F811
     # By dictionaries: the first one is left behind before the next is joined.
     plan = plan_of(run.hourly_inputs(inputs, inputs.daily, days_of(spark), broadcast_bytes=0))
     assert not re.search(r"Project \[[^\n]*_templates#[^\n]*\n[^\n]*Join LeftOuter", plan)
+
+
+def test_regions_of_cells_at_hand(spark, inputs):  # noqa: F811
+    """Coordinates in double precision meet the region map as they are."""
+    from gridspark.plans import run
+    from gridspark.session import materialise
+    days = days_of(spark)
+    cells = materialise(run.heat_stress_cells(inputs, days)).withColumn("lat", F.col("lat") + 1e-9)
+    moved = run.Inputs(**{**vars(inputs), "cell_regions": inputs.cell_regions.withColumn("lat", F.col("lat") + 1e-9)})
+    if inputs.population is not None:
+        moved.population = inputs.population.withColumn("lat", F.col("lat") + 1e-9)
+    found = run.regional_table_of(cells, moved, days)
+    assert found.count() == run.regional_table(inputs, days).count() > 0
