@@ -131,9 +131,11 @@ def from_tiles(
     rows = daily.join(cells, CELL).join(
         tile_dictionary(cells, named, F.array(place), F.col("_t"), day, "_templates"), [*TILE, *day])
     rows = rows.withColumn("_t", F.try_element_at("_templates", place)).drop("_templates").where("_t IS NOT NULL")
-    for packed, source, nn, tag in ((weather, "src_id", "nn_w", "w_"), (sun, "point", "nn_r", "r_")):
-        found = source_dictionary(cells, packed, source, day, nn, "_dict")
-        rows = look_up_sources(rows.join(found, [*TILE, *day], "left"), "_dict", nn, tag=tag)
+    for name, packed, source, nn, tag in (
+        ("_weather", weather, "src_id", "nn_w", "w_"), ("_sun", sun, "point", "nn_r", "r_")
+    ):
+        found = source_dictionary(cells, packed, source, day, nn, name)
+        rows = look_up_sources(rows.join(found, [*TILE, *day], "left"), name, nn, tag=tag)
     return rows.select("*", "_t.*").drop("_t", *TILE)
 
 
