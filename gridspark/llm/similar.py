@@ -8,7 +8,8 @@ not the result.
 Links only matter up to components, so candidates are taken in rounds and compared only while their nodes are apart: first the links
 of SimHash fingerprints, found with vantage-point trees, and one link per shingle (to its smallest node); then, where many nodes share a
 shingle, the nearest node of another group; then all that are left. A bitmap of shingle parities bounds the difference of
-two sets from below, so most pairs never meet the sets themselves. Shingles of many nodes are compared in tiles.
+two sets from below, so most pairs never meet the sets themselves; large sets have a second one that grows with them, which
+is compared where the first leaves a pair open. Shingles of many nodes are compared in tiles.
 
 Texts stay where they are until the end. Bloom filters of fixed size tell the tasks which shingles more than one document has, and which
 rows' sets are wanted; what they let through too much is dropped by the joins that follow. At the end only documents that
@@ -74,12 +75,25 @@ def key_of(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def bitmap(found: np.ndarray) -> bytes:
+def bitmap(found: np.ndarray, length: int = BITMAP_BYTES) -> bytes:
     """Parities of the numbers of shingles at each bit. Bitmaps differ in no more bits than sets in members."""
-    odd = np.bincount((found % np.uint64(8 * BITMAP_BYTES)).astype(np.int64), minlength=8 * BITMAP_BYTES) & 1
+    odd = np.bincount((found % np.uint64(8 * length)).astype(np.int64), minlength=8 * length) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_bitmap(found: np.ndarray) -> bytes | None:
+    """A bitmap of two to four bits for each shingle, a power of two; None where `bitmap` has as many."""
+    bits = 1 << (2 * len(found) - 1).bit_length()
+    return bitmap(found, bits // 8) if bits > 8 * BITMAP_BYTES else None
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded to the length of the other."""
+    length = min(len(x), len(y)) // 8
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint64).reshape(-1, length), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def majority(found: np.ndarray) -> int:
     """SimHash fingerprint of the set, as a signed integer."""
     ones = np.zeros(64, np.int64)
@@ -99,7 +113,7 @@ def node_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     return record_batch(
         row=batch.column("row"), doc_id=batch.column("doc_id"), key=([key_of(s) for s in sets], pa.binary()),
         size=([len(s) for s in sets], pa.int32()), print=([majority(s) for s in sets], pa.int64()),
-        bitmap=([bitmap(s) for s in sets], pa.binary()))
+        bitmap=([bitmap(s) for s in sets], pa.binary()), wide=([wide_bitmap(s) for s in sets], pa.binary()))
 
 
 def frequent_last(docs: DataFrame, nodes: DataFrame) -> np.ndarray:
@@ -181,6 +195,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, write: Callabl
         keep = (PART + WHOLE) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (WHOLE - PART) * total
         return batch.select(["a", "b"]).filter(pa.array(keep))
 
+    def bounded_wide(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [x is None or y is None or (PART + WHOLE) * differing(x, y) <= (WHOLE - PART) * (m + n) for x, y, m, n in zip(
+            *[batch.column(c).to_pylist() for c in ("wide_a", "wide_b", "size_a", "size_b")])]
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(
             batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist())]
@@ -188,6 +207,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, write: Callabl
 
     near = write(arrow_map(pairs.select("a", "b").distinct().join(side("a", "size", "bitmap"), "a").join(
         side("b", "size", "bitmap"), "b"), bounded, "a long, b long"))
+    # In large sets the first bitmaps fill up and tell little.
+    near = write(arrow_map(near.join(side("a", "size", "wide").where("wide_a is not null"), "a", "left").join(
+        side("b", "size", "wide").where("wide_b is not null"), "b", "left"), bounded_wide, "a long, b long"))
     # Only nodes of open pairs have their sets made again, from the row that stands for them.
     wanted = write(near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(
         nodes.select("node", "key", "row"), "node"))
@@ -231,7 +253,7 @@ def tile_pairs(nearest: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (a, b) that connect what the links of nodes (node, key, row, size, print, bitmap) of docs (row, text) connect."""
+    """Edges (a, b) that connect what the links of nodes (node, key, row, size, print, bitmap, wide) of docs (row, text) connect."""
     shared = shared_prefixes(docs, nodes, write)
     fits = f"{WHOLE} * least(%s, %s) >= {PART} * greatest(%s, %s)"
     stars = shared.where("node <> least.node").where(fits % (("size", "least.size") * 2)).select(
@@ -321,9 +343,9 @@ def representatives(docs: DataFrame) -> DataFrame:
     named = marked.select("row", F.col("all.doc_id").alias("doc_id"), F.col("all.text").alias("text"))
     with small_batches(docs.sparkSession), Scratch(docs.sparkSession) as write:
         rows = write(arrow_map(
-            named, node_rows, "row long, doc_id long, key binary, size int, print long, bitmap binary"))
+            named, node_rows, "row long, doc_id long, key binary, size int, print long, bitmap binary, wide binary"))
         nodes = write(rows.groupBy("key").agg(
-            F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("size", "print", "bitmap")]).withColumn(
+            F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("size", "print", "bitmap", "wide")]).withColumn(
                 "node", F.monotonically_increasing_id()))
         roots = components(linked_nodes(named, nodes, write), write)
         rooted = write(rows.select("row", "doc_id", "key").join(nodes.select("key", "node"), "key").join(

@@ -108,3 +108,40 @@ def test_given_documents(spark):
     got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(got) == plain_kept(rows)
     assert 6 in got and 145 not in got and 1 in got and 177 not in got
+
+
+def test_long_texts_of_half_a_passage_stay_apart_without_their_sets(spark, monkeypatch):
+    """Pairs of long texts that share half of their words: the sets are made again for similar ones only."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(8):
+        passage = [word() for _ in range(1600)]
+        texts += [" ".join(passage + [word() for _ in range(1600)]) for _ in range(2)]
+    near = [word() for _ in range(3000)]
+    texts += [" ".join(near), " ".join(near[:2900])]
+    rows = list(enumerate(texts))
+    counts = []
+
+    class Counted(similar.Scratch):
+        def __call__(self, df):
+            out = super().__call__(df)
+            if "shingles" in out.columns:
+                counts.append(out.count())
+            return out
+
+    monkeypatch.setattr(similar, "Scratch", Counted)
+    got = similar.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == plain_kept(rows) == list(range(17))
+    assert sum(counts) == 2
+
+
+def test_differing_bits_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (10, 600, 5000):
+        for m in (n, n + 1, 2 * n):
+            a, b = (np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
+            b = np.unique(np.concatenate([b, a[n // 2:]]))
+            x, y = (similar.wide_bitmap(s) or similar.bitmap(s) for s in (a, b))
+            assert 0 < similar.differing(x, y) <= len(np.setxor1d(a, b))
+            assert similar.differing(x, x) == 0
