@@ -19,7 +19,7 @@ from gridspark.plans.validation import (
     uscrn_comparisons, window_extract, windows_of, write_validation,
 )
 from gridspark.operators.neighbours import with_xy
-from gridspark.session import shared_folder
+from gridspark.session import materialise, shared_folder
 from gridspark.streaming.live_metrics import live_metrics
 
 c = F.col
@@ -257,8 +257,9 @@ def _network(v: Views) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     windows = windows_of(v.spark, WINDOWS)
     placed = v.stations.select("station_id", c("lat").alias("LAT"), c("lon").alias("LON"))
     t = c("temp_C_obs")
-    obs = in_windows(observations(v).join(placed, "station_id"), windows).withColumns({
-        "HI_C_obs": t * 1.1, "WBGT_C_obs": t * 0.9, "TMRT_C_obs": t * 2, "UTCI_C_obs": F.when(c("station_id") % 5 != 0, t + 3)})
+    # Read for the stations, the days and the pairs of every comparison.
+    obs = materialise(in_windows(observations(v).join(placed, "station_id"), windows).withColumns({
+        "HI_C_obs": t * 1.1, "WBGT_C_obs": t * 0.9, "TMRT_C_obs": t * 2, "UTCI_C_obs": F.when(c("station_id") % 5 != 0, t + 3)}))
     cells = with_xy(v.pred_cells).withColumnRenamed("cell_id", "key")
     model = predictions(v).withColumns({
         "HI_C_model": c("temp_C_era") * 1.1, "WBGT_C_model": c("ea_hPa_era") + 4, "TMRT_C_model": c("temp_C_era") * 2.1,

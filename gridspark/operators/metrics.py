@@ -96,7 +96,12 @@ def metrics_suite(
     With `store` the error sums per station and day are written once and all three read them.
     """
     sums = error_sums(pairs, [station, day], error_columns(pairs, variables, pred_suffix or f"_{prefix}", obs_suffix))
-    rows = by_variable(materialise(sums) if store else sums, [station, day])
+    return suite_of(materialise(sums) if store else sums, prefix, station, day)
+
+
+def suite_of(sums: DataFrame, prefix: str, station: str = "station_id", day: str = "prism_day") -> dict[str, DataFrame]:
+    """The three summaries of a metric suite from error sums per station and day."""
+    rows = by_variable(sums, [station, day])
     totals = [F.sum(s).alias(s) for s in _SUMS]
     return {
         "overall": finish(rows.groupBy("var").agg(*totals), ["var"], prefix),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.time import shifted_day, window_label, window_tag
 from gridspark.operators.metrics import (
-    match_paired, match_pairs, metrics_suite, paired_metrics, station_sums, summarise, variable_label,
+    error_columns, error_sums, match_paired, match_pairs, paired_metrics, station_sums, suite_of, summarise, variable_label,
 )
 from gridspark.operators.neighbours import nearest_one, with_xy
 from gridspark.operators.stations import first_coordinates, with_observations
@@ -138,19 +138,24 @@ def isd_paired(stations: DataFrame, observations: DataFrame, model: DataFrame, c
 
 def network_comparison(
     observations: DataFrame, grid: DataFrame, predictions: DataFrame, product: str, reference: str,
-    variables: Sequence[str], max_dist_m: float = 800.0,
+    variables: Sequence[str], max_dist_m: float = 800.0, stations: DataFrame | None = None,
 ) -> Comparison:
-    """One product against a network whose observations carry their coordinates."""
-    stations = map_stations(first_coordinates(observations), grid, "model")
+    """One product against a network whose observations carry their coordinates.
+
+    `stations` are those of the observations, where `map_stations` has placed them on the grid already.
+    """
+    if stations is None:
+        stations = map_stations(first_coordinates(observations), grid, "model")
     near = F.col("dist_m_model") <= max_dist_m
     pairs = pairs_for(observations.drop("LAT", "LON"), stations, near, "key_model", predictions)
     return Comparison(product, reference, NEAR_MODEL, "dist_m_model", "_model", variables, pairs, stations.where(near))
 
 
 def uscrn_comparisons(observations: DataFrame, grid: DataFrame, met: DataFrame, indices: DataFrame) -> list[Comparison]:
+    stations = map_stations(first_coordinates(observations), grid, "model")
     return [
-        network_comparison(observations, grid, met, MODEL_MET, USCRN, MET),
-        network_comparison(observations, grid, indices, MODEL_INDICES, USCRN, INDICES),
+        network_comparison(observations, grid, met, MODEL_MET, USCRN, MET, stations=stations),
+        network_comparison(observations, grid, indices, MODEL_INDICES, USCRN, INDICES, stations=stations),
     ]
 
 
@@ -187,13 +192,18 @@ def write_comparison(comparison: Comparison, windows: DataFrame, folder: str, pr
 
     The pairs of all windows are joined once; the windows, a handful, are written one after another.
     """
+    write_stored(replace(comparison, pairs=materialise(comparison.pairs)), windows, folder, prefix, pairs_as_csv)
+
+
+def write_stored(comparison: Comparison, windows: DataFrame, folder: str, prefix: str, pairs_as_csv: bool) -> None:
+    """`write_comparison` of pairs that are in a table already; the error sums of all windows are made in one pass."""
     write_report(comparison.stations, f"{folder}/stations_{prefix}", ["station_id"])
-    pairs = materialise(comparison.pairs)
+    pairs, columns = comparison.pairs, error_columns(comparison.pairs, comparison.variables, comparison.pred_suffix)
+    sums = materialise(error_sums(pairs, ["window_id", "station_id", "prism_day"], columns))
     for window in tagged(windows).select("window_id", "tag").orderBy("window_id").collect():
-        own = pairs.where(F.col("window_id") == window.window_id)
-        suite = metrics_suite(own, comparison.variables, prefix, comparison.pred_suffix)
-        write_suite(suite, folder, prefix, window.tag)
-        write_pairs(own, f"{folder}/pairs_{prefix}_{window.tag}", pairs_as_csv)
+        own = F.col("window_id") == window.window_id
+        write_suite(suite_of(sums.where(own), prefix), folder, prefix, window.tag)
+        write_pairs(pairs.where(own), f"{folder}/pairs_{prefix}_{window.tag}", pairs_as_csv)
 
 
 def write_validation(
@@ -206,7 +216,7 @@ def write_validation(
     """
     comparisons = {prefix: replace(c, pairs=materialise(c.pairs)) for prefix, c in comparisons.items()}
     for prefix, comparison in comparisons.items():
-        write_comparison(comparison, windows, folder, prefix, pairs_as_csv)
+        write_stored(comparison, windows, folder, prefix, pairs_as_csv)
     table = materialise(summary_table(list(comparisons.values()), windows))
     heads = [TABLE_HEADS[c] for c in TABLE_ORDER]
     write_report(published(table), f"{folder}/validation_table", heads)

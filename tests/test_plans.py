@@ -290,3 +290,15 @@ def test_late_rows_of_the_given_events():
                count(*) filter (where a.arrival = 2 and t < (select cut1 from e) and prism_day + interval 12 hour > mark)
         from a left join w on w.arrival = a.arrival - 1""")).fetchone()
     assert min(late) > 0 and late[0] == late[1]
+
+
+def test_comparisons_of_a_network_place_its_stations_once(spark, monkeypatch):
+    from gridspark.catalog import checks
+    from gridspark.catalog.carriers import Views
+    from gridspark.plans import validation
+
+    placed, place = [], validation.map_stations
+    monkeypatch.setattr(validation, "map_stations", lambda *given: placed.append(1) or place(*given))
+    _, obs, cells, model = checks._network(Views(spark, "/root/testdata/sf0.001"))
+    assert len(validation.uscrn_comparisons(obs, cells, model, model)) == 2
+    assert len(placed) == 1
