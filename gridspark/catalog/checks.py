@@ -209,7 +209,7 @@ def _mapped_stations(v: Views) -> DataFrame:
 
 def _table(v: Views) -> DataFrame:
     windows = windows_of(v.spark, WINDOWS)
-    obs = in_windows(observations(v), windows)
+    obs = materialise(in_windows(observations(v), windows))
     model = predictions(v).select("key", "time_utc", "prism_day", *[f"{x}_model" for x in MET])
     coarse = predictions(v).select("key", "time_utc", "prism_day", *[f"{x}_era" for x in MET])
     return summary_table(isd_comparisons(_mapped_stations(v), obs, model, coarse), windows)

@@ -302,3 +302,15 @@ def test_comparisons_of_a_network_place_its_stations_once(spark, monkeypatch):
     _, obs, cells, model = checks._network(Views(spark, "/root/testdata/sf0.001"))
     assert len(validation.uscrn_comparisons(obs, cells, model, model)) == 2
     assert len(placed) == 1
+
+
+def test_windowed_observations_are_read_from_a_stored_table(spark, monkeypatch):
+    from gridspark.catalog import checks
+    from gridspark.catalog.carriers import Views
+
+    given = []
+    monkeypatch.setattr(checks, "_mapped_stations", lambda v: None)
+    monkeypatch.setattr(checks, "isd_comparisons", lambda stations, obs, model, coarse: given.append(obs))
+    monkeypatch.setattr(checks, "summary_table", lambda comparisons, windows: None)
+    checks._table(Views(spark, "/root/testdata/sf0.001"))
+    assert given[0].inputFiles() and all("/table-" in f for f in given[0].inputFiles())
