@@ -6,10 +6,12 @@ the last one the packed pieces. run() writes each stage's rows before the next o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gridspark.llm import langid, packing, pii, quality, similar
-from gridspark.llm.common import load
+from gridspark.llm.common import limit_batches, load
 from gridspark.llm.tokens import tokenizer_path
 from gridspark.session import materialise
 
@@ -18,6 +20,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LANGUAGE_FROM = 0.5
 # Words whose ids a worker keeps: it holds them while it works on other stages, whose memory they take.
 CACHED_WORDS = 50_000
+# Whole texts handed to Python at a time. What a stage's batches take in an executor, the later stages find taken.
+BATCH_ROWS = 200
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def only_columns(docs: DataFrame) -> DataFrame:
@@ -50,13 +56,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(only_columns(docs), path, cache_entries=CACHED_WORDS).drop("ids")
 
 
-STAGES = [
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage with BATCH_ROWS rows at a time. Its rows are made when they are written, so the setting stays with the session;
+    it changes no row."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        limit_batches(spark, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, in_small_batches(stage)) for name, stage in (
     ("quality classifier", keep_good),
     ("language ID", keep_known_language),
     ("SimHash near-dedup", drop_near_duplicates),
     ("PII", mask_personal_data),
     ("packing", pack),
-]
+)]
 
 # The stages' models and tokenizer have no SQL form; the tests compare run() with plain Python.
 ORACLE_SQL = None

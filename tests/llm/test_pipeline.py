@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from test_similar import plain_kept
 
 import corpus_pipeline
@@ -53,3 +54,24 @@ def test_stages_on_odd_rows(spark):
             assert stage(spark, table, "").columns == list(corpus_pipeline.COLUMNS)
             assert stage(spark, table, "").count() <= len(rows)
         assert corpus_pipeline.STAGES[-1][1](spark, table, "").count() == table.count()
+
+
+def test_stages_hand_few_texts_at_a_time_to_python(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 1000, 1, 1).selectExpr(
+        "id as doc_id", "'a@b.example ' || id as text", "'en' as lang", "'s' as source", "20L as n_chars")
+
+    def rows_of_batches(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    mask = dict(corpus_pipeline.STAGES)["PII"]
+    try:
+        for limit, most in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("7", 7)):
+            spark.conf.set(name, limit)
+            masked = mask(spark, docs, "")
+            assert max(r.n for r in masked.mapInArrow(rows_of_batches, "n long").collect()) == most
+            assert masked.where("text like '<EMAIL> %'").count() == 1000
+    finally:
+        spark.conf.set(name, before)
