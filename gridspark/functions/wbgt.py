@@ -100,20 +100,27 @@ def wbgt_k(
 def _solve(
     t: pd.Series, rh: pd.Series, p: pd.Series, u: pd.Series, s: pd.Series, f: pd.Series, cz: pd.Series
 ) -> pd.Series:
-    args = (x.to_numpy(np.float64) for x in (t, rh, p, u, s, f, cz))
-    globe, wick, air = energy_balance(*args)
+    args = [x.to_numpy(np.float64) for x in (t, rh, p, u, s, f, cz)]
+    out = np.full(len(t), np.nan)
+    full = np.flatnonzero(np.all([np.isfinite(a) for a in args], axis=0))
+    globe, wick, air = energy_balance(*[a[full] for a in args])
     result = 0.1 * air + 0.2 * globe + 0.7 * wick
-    return pd.Series(np.where(np.isfinite(result), result, np.nan))
+    out[full] = np.where(np.isfinite(result), result, np.nan)
+    return pd.Series(out)
 
 
 def energy_balance(t, rh, p, u, s, f, cz):
-    """(globe, natural wet bulb, air) temperatures in K of one batch of arrays."""
+    """(globe, natural wet bulb, air) temperatures in K of one batch of arrays.
+
+    A row without a globe temperature has no result, so its wet bulb is not looked for and is NaN too.
+    """
     with np.errstate(all="ignore"):
         p = p / 100.0
         ea = rh / 100.0 * _saturation(t)
         longwave = 0.5 * (0.575 * ea**0.143 + EMIS_SURFACE) * t**4
         globe = _globe(t, p, u, s, f, cz, longwave)
-        wick = _wick(t, p, u, s, f, cz, longwave, ea)
+        wick, at = np.full(len(t), np.nan), np.flatnonzero(np.isfinite(globe))
+        wick[at] = _wick(*[a[at] for a in (t, p, u, s, f, cz, longwave, ea)])
     return globe, wick, t
 
 
@@ -171,13 +178,17 @@ def _settle(balance, t, *args):
 
 
 def _bisect(balance, t, *args):
+    out = np.full(len(t), np.nan)
     low, high = np.maximum(t - BRACKET_K[0], 100.0), t + BRACKET_K[1]
-    framed = (balance(low, t, *args)[0] > 0) & (balance(high, t, *args)[0] < 0)
-    for _ in range(HALVINGS):
-        middle = 0.5 * (low + high)
-        above = balance(middle, t, *args)[0] > 0
-        low, high = np.where(above, middle, low), np.where(above, high, middle)
-    return np.where(framed, 0.5 * (low + high), np.nan)
+    framed = np.flatnonzero((balance(low, t, *args)[0] > 0) & (balance(high, t, *args)[0] < 0))
+    if len(framed):
+        low, high, t, *args = (a[framed] for a in (low, high, t, *args))
+        for _ in range(HALVINGS):
+            middle = 0.5 * (low + high)
+            above = balance(middle, t, *args)[0] > 0
+            low, high = np.where(above, middle, low), np.where(above, high, middle)
+        out[framed] = 0.5 * (low + high)
+    return out
 
 
 def _saturation(t):

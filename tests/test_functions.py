@@ -2,6 +2,7 @@ import math
 from datetime import date, datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,27 @@ def test_wbgt_settles_every_row(monkeypatch):
     assert settled.mean() > 0.999 and (np.abs(wick - wick_2) < 2e-3).mean() > 0.999
 
 
+def test_wbgt_looks_for_no_root_where_there_is_no_result(monkeypatch):
+    """A beam from the horizon leaves the globe without a temperature; such rows, and rows that lack an input, cost no halvings
+    and no steps of the wet bulb, and the others keep their values."""
+    n = 1000
+    full = [np.full(n, v) for v in (300.0, 50.0, 101325.0, 2.0, 800.0, 0.7, 0.8)]
+    expected = float(wbgt._solve.func(*[pd.Series(a[:1]) for a in full])[0])
+    args = [a.copy() for a in full]
+    args[6][::2] = 6e-17
+    args[4][1::10] = np.nan
+    seen = []
+    settle = wbgt._settle
+    monkeypatch.setattr(wbgt, "_settle", lambda balance, t, *rest: seen.append(len(t)) or settle(
+        lambda x, *a: seen.append(-len(x)) or balance(x, *a), t, *rest))
+    found = wbgt._solve.func(*[pd.Series(a) for a in args]).to_numpy()
+    kept = np.isfinite(args[4]) & (args[6] == 0.8)
+    assert kept.sum() == 400 and (found[kept] == expected).all() and np.isnan(found[~kept]).all()
+    # Globe: 900 rows with all inputs, and 500 of them at the two ends of the bracket; wet bulb: 400.
+    assert [k for k in seen if k > 0] == [900, 400]
+    assert [k for k in seen if k < 0] == [-900] * wbgt.NEWTON_STEPS + [-500] * 2 + [-400] * wbgt.NEWTON_STEPS
+
+
 def test_wbgt_column(spark):
     k = wbgt.wbgt_k(*[c(n) for n in ("t", "r", "p", "w", "g", "f", "z")])
     day = dict(t=300.0, r=50.0, p=101325.0, w=2.0, g=800.0, f=0.7, z=0.8)
