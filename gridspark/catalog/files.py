@@ -38,7 +38,7 @@ def _region_hours(v: Views) -> DataFrame:
     group by GEOID, prism_day, pop_year, vintage""")
 def regional_files_two_vintages(v: Views) -> DataFrame:
     path = shared_folder(v.spark)
-    table = _region_hours(v)
+    table = materialise(_region_hours(v))
     for vintage, pop_year in ((2010, 2010), (2020, 2010), (2020, None), (2010, 2010)):
         write_regions(table.withColumn("pop_year", F.lit(pop_year).cast("int")), path, vintage)
     return v.spark.read.parquet(path).groupBy(
@@ -113,8 +113,9 @@ def live_day_metrics_stream(v: Views) -> DataFrame:
 def region_days_stream(v: Views) -> DataFrame:
     """Days that arrive in files, some of them twice, each run once under each vintage."""
     arrivals, out = shared_folder(v.spark), shared_folder(v.spark)
-    table = _region_hours(v).withColumn("ph_kept", c("ph"))
-    days = v.grid_hour.select("prism_day").distinct()
+    # Both vintages and both arrivals read the region-hours, the days are listed four times.
+    table = materialise(_region_hours(v).withColumn("ph_kept", c("ph")))
+    days = materialise(v.grid_hour.select("prism_day").distinct())
     first = days.agg(F.min("prism_day").alias("prism_day"))
 
     def runner(vintage: int):
