@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -15,8 +16,8 @@ from gridspark.catalog.space import SQL_FINE, SQL_SUN, SQL_WEATHER, daily_on_gri
 from gridspark.catalog.regional import _weighted
 from gridspark.functions.humidity import kelvin_to_celsius
 from gridspark.plans.fields import neighbour_table
-from gridspark.plans.run import CELL, Inputs, heat_stress_cells, regional_table, regional_table_of, run_days
-from gridspark.session import materialise, shared_folder
+from gridspark.plans.run import CELL, Inputs, mapped_cells, regional_table, regional_table_of, run_days
+from gridspark.session import Scratch, materialise, shuffles_freed
 from gridspark.sources.sinks import read_long
 
 METRICS = ("temp_C_used", "rh_pct_used", "HI_C", "WBGT_C", "UTCI_C")
@@ -36,15 +37,15 @@ _MEANS = f"""
     group by tract_code, prism_day, ph"""
 
 
-def inputs_of(v: Views) -> Inputs:
+def inputs_of(v: Views, store: Callable[[DataFrame], DataFrame] = materialise) -> Inputs:
     """All input tables from the carrier views; those that a run reads more than once are stored, as its inputs are."""
     weather = v.acc_hour.join(v.coarse_cells, "src_id").withColumns({n: kelvin_to_celsius(F.col(n)) for n in ("t2m", "d2m")})
-    nn = materialise(neighbour_table(v.cells, v.src, CELL, "src_id"))
+    nn = store(neighbour_table(v.cells, v.src, CELL, "src_id"))
     people = v.pop_year.join(v.cells.select("cell_id", "lat", "lon"), "cell_id").drop("cell_id")
     return Inputs(
-        daily=materialise(daily_on_grid(v).drop("cell_id")), coarse=materialise(weather),
-        coarse_grid=v.coarse_cells.select("lat", "lon"), half_hours=materialise(v.half_hour), weather_nn=nn, radiation_nn=nn,
-        cell_regions=v.cells.select("lat", "lon", "tract_code"), codes=v.tract_lut, population=materialise(people),
+        daily=store(daily_on_grid(v).drop("cell_id")), coarse=store(weather),
+        coarse_grid=v.coarse_cells.select("lat", "lon"), half_hours=store(v.half_hour), weather_nn=nn, radiation_nn=nn,
+        cell_regions=v.cells.select("lat", "lon", "tract_code"), codes=v.tract_lut, population=store(people),
         representative=v.tract_points)
 
 
@@ -98,27 +99,32 @@ def run_outputs(v: Views) -> DataFrame:
 
     off counts what differs from the same tables computed anew: the cells from the inputs, the regions from those cells.
     """
-    inputs = inputs_of(v)
-    days = materialise(inputs.daily.select("prism_day").distinct())
-    path, cells_path = shared_folder(v.spark), shared_folder(v.spark)
-    first = days.orderBy("prism_day").limit(1)
-    assert run_days(v.spark, inputs, first, path, 2010) == 1
-    assert run_days(v.spark, inputs, days, path, 2010, long_path=cells_path) == days.count()
-    assert run_days(v.spark, inputs, days, path, 2010, long_path=cells_path) == 0
-    wanted = [r[0] for r in days.collect()]
-    single = [F.col(x).cast("float").alias(x) for x in CELL]
-    computed = materialise(heat_stress_cells(inputs, days))
-    cells = read_long(v.spark, cells_path, wanted)
-    regions = v.spark.read.parquet(path).withColumn("ph", (F.col("time").cast("int") + 12) % 24)
     columns = [f"{m}_{w}" for m in METRICS for w in ("area", "pop")]
-    parts = [
-        ("cells", _off(computed.select(*single, "prism_day", "ph", *METRICS), cells, [*CELL, "prism_day", "ph"], list(METRICS)),
-         cells, "temp_C_used", "HI_C"),
-        ("regions", _off(regional_table_of(computed, inputs, days), regions, ["GEOID", "prism_day", "ph"], columns),
-         regions, "temp_C_used_area", "HI_C_pop")]
-    found = [
-        off.join(stored.groupBy("prism_day").agg(F.avg(temp).alias("temp"), F.avg(hi).alias("hi")), "prism_day").select(
-            F.lit(name).alias("output"), "prism_day", "n", F.col("off").cast("int").alias("off"),
-            F.round("temp", 2).alias("temp"), F.round("hi", 2).alias("hi"))
-        for name, off, stored, temp, hi in parts]
-    return found[0].unionByName(found[1])
+    single = [F.col(x).cast("float").alias(x) for x in CELL]
+    found = []
+    with shuffles_freed(v.spark), Scratch(v.spark) as store:
+        inputs = inputs_of(v, store)
+        days = store(inputs.daily.select("prism_day").distinct())
+        path, cells_path = store.folder(), store.folder()
+        first = days.orderBy("prism_day").limit(1)
+        assert run_days(v.spark, inputs, first, path, 2010) == 1
+        assert run_days(v.spark, inputs, days, path, 2010, long_path=cells_path) == days.count()
+        assert run_days(v.spark, inputs, days, path, 2010, long_path=cells_path) == 0
+        with Scratch(v.spark) as steps:
+            computed = store(mapped_cells(inputs, days, steps))
+        # Compared day by day, as they are stored: what one comparison moves is freed before the next.
+        for day in sorted(r[0] for r in days.collect()):
+            anew, its_day = (df.where(F.col("prism_day") == F.lit(day)) for df in (computed, days))
+            cells = read_long(v.spark, cells_path, [day])
+            regions = v.spark.read.parquet(path).where(F.col("prism_day") == F.lit(day)).withColumn(
+                "ph", (F.col("time").cast("int") + 12) % 24)
+            for name, off, stored, temp, hi in (
+                ("cells", _off(anew.select(*single, "prism_day", "ph", *METRICS), cells, [*CELL, "prism_day", "ph"], list(METRICS)),
+                 cells, "temp_C_used", "HI_C"),
+                ("regions", _off(regional_table_of(anew, inputs, its_day), regions, ["GEOID", "prism_day", "ph"], columns),
+                 regions, "temp_C_used_area", "HI_C_pop"),
+            ):
+                found += off.join(stored.groupBy("prism_day").agg(F.avg(temp).alias("temp"), F.avg(hi).alias("hi")), "prism_day").select(
+                    F.lit(name), "prism_day", "n", F.col("off").cast("int"), F.round("temp", 2), F.round("hi", 2)).collect()
+    # One row for each output and day.
+    return v.spark.createDataFrame(found, "output string, prism_day date, n bigint, off int, temp double, hi double")

@@ -74,10 +74,11 @@ def dense_hours(
     """All hours for every region-day covered in any hour by either weighting.
 
     Regroups the aggregated rows (at most `hours` per group) into a map and reads it back along
-    the hour sequence; no product of regions and hours is joined.
+    the hour sequence; no product of regions and hours is joined. Rows are dealt by the first of
+    `day_keys`, the region, so that they need not move again to meet its name (see `name_regions`).
     """
     columns = [c for c in means.columns if c not in (*day_keys, hour, covered)]
-    packed = means.groupBy(*day_keys).agg(
+    packed = means.repartition(day_keys[0]).groupBy(*day_keys).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(hour), F.struct(*columns)))).alias("_by_hour"),
         F.max(covered).alias("_keep"),
     ).where("_keep")
@@ -90,10 +91,13 @@ def name_regions(
     means: DataFrame, codes: DataFrame, representative: DataFrame | None = None
 ) -> DataFrame:
     """GEOID from the code table, representative point when there is one (missing allowed)."""
-    named = means.join(codes.select("tract_code", "GEOID"), "tract_code").drop("tract_code")
+    names = codes.select("tract_code", "GEOID")
     if representative is None:
-        return named.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
-    return named.join(representative.select("GEOID", "lat", "lon"), "GEOID", "left")
+        names = names.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
+    else:
+        names = names.join(representative.select("GEOID", "lat", "lon"), "GEOID", "left")
+    # Names and points meet first, region by region, so that the hours move once.
+    return means.join(names, "tract_code").drop("tract_code")
 
 
 def tract_table(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -16,7 +16,7 @@ from gridspark.operators.interpolate import (
     BROADCAST_BYTES, TILE, attach_sources, interpolated, look_up_sources, may_broadcast, source_dictionary, source_hours,
     spread_hours, tile_degrees, tile_dictionary, with_tile,
 )
-from gridspark.operators.quality import days_to_run, missing_inputs, require_none
+from gridspark.operators.quality import days_to_run, duplicate_keys, missing_inputs, require_none
 from gridspark.operators.regions import (
     attach_population, attach_regions, dense_hours, name_regions, region_means,
 )
@@ -25,7 +25,7 @@ from gridspark.plans.fields import (
     RADIATION, RADIATION_CUTOFF_M, WEATHER, WEATHER_CUTOFF_M, cell_templates, radiation_values, weather_values,
 )
 from gridspark.plans.heatstress import METRICS, heat_stress
-from gridspark.session import materialise
+from gridspark.session import Scratch, materialise
 from gridspark.sources.regions import population_of_years, resolve_population_years
 from gridspark.sources.sinks import (
     RESULT_KEYS, committed_results, read_long, record_commits, write_long, write_regions,
@@ -75,7 +75,8 @@ def utc_days(rows: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def hourly_inputs(
-    inputs: Inputs, daily: DataFrame, days: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+    inputs: Inputs, daily: DataFrame, days: DataFrame, broadcast_bytes: int = BROADCAST_BYTES,
+    store: Callable[[DataFrame], DataFrame] = materialise,
 ) -> DataFrame:
     """lat, lon, prism_day, ph, the twelve layers, and whatever else `daily` carries.
 
@@ -84,17 +85,18 @@ def hourly_inputs(
     larger ones, by `broadcast_bytes`, go to dictionaries of tiles of cells. Both ways keep the same rows:
     cells with a valid temperature range and a mean dewpoint whose template is complete. Hours
     that a source lacks stay, with that value missing. Both ways deal the daily rows by tile and day, so the cells of a
-    region meet in few tasks, and what these sum up of it is small; a tile holds a bounded number of cells.
+    region meet in few tasks, and what these sum up of it is small; a tile holds a bounded number of cells. `store` writes
+    what is read more than once; a `Scratch` deletes it with its block.
     """
     carried = [c for c in daily.columns if c not in ("prism_day", "tmin", "tmax", "tdmean")]
     coarse = utc_days(inputs.coarse, days)
-    weather = materialise(weather_values(coarse).join(days, "prism_day", "left_semi"))
-    sun = materialise(radiation_values(utc_days(inputs.half_hours, days)).join(days, "prism_day", "left_semi"))
+    weather = store(weather_values(coarse).join(days, "prism_day", "left_semi"))
+    sun = store(radiation_values(utc_days(inputs.half_hours, days)).join(days, "prism_day", "left_semi"))
 
     # Everything static about a cell in one table: neighbours and nearest coarse cell.
     cells = inputs.weather_nn.withColumnRenamed("nn", "nn_w").join(
         inputs.radiation_nn.withColumnRenamed("nn", "nn_r"), CELL)
-    cells = materialise(grid_nearest(cells, inputs.coarse_grid))
+    cells = store(grid_nearest(cells, inputs.coarse_grid))
     cells = with_tile(cells, tile_degrees(cells))
     templates = cell_templates(coarse).where("td_mean IS NOT NULL")
     daily = daily.where("tmin IS NOT NULL AND tmax > tmin AND tdmean IS NOT NULL")
@@ -139,14 +141,21 @@ def from_tiles(
     return rows.select("*", "_t.*").drop("_t", *TILE)
 
 
+def population_years(inputs: Inputs, days: DataFrame) -> DataFrame | None:
+    """The population year of every year of the days' labels; None without population."""
+    if inputs.population is None:
+        return None
+    return resolve_population_years(days.select(F.year("prism_day").alias("yr")), inputs.population)
+
+
 def weighted_cells(inputs: Inputs, days: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Region and population per cell and year of the requested days, and the years' table.
 
     The population year follows the label of the day, not the hour's own year.
     """
-    if inputs.population is None:
+    resolved = population_years(inputs, days)
+    if resolved is None:
         return inputs.cell_regions, None
-    resolved = resolve_population_years(days.select(F.year("prism_day").alias("yr")), inputs.population)
     people = population_of_years(inputs.population, resolved)
     years = resolved.agg(F.collect_set("yr").alias("y")).scalar()
     return attach_population(
@@ -160,25 +169,50 @@ def heat_stress_cells(inputs: Inputs, days: DataFrame) -> DataFrame:
     return heat_stress(hourly_inputs(inputs, daily, days))
 
 
-def regional_table(inputs: Inputs, days: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def mapped_cells(
+    inputs: Inputs, days: DataFrame, store: Callable[[DataFrame], DataFrame] = materialise
+) -> DataFrame:
+    """The long metric table of all cells, metrics in single precision as they are stored.
+
+    Where no cell is mapped twice the rows carry `tract_code` (NULL outside all regions) and `pop`. They come by tile, so
+    regions can be summed from them without joining an hour, and combine before the shuffle. `store` writes what is
+    read more than once on the way; the caller writes the rows.
+    """
+    days = store(days.select("prism_day").distinct())
+    mapped = store(weighted_cells(inputs, days)[0].where("tract_code >= 0"))
+    daily = inputs.daily.join(days, "prism_day", "left_semi")
+    keys = [c for c in (*CELL, "yr") if c in mapped.columns]
+    if duplicate_keys(mapped, keys).isEmpty():
+        daily = daily.withColumn("yr", F.year("prism_day")).join(mapped, keys, "left").drop("yr")
+    rows = heat_stress(hourly_inputs(inputs, daily, days, store=store))
+    return rows.withColumns({m: F.col(m).cast("float") for m in METRICS})
+
+
+def regional_table(
+    inputs: Inputs, days: DataFrame, broadcast_bytes: int = BROADCAST_BYTES,
+    store: Callable[[DataFrame], DataFrame] = materialise,
+) -> DataFrame:
     """The regional table of the given days, with `pop_year`.
 
     Region and weights join the daily rows, so cells outside all regions drop out before any hour
     is made, and the regional sums are the only step that shuffles by hour.
     """
-    days = materialise(days.select("prism_day").distinct())
+    days = store(days.select("prism_day").distinct())
     mapped, resolved = weighted_cells(inputs, days)
     daily = inputs.daily.join(days, "prism_day", "left_semi").withColumn("yr", F.year("prism_day"))
     daily = attach_regions(daily, mapped, [c for c in (*CELL, "yr") if c in mapped.columns]).drop("yr")
-    return _means_of(heat_stress(hourly_inputs(inputs, daily, days, broadcast_bytes)), inputs, resolved)
+    return _means_of(heat_stress(hourly_inputs(inputs, daily, days, broadcast_bytes, store)), inputs, resolved)
 
 
 def regional_table_of(cells: DataFrame, inputs: Inputs, days: DataFrame) -> DataFrame:
     """The regional table of cells and hours that are stored (see `read_long`) or at hand; no input is read and no index
     computed again.
 
-    Stored coordinates are single precision; the region map's are met at the precision of the cells'.
+    Stored coordinates are single precision; the region map's are met at the precision of the cells'. Cells that carry
+    their region (see `mapped_cells`) need not meet the map.
     """
+    if "tract_code" in cells.columns:
+        return _means_of(cells.where("tract_code >= 0"), inputs, population_years(inputs, days))
     mapped, resolved = weighted_cells(inputs, days)
     mapped = mapped.withColumns({f"_{c}": F.col(c).cast(cells.schema[c].dataType) for c in CELL})
     cells = cells.withColumnsRenamed({c: f"_{c}" for c in CELL}).withColumn("yr", F.year("prism_day"))
@@ -216,7 +250,8 @@ def run_days(
     A regional result is a day under its population year and vintage: another vintage, or weights where there were none,
     is a result of its own. With `long_path` the hourly metrics of all cells are kept too. Each of the two outputs
     has its own notes of complete days, so either may be asked for after the other; days that need the cells have
-    their physics computed once, and their regional result is summed from what was stored. With `fingerprints` (prism_day,
+    their physics computed once, and their regional result is summed from the same values, or from stored cells. What is
+    written on the way is deleted when the run ends. With `fingerprints` (prism_day,
     fingerprint; see `input_fingerprints`) a day whose inputs changed since counts as not done. With `available` (layer, d) a
     missing input stops the run before any work.
     """
@@ -225,27 +260,34 @@ def run_days(
     if fingerprints is not None:
         wanted, same_inputs = wanted.join(fingerprints, "prism_day", "left"), ["fingerprint"]
 
-    def open_days(output: str, keys: Sequence[str]) -> DataFrame:
-        # Written: the notes it is compared with change while the run goes on.
-        return materialise(days_to_run(wanted, committed_results(spark, output), overwrite, [*keys, *same_inputs]))
-
-    regional = open_days(path, RESULT_KEYS)
-    cells = None if long_path is None else open_days(long_path, ["prism_day"])
-    todo = regional if cells is None else regional.unionByName(cells)
-    todo = todo.select("prism_day").distinct()
-    if available is not None:
-        require_none(missing_inputs(todo, available, SAME_DAY, TWO_DAYS), "missing inputs")
-    if cells is not None and not cells.isEmpty():
-        write_long(heat_stress_cells(inputs, cells.select("prism_day").distinct()), long_path, time_mode)
-        record_commits(cells.drop("pop_year", "vintage").distinct(), long_path)
-    if not regional.isEmpty():
-        its_days = regional.select("prism_day").distinct()
-        if long_path is None:
-            table = regional_table(inputs, its_days)
-        else:
-            # A calendar's days.
-            stored = read_long(spark, long_path, sorted(r[0] for r in its_days.collect()), time_mode)
-            table = regional_table_of(stored, inputs, its_days)
-        write_regions(table, path, vintage, time_mode=time_mode)
-        record_commits(regional, path)
-    return todo.count()
+    with Scratch(spark) as store:
+
+        def open_days(output: str, keys: Sequence[str]) -> DataFrame:
+            # Written: the notes it is compared with change while the run goes on.
+            return store(days_to_run(wanted, committed_results(spark, output), overwrite, [*keys, *same_inputs]))
+
+        regional = open_days(path, RESULT_KEYS)
+        cells = None if long_path is None else open_days(long_path, ["prism_day"])
+        todo = regional if cells is None else regional.unionByName(cells)
+        todo = todo.select("prism_day").distinct()
+        if available is not None:
+            require_none(missing_inputs(todo, available, SAME_DAY, TWO_DAYS), "missing inputs")
+        # Days are a calendar's.
+        of = lambda df: sorted({r[0] for r in df.select("prism_day").collect()})
+        made, made_days = None, [] if cells is None else of(cells)
+        if made_days:
+            with Scratch(spark) as steps:
+                made = store(mapped_cells(inputs, cells.select("prism_day"), steps))
+            write_long(made, long_path, time_mode)
+            record_commits(cells.drop("pop_year", "vintage").distinct(), long_path)
+        if wanted_days := of(regional):
+            its_days = regional.select("prism_day").distinct()
+            if long_path is None:
+                table = regional_table(inputs, its_days, store=store)
+            elif set(wanted_days) <= set(made_days) and "tract_code" in made.columns:
+                table = regional_table_of(made.where(F.col("prism_day").isin(wanted_days)), inputs, its_days)
+            else:
+                table = regional_table_of(read_long(spark, long_path, wanted_days, time_mode), inputs, its_days)
+            write_regions(table, path, vintage, time_mode=time_mode)
+            record_commits(regional, path)
+        return todo.count()
